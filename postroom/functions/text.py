@@ -149,9 +149,13 @@ def weighted_text(clean_subject: Column, clean_body: Column) -> Column:
     return F.concat(clean_subject, F.lit(" "), clean_subject, F.lit(" "), clean_body)
 
 
+def joined_text(subject: Column, body: Column) -> Column:
+    return F.concat(text_or_empty(subject), F.lit(" "), text_or_empty(body))
+
+
 def match_text(subject: Column, body: Column) -> Column:
     """Uncleaned lower-case text for the rule matcher."""
-    return F.lower(F.concat(text_or_empty(subject), F.lit(" "), text_or_empty(body)))
+    return F.lower(joined_text(subject, body))
 
 
 def prompt_field(col: Column, width: int) -> Column:

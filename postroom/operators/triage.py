@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postroom.functions.text import match_text, strip_blanks, text_or_empty
+from postroom.functions.text import strip_blanks, text_or_empty
 from postroom.operators.dimensions import (
     MIN_TERM_LENGTH,
     UNCLASSIFIED,
@@ -227,7 +227,3 @@ def with_keyword_hits(decisions: DataFrame, hits: DataFrame) -> DataFrame:
 def stored(decisions: DataFrame) -> DataFrame:
     """(guid, predicted): final intents as they are written back."""
     return decisions.select("guid", F.array_join("final_intents", ",").alias("predicted"))
-
-
-def fallback_text() -> Column:
-    return match_text(F.col("subject"), F.col("body"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postroom.functions.text import clean_text
 from postroom.operators.sizing import spread
 
 # The small lexicon and intent table used with `documents`.
@@ -105,3 +106,124 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("confirmed"),
         F.lit(None).cast("string").alias("confirmed_by"),
     )
+
+
+# Expressions that Spark and the oracle read alike: `part` as a lexicon table,
+# `customer` as an intent table, with gaps, repeats, stray blanks and case.
+PART_LEXICON = [
+    "p_partkey + 1 AS row_no",
+    "p_type AS Category",
+    "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE concat(' ', p_brand, ' ') END AS Category_Code",
+    "CASE WHEN p_partkey % 17 = 0 THEN NULL"
+    " WHEN p_partkey % 19 = 0 THEN concat(' ', substr(p_name, 1, 2))"
+    " WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 4)"
+    " WHEN p_partkey % 5 = 0 THEN concat(upper(p_name), ' ') ELSE p_name END AS Term",
+]
+CUSTOMER_INTENTS = [
+    "c_custkey + 1 AS row_no",
+    "CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN 'Brand'"
+    " WHEN c_custkey % 10 = 0 THEN 'Unclassified' WHEN c_custkey % 12 = 0 THEN c_mktsegment"
+    " WHEN c_custkey % 3 = 0 THEN concat('Brand#', c_custkey % 30, ' ')"
+    " ELSE concat('Brand#', c_custkey % 30, '_', substr(c_mktsegment, 1, 2), '_', c_custkey % 2)"
+    " END AS Intent_Code",
+    "CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE concat(' ', c_mktsegment) END AS Intent",
+    "CASE WHEN c_custkey % 29 = 0 THEN NULL"
+    " ELSE concat(c_name, '@N', c_nationkey, '.Example.com ') END AS Email",
+]
+
+
+def part_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*PART_LEXICON)
+
+
+def customer_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(*CUSTOMER_INTENTS)
+
+
+def benchmark_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_no, value): each item of `benchmark` as a JSON lexicon of three categories."""
+    words = F.split("text", " ")
+    code = F.concat(F.lit('"item_'), F.col("item_id").cast("string"))
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("row_no"),
+        F.concat(
+            F.lit("{"), code, F.lit('": {"terms": '), F.to_json(words), F.lit("}, "),
+            code, F.lit('_head": {"terms": '), F.to_json(F.slice(words, 1, 5)), F.lit("}, "),
+            code, F.lit('_none": {}}'),
+        ).alias("value"),
+    )
+
+
+def benchmark_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_no, code, term): the words and adjacent word pairs of each `benchmark` item."""
+    items = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("row_no"),
+        F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("code"),
+        F.split(clean_text(F.col("text")), " ").alias("words"),
+    )
+    at = items.select("row_no", "code", "words", F.posexplode("words").alias("pos", "word"))
+    pair = F.concat("word", F.lit(" "), F.get("words", F.col("pos") + 1))
+    return at.select("row_no", "code", F.explode(F.array(F.col("word"), pair)).alias("term")).where(
+        F.col("term").isNotNull()
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(guid, raw): answers of every good and bad shape, wrapped around `documents`."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "CAST(doc_id AS STRING) AS guid", f"{RESPONSE} AS raw"
+    )
+
+
+def fallback_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(
+        "CAST(doc_id AS STRING) AS guid", f"{FALLBACK_RESPONSE} AS raw"
+    )
+
+
+# Answers as one expression that Spark and the oracle read alike.
+RESPONSE = """CASE doc_id % 13
+ WHEN 0 THEN concat('ok {"intent": "', lang, '", "intent_code": "Billing"} bye ', text)
+ WHEN 1 THEN concat('{"intent": " ', source, ' ", "intent_code": "bILLING "}')
+ WHEN 2 THEN '{"intent": "x", "intent_code": "Nope"}'
+ WHEN 3 THEN concat('{"intent": "', source, '", "intent_code": "LEGAL", "n": ', n_chars, '} {}')
+ WHEN 4 THEN '{"intent": null, "intent_code": " Legal "}'
+ WHEN 5 THEN '{"intent_code": "Legal"}'
+ WHEN 6 THEN concat('no json ', text)
+ WHEN 7 THEN concat('{"intent": ', n_chars, ', "intent_code": "Outage"}')
+ WHEN 8 THEN '{"intent": true, "intent_code": "account_move"}'
+ WHEN 9 THEN '{"intent": "x", "intent_code": "Billing",}'
+ WHEN 10 THEN '{"intent": "x", "intent_code": null}'
+ WHEN 11 THEN concat('{} { ', lang, ' } {"intent": "x", "intent_code": "Billing"}')
+ ELSE concat('{"a": {"intent": "', lang, '", "intent_code": "Acc"}}') END"""
+FALLBACK_RESPONSE = """CASE doc_id % 7
+ WHEN 0 THEN '{"intent_codes": ["Billing", "Nope", "Legal", "Billing"]}'
+ WHEN 1 THEN concat('sure: {"intent_codes": ["Outage"], "why": "', lang, '"} ', text)
+ WHEN 2 THEN '{"intent_codes": []}'
+ WHEN 3 THEN concat('none ', source)
+ WHEN 4 THEN '{"intent_codes": "Billing"}'
+ WHEN 5 THEN '{"codes": ["Billing"]}'
+ ELSE concat('{"intent_codes": ["', lang, '", "Account_Move"]}') END"""
+
+
+def open_stub():
+    """A deterministic predictor: the answer depends on the prompt's length."""
+
+    def answer(prompt: str) -> str:
+        n = len(prompt)
+        if n % 11 == 0:
+            raise ValueError(f"no answer for {n} characters")
+        code = ["Billing", "legal", "Account_Move", "Nope"][n % 4]
+        return f'{{"intent": "label {n % 5}", "intent_code": "{code}"}}'
+
+    return answer
+
+
+def open_fallback_stub():
+    def answer(prompt: str) -> str:
+        n = len(prompt)
+        if n % 5 == 0:
+            raise ValueError("no answer")
+        return '{"intent_codes": ["%s", "Nope", "Legal"]}' % ["Outage", "Acc", "none"][n % 3]
+
+    return answer
