@@ -23,6 +23,7 @@ SUBJECT_WIDTH, BODY_WIDTH, SENDER_WIDTH, FALLBACK_WIDTH = 300, 1200, 100, 800
 
 # The blanks of ASCII text as a class body; Java's \s lacks \x1c-\x1f.
 _BLANK = r" \t-\r\x1c-\x1f"
+_LINK_STARTS = ["http", "www."]
 _OTHER_BLANKS = "".join(c for c in map(chr, range(0x80)) if c.isspace() and c != " ")
 # From the first double dash of a line to its last, when the phrase lies
 # between. One attempt per line, so a long ruler of dashes stays cheap.
@@ -120,7 +121,7 @@ def strip_headers(col: Column) -> Column:
 
 def strip_urls(col: Column, blank: str = _BLANK) -> Column:
     return _where_found(
-        col, ["http", "www."], lambda t: F.regexp_replace(t, _link_pattern(blank), " ")
+        col, _LINK_STARTS, lambda t: F.regexp_replace(t, _link_pattern(blank), " ")
     )
 
 
@@ -133,15 +134,29 @@ def letters_only(col: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(col, "[^A-Za-z]+", " ")))
 
 
-def clean_text(col: Column) -> Column:
-    """The whole cleaning chain; its order is part of the result.
+def _before_letters(col: Column) -> Column:
+    """The cleaning chain up to its last step; the order is part of the result.
 
     Line ends matter up to the headers. After them one kind of blank is enough,
     which spares the link and address patterns a slow character class.
     """
+
+    def without_links(t: Column) -> Column:
+        t = F.translate(t, _OTHER_BLANKS, " " * len(_OTHER_BLANKS))
+        return strip_addresses(strip_urls(t, blank=" "), blank=" ")
+
     col = strip_headers(strip_html(ascii_fold(text_or_empty(col))))
-    col = F.translate(col, _OTHER_BLANKS, " " * len(_OTHER_BLANKS))
-    return letters_only(strip_addresses(strip_urls(col, blank=" "), blank=" "))
+    return _where_found(col, [*_LINK_STARTS, "@"], without_links)
+
+
+def clean_text(col: Column) -> Column:
+    """The whole cleaning chain as a text."""
+    return letters_only(_before_letters(col))
+
+
+def clean_words(col: Column) -> Column:
+    """The words of the cleaned text, without building it."""
+    return F.regexp_extract_all(F.lower(_before_letters(col)), F.lit("[a-z]+"), F.lit(0))
 
 
 def weighted_text(clean_subject: Column, clean_body: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postroom.functions.text import (
     clean_text,
+    clean_words,
     fold_case_variants,
     is_ascii,
     match_text,
@@ -40,6 +41,7 @@ def with_gaps_marked(text: Column) -> Column:
 
 
 def _whole_word_pattern(term: Column) -> Column:
+    """Word boundaries as explicit classes, which mean the same whatever the engine's ``\\b``."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     # A boundary beside a non-word character asks for a word character outside.
     before = F.when(term.rlike(rf"^{_WORD}"), rf"(?<!{_WORD})").otherwise(rf"(?<={_WORD})")
@@ -66,7 +68,7 @@ def _longest(words: Column) -> Column:
 
 
 def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column) -> DataFrame:
-    """Add how each term is looked up.
+    """Add how each distinct term is looked up.
 
     ``countable`` terms are their words and nothing else: each place where the
     words line up is an occurrence. Any other term, and one that can overlap
@@ -91,12 +93,12 @@ def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column)
         .withColumn("first_only", F.col("once") | F.col("by_pattern"))
         .withColumn("spelling", spelling)
         .withColumn("pattern", F.when(F.col("by_pattern"), _whole_word_pattern(spelling)))
-        .drop("words", "by_pattern")
+        .drop("words", "once", "by_pattern")
     )
 
 
-def _occurrences(texts: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Rows of (guid, term columns, times) for ``texts(guid, text, words, plain)``.
+def _occurrences(texts: DataFrame, keyed: DataFrame, small: bool) -> DataFrame:
+    """Rows of (guid, times, term columns) for ``texts(guid, text, words, plain)``.
 
     A term yields one row per occurrence, or one row with its count where it is
     counted by pattern; callers sum ``times``.
@@ -107,8 +109,8 @@ def _occurrences(texts: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
 
     place = F.col("pos") + 1
     pair = F.concat("word", F.lit(" "), F.get("words", place))
-    # The outer form: a text always has a word, and the plain form would have the
-    # optimizer evaluate the words a second time, in a filter beneath the scan.
+    # The outer form, as the plain form would have the optimizer evaluate the words
+    # a second time, in a filter beneath the scan; a row without a word has no key.
     keys = texts.select(
         "guid", "text", "words", "plain", F.posexplode_outer("words").alias("pos", "word")
     ).select("*", F.explode(F.array(F.col("word"), folded(pair))).alias("key"))
@@ -120,7 +122,7 @@ def _occurrences(texts: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
         F.regexp_count(folded(F.col("text")), F.col("pattern"))
     )
     return (
-        keys.join(lookup(terms, small), "key")
+        keys.join(lookup(keyed, small), "key")
         .where(F.when(F.col("first_only"), first_place).otherwise(lined_up))
         .withColumn("times", times.cast("bigint"))
         .where(F.col("times") > 0)
@@ -138,31 +140,39 @@ def weighted_texts(messages: DataFrame) -> DataFrame:
     return cleaned.select("guid", weighted_text(F.col("subject"), F.col("body")).alias("text"))
 
 
+def weighted_words(messages: DataFrame) -> DataFrame:
+    """(guid, words): the words of the weighted text in order."""
+    words = messages.select(
+        "guid",
+        clean_words(F.col("subject")).alias("subject"),
+        clean_words(F.col("body")).alias("body"),
+    )
+    return words.select("guid", F.concat("subject", "subject", "body").alias("words"))
+
+
 def keyphrase_counts(
     messages: DataFrame, lexicon: DataFrame, small: bool | None = None
 ) -> DataFrame:
     """(guid, cat_no, code, term, n): whole-word occurrences in the weighted text.
 
     Terms are independent of each other. One with anything but letters and
-    single spaces cannot occur in cleaned text and drops out of the join.
+    single spaces cannot occur in cleaned text and drops out of the join. Each
+    distinct term is counted once per message, and only its count meets the
+    categories that list it.
     """
     small = is_small(lexicon) if small is None else small
-    terms = (
+    listed = (
         lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
         .select("code", "term")
         .distinct()
         .join(categories(lexicon), "code")
     )
-    terms = _keyed(terms, F.col("term"), F.lit(True), F.lit(False))
-    texts = weighted_texts(messages).select(
-        "guid", "text", F.split(F.btrim("text"), " ").alias("words"), F.lit(True).alias("plain")
-    )
-    return (
-        _occurrences(texts, terms, small)
-        .groupBy("guid", "code", "term")
-        .agg(F.min("cat_no").alias("cat_no"), F.sum("times").alias("n"))
-        .select("guid", "cat_no", "code", "term", "n")
+    keyed = _keyed(listed.select("term").distinct(), F.col("term"), F.lit(True), F.lit(False))
+    texts = weighted_words(messages).withColumn("text", F.array_join("words", " ")).withColumn(
+        "plain", F.lit(True)
     )
+    counts = _occurrences(texts, keyed, small).groupBy("guid", "term").agg(F.sum("times").alias("n"))
+    return counts.join(lookup(listed, small), "term").select("guid", "cat_no", "code", "term", "n")
 
 
 def keyphrase_json(messages: DataFrame, counts: DataFrame) -> DataFrame:
@@ -222,23 +232,24 @@ def rule_hits(messages: DataFrame, terms: DataFrame, small: bool | None = None)
     A term listed twice counts twice.
     """
     small = is_small(terms) if small is None else small
-    term = F.col("term")
-    is_phrase = F.contains(term, F.lit(" "))
+    term, is_phrase = F.col("term"), F.contains(F.col("term"), F.lit(" "))
     spelling = F.when(is_phrase, fold_case_variants(term)).otherwise(term)
-    matchable = terms.where(is_phrase | term.rlike("^[a-z0-9]+$")).select(
-        "cat_no", "code", "term", "mult", is_phrase.alias("is_phrase")
+    distinct = (
+        terms.where(is_phrase | term.rlike("^[a-z0-9]+$"))
+        .groupBy("term")
+        .agg(F.collect_list(F.struct("cat_no", "code", "mult")).alias("listings"))
     )
     keyed = _keyed(
-        matchable,
-        spelling,
-        spelling.rlike(rf"^{_WORD}+( {_WORD}+)*$"),
-        ~F.col("is_phrase"),
+        distinct, spelling, spelling.rlike(rf"^{_WORD}+( {_WORD}+)*$"), once=~is_phrase
+    )
+    hits = _occurrences(rule_texts(messages), keyed, small).select(
+        "guid", "term", "times", F.inline("listings")
     )
     repeats = F.col("times") * F.col("mult")
-    return _occurrences(rule_texts(messages), keyed, small).select(
-        "guid", "cat_no", "code", "term", "is_phrase", "times",
+    return hits.select(
+        "guid", "cat_no", "code", "term", is_phrase.alias("is_phrase"), "times",
         repeats.alias("repeats"),
-        F.when(F.col("is_phrase"), repeats * PHRASE_WEIGHT).otherwise(repeats).alias("score"),
+        F.when(is_phrase, repeats * PHRASE_WEIGHT).otherwise(repeats).alias("score"),
     )
 
 

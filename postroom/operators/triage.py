@@ -49,7 +49,11 @@ class Rules:
     def load(cls, lexicon_table: DataFrame, intent_table: DataFrame) -> Rules:
         lexicon = lexicon_from_table(lexicon_table, MIN_TERM_LENGTH)
         intents = intents_from_table(intent_table)
-        return cls(lexicon, intents, is_small(lexicon) and is_small(intents))
+        small = is_small(lexicon) and is_small(intents)
+        if small:
+            # One task holds either, so tables derived from them need no shuffle.
+            lexicon, intents = lexicon.coalesce(1), intents.coalesce(1)
+        return cls(lexicon, intents, small)
 
     def hits(self, messages: DataFrame) -> DataFrame:
         return rule_hits(messages, numbered(self.lexicon), self.small)
