@@ -99,6 +99,13 @@ def ascii_fold(col: Column) -> Column:
     return F.when(is_ascii(col), col).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]+", ""))
 
 
+def has_no_case_variant(col: Column) -> Column:
+    variants = case_variants()
+    # The lower bound first: it settles nearly every character with one comparison.
+    bound = f"\\x{{{ord(min(variants)):X}}}-\\x{{10FFFF}}"
+    return is_ascii(col) | ~col.rlike(f"[{bound}&&[{regex_ranges(variants, gap=1)}]]")
+
+
 def fold_case_variants(col: Column) -> Column:
     """Bring lower-case text to one form per ignore-case group."""
     table = case_variants()

@@ -16,7 +16,7 @@ from postroom.functions.text import (
     clean_text,
     clean_words,
     fold_case_variants,
-    is_ascii,
+    has_no_case_variant,
     match_text,
     weighted_text,
 )
@@ -33,6 +33,8 @@ _OTHER = r"[^\p{L}\p{N}_]"
 # Anything between two words other than one single space.
 _GAP = rf"{_OTHER}(?:{_OTHER}+|(?<! ))"
 _GAP_MARK = "\n"
+# Columns of a keyed term that serve the lookup only.
+_LOOKUP = ["n", "key", "first_only", "spelling", "pattern"]
 
 
 def with_gaps_marked(text: Column) -> Column:
@@ -44,9 +46,10 @@ def _whole_word_pattern(term: Column) -> Column:
     """Word boundaries as explicit classes, which mean the same whatever the engine's ``\\b``."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     # A boundary beside a non-word character asks for a word character outside.
-    before = F.when(term.rlike(rf"^{_WORD}"), rf"(?<!{_WORD})").otherwise(rf"(?<={_WORD})")
+    # The literal comes first, so that the search can skip along the text.
     after = F.when(term.rlike(rf"{_WORD}$"), rf"(?!{_WORD})").otherwise(rf"(?={_WORD})")
-    return F.concat(before, quoted, after)
+    before = F.when(term.rlike(rf"^{_WORD}"), rf"(?<!{_WORD}").otherwise(rf"(?<={_WORD}")
+    return F.concat(quoted, after, before, quoted, F.lit(")"))
 
 
 def _overlaps_itself(words: Column) -> Column:
@@ -97,13 +100,18 @@ def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column)
     )
 
 
-def _occurrences(texts: DataFrame, keyed: DataFrame, small: bool) -> DataFrame:
-    """Rows of (guid, times, term columns) for ``texts(guid, text, words, plain)``.
+def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, small: bool) -> DataFrame:
+    """Rows of (guid, times, term columns) for ``texts(guid, words, plain, ...)``.
 
-    A term yields one row per occurrence, or one row with its count where it is
-    counted by pattern; callers sum ``times``.
+    A term yields one row per occurrence, or one row with its count, perhaps zero,
+    where it is counted by pattern in ``text``. Callers sum ``times`` and then drop
+    the zeros; a filter here would count every pattern twice. The join is on a
+    64-bit hash, several times cheaper to look up than a string, and every match
+    is confirmed on the strings.
     """
 
+    kept = [c for c in keyed.columns if c not in _LOOKUP]
+
     def folded(col: Column) -> Column:
         return F.when(F.col("plain"), col).otherwise(fold_case_variants(col))
 
@@ -111,22 +119,26 @@ def _occurrences(texts: DataFrame, keyed: DataFrame, small: bool) -> DataFrame:
     pair = F.concat("word", F.lit(" "), F.get("words", place))
     # The outer form, as the plain form would have the optimizer evaluate the words
     # a second time, in a filter beneath the scan; a row without a word has no key.
-    keys = texts.select(
-        "guid", "text", "words", "plain", F.posexplode_outer("words").alias("pos", "word")
-    ).select("*", F.explode(F.array(F.col("word"), folded(pair))).alias("key"))
+    keys = (
+        texts.select("*", F.posexplode_outer("words").alias("pos", "word"))
+        .select("*", F.explode(F.array(F.col("word"), folded(pair))).alias("found"))
+        .withColumn("hash", F.xxhash64("found"))
+    )
+    dim = keyed.withColumn("hash", F.xxhash64("key"))
+    same = F.col("found") == F.col("key")
     lined_up = (F.col("n") <= 2) | (
         folded(F.array_join(F.slice("words", place, F.col("n")), " ")) == F.col("spelling")
     )
     first_place = F.array_position("words", F.col("word")) == place
     times = F.when(F.col("pattern").isNull(), F.lit(1)).otherwise(
-        F.regexp_count(folded(F.col("text")), F.col("pattern"))
+        F.regexp_count(folded(text), F.col("pattern"))
     )
     return (
-        keys.join(lookup(keyed, small), "key")
-        .where(F.when(F.col("first_only"), first_place).otherwise(lined_up))
-        .withColumn("times", times.cast("bigint"))
-        .where(F.col("times") > 0)
-        .drop("key", "text", "words", "plain", "pos", "word", "n", "first_only", "spelling", "pattern")
+        keys.join(lookup(dim, small), "hash")
+        # One expression over both sides, so that it stays a check of each match and
+        # does not widen the join key.
+        .where(F.when(F.col("first_only"), same & first_place).otherwise(same & lined_up))
+        .select("guid", times.cast("bigint").alias("times"), *kept)
     )
 
 
@@ -168,10 +180,14 @@ def keyphrase_counts(
         .join(categories(lexicon), "code")
     )
     keyed = _keyed(listed.select("term").distinct(), F.col("term"), F.lit(True), F.lit(False))
-    texts = weighted_words(messages).withColumn("text", F.array_join("words", " ")).withColumn(
-        "plain", F.lit(True)
+    texts = weighted_words(messages).withColumn("plain", F.lit(True))
+    text = F.array_join("words", " ")
+    counts = (
+        _occurrences(texts, keyed, text, small)
+        .groupBy("guid", "term")
+        .agg(F.sum("times").alias("n"))
+        .where(F.col("n") > 0)
     )
-    counts = _occurrences(texts, keyed, small).groupBy("guid", "term").agg(F.sum("times").alias("n"))
     return counts.join(lookup(listed, small), "term").select("guid", "cat_no", "code", "term", "n")
 
 
@@ -209,7 +225,7 @@ def rule_texts(messages: DataFrame) -> DataFrame:
     """(guid, text, words, plain) of the uncleaned lower-case text."""
     return (
         messages.select("guid", match_text(F.col("subject"), F.col("body")).alias("text"))
-        .select("*", is_ascii(F.col("text")).alias("plain"))
+        .select("*", has_no_case_variant(F.col("text")).alias("plain"))
         .select("*", F.split(with_gaps_marked(F.col("text")), " ").alias("words"))
     )
 
@@ -225,7 +241,7 @@ def token_set(messages: DataFrame) -> DataFrame:
 
 
 def rule_hits(messages: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
-    """(guid, cat_no, code, term, is_phrase, times, repeats, score) per hit.
+    """(guid, cat_no, code, term, is_phrase, times, repeats, score), to be summed.
 
     ``terms`` is a numbered lexicon. A single word scores one per listing
     however often it occurs; each occurrence of a phrase scores double.
@@ -242,7 +258,7 @@ def rule_hits(messages: DataFrame, terms: DataFrame, small: bool | None = None)
     keyed = _keyed(
         distinct, spelling, spelling.rlike(rf"^{_WORD}+( {_WORD}+)*$"), once=~is_phrase
     )
-    hits = _occurrences(rule_texts(messages), keyed, small).select(
+    hits = _occurrences(rule_texts(messages), keyed, F.col("text"), small).select(
         "guid", "term", "times", F.inline("listings")
     )
     repeats = F.col("times") * F.col("mult")
@@ -267,7 +283,7 @@ def category_scores(hits: DataFrame, mode: str = "count") -> DataFrame:
         F.sum("repeats").alias("repeats"),
     )
     if mode == "weighted":
-        mean = F.col("letters") / F.col("repeats")
+        mean = F.try_divide("letters", "repeats")
         score = F.floor(F.col("score") * (mean / F.lit(float(USUAL_LENGTH)))).cast("bigint")
     elif mode == "count":
         score = F.col("score")
@@ -278,6 +294,9 @@ def category_scores(hits: DataFrame, mode: str = "count") -> DataFrame:
 
 def keyword_hits(hits: DataFrame) -> DataFrame:
     """(guid, code, term, n): how often each term stands in a category's audit list."""
-    return hits.groupBy("guid", "code", "term").agg(
-        F.min("cat_no").alias("cat_no"), F.sum("repeats").alias("n")
-    ).select("guid", "cat_no", "code", "term", "n")
+    return (
+        hits.groupBy("guid", "code", "term")
+        .agg(F.min("cat_no").alias("cat_no"), F.sum("repeats").alias("n"))
+        .where(F.col("n") > 0)
+        .select("guid", "cat_no", "code", "term", "n")
+    )

@@ -222,9 +222,10 @@ def single_word_hits(spark, sf_dir):
 @query
 def phrase_hits(spark, sf_dir):
     hits = _hits(spark, sf_dir).where("is_phrase")
-    return hits.groupBy("guid", "code", "term").agg(
+    totals = hits.groupBy("guid", "code", "term").agg(
         F.sum("times").alias("times"), F.sum("score").alias("score")
     )
+    return totals.where("times > 0")
 
 
 @query
