@@ -53,18 +53,23 @@ def _address_pattern(blank: str) -> str:
     return rf"(?<![^{blank}])[^{blank}][^{blank}@]*+@[^{blank}]+"
 
 
-def _where_found(col: Column, triggers: list[str], step: Callable[[Column], Column]) -> Column:
-    """Apply a step to the texts that hold one of its triggers, and skip the rest.
+def _bound(col: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a column once for an expression that needs it several times.
 
-    The one-element ``transform`` binds the text, so that a chain of steps
-    evaluates each of them once.
+    The variable of a one-element ``transform`` does what a projection would,
+    and keeps the result a Column.
     """
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
+def _where_found(col: Column, triggers: list[str], step: Callable[[Column], Column]) -> Column:
+    """Apply a step to the texts that hold one of its triggers, and skip the rest."""
 
     def guarded(text: Column) -> Column:
         found = reduce(or_, [F.contains(text, F.lit(t)) for t in triggers])
         return F.when(found, step(text)).otherwise(text)
 
-    return F.get(F.transform(F.array(col), guarded), F.lit(0))
+    return _bound(col, guarded)
 
 
 def text_or_empty(col: Column) -> Column:
@@ -83,20 +88,27 @@ def strip_blanks(col: Column) -> Column:
 def ascii_fold(col: Column) -> Column:
     """Compatibility-decompose, then drop everything outside ASCII.
 
-    ASCII-only texts pass through untouched. The characters that fold to more
-    than one letter are swapped first, and only in texts that hold one.
+    ASCII-only texts pass through untouched, and accented ones are done after
+    one translation. Only what is left then is searched for characters that fold
+    to more than one letter, which are swapped by a lookup.
     """
     single, several = ascii_folds()
     members = regex_ranges(several)
     swaps = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    pieces = F.regexp_extract_all(col, F.lit(f"[{members}]|[^{members}]+"), F.lit(0))
-    swapped = F.array_join(
-        F.transform(pieces, lambda p: F.coalesce(F.try_element_at(swaps, p), p)), ""
-    )
-    beyond_ascii = F.regexp_replace(col, r"[\x00-\x7F]+", "")
-    opened = F.when(beyond_ascii.rlike(f"[{members}]"), swapped).otherwise(col)
-    plain = F.translate(opened, "".join(single), "".join(single.values()))
-    return F.when(is_ascii(col), col).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]+", ""))
+
+    def rest_removed(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"[{members}]|[^{members}]+"), F.lit(0))
+        swapped = F.array_join(
+            F.transform(pieces, lambda p: F.coalesce(F.try_element_at(swaps, p), p)), ""
+        )
+        beyond_ascii = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+        opened = F.when(beyond_ascii.rlike(f"[{members}]"), swapped).otherwise(text)
+        return F.when(is_ascii(text), text).otherwise(
+            F.regexp_replace(opened, r"[^\x00-\x7F]+", "")
+        )
+
+    folded = _bound(F.translate(col, "".join(single), "".join(single.values())), rest_removed)
+    return F.when(is_ascii(col), col).otherwise(folded)
 
 
 def has_no_case_variant(col: Column) -> Column:

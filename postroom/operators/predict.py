@@ -15,6 +15,8 @@ from postroom.operators.sizing import is_small, lookup
 # Fixed value: the part of an answer that is read as JSON.
 JSON_PART = r"\{[^{}]+\}"
 
+_STRICT = {"allowSingleQuotes": "false"}
+
 Predictor = Callable[[str], str]
 
 
@@ -44,14 +46,20 @@ def predict(prompts: DataFrame, open_predictor: Callable[[], Predictor]) -> Data
     )
 
 
-def _as_text(json: Column, name: str) -> Column:
-    """A JSON member as text: empty when missing, ``None`` for a null, ``True`` for true."""
-    member = F.try_variant_get(json, f"$.{name}", "variant")
+def _as_text(members: Column, typed: Column, name: str) -> Column:
+    """A JSON member as text: empty when missing, ``None`` for a null, ``True`` for true.
+
+    Of repeated members the last counts. ``typed`` tells true from "true".
+    """
+    last = F.try_element_at(
+        F.filter(F.map_entries(members), lambda e: e["key"] == name), F.lit(-1)
+    )
+    kind = F.schema_of_variant(F.try_variant_get(typed, f"$.{name}", "variant"))
     return strip_blanks(
-        F.when(member.isNull(), "")
-        .when(F.is_variant_null(member), "None")
-        .when(F.schema_of_variant(member) == "BOOLEAN", F.initcap(member.cast("string")))
-        .otherwise(F.coalesce(F.try_variant_get(json, f"$.{name}", "string"), F.lit("")))
+        F.when(last.isNull(), "")
+        .when(last["value"].isNull(), "None")
+        .when(kind == "BOOLEAN", F.initcap(last["value"]))
+        .otherwise(last["value"])
     )
 
 
@@ -70,12 +78,15 @@ def parse_responses(
         .groupBy(F.lower("intent_code").alias("lowered"))
         .agg(F.array_sort(F.collect_list("intent_code")).alias("allowed"))
     )
-    json = F.try_parse_json(F.regexp_extract("raw", JSON_PART, 0))
-    read = (
-        responses.withColumn("_json", json)
-        .withColumn("_code", F.when(F.col("_json").isNotNull(), _as_text(F.col("_json"), "intent_code")))
-        .withColumn("_intent", F.when(F.col("_json").isNotNull(), _as_text(F.col("_json"), "intent")))
-        .drop("_json")
+    part = F.regexp_extract("raw", JSON_PART, 0)
+    read = responses.withColumn("_members", F.from_json(part, "map<string,string>", _STRICT)).withColumn(
+        "_typed", F.try_parse_json(part)
+    )
+    # The members are null when the part is no JSON, and then nothing matches.
+    code, label = (_as_text(F.col("_members"), F.col("_typed"), n) for n in ("intent_code", "intent"))
+    valid = F.col("_members").isNotNull()
+    read = read.select(
+        *responses.columns, F.when(valid, code).alias("_code"), F.when(valid, label).alias("_intent")
     )
     joined = read.join(
         lookup(spellings, small), F.lower(F.col("_code")) == F.col("lowered"), "left"
@@ -97,9 +108,8 @@ def parse_fallback(responses: DataFrame, codes: DataFrame, small: bool | None =
     No allowed code, or no readable answer, is unclassified.
     """
     small = is_small(codes) if small is None else small
-    strict = {"allowSingleQuotes": "false"}
     read = F.from_json(
-        F.regexp_extract("raw", JSON_PART, 0), "intent_codes array<string>", strict
+        F.regexp_extract("raw", JSON_PART, 0), "intent_codes array<string>", _STRICT
     )
     listed = responses.select("guid", F.posexplode_outer(read["intent_codes"]).alias("place", "code"))
     allowed = lookup(codes.select(F.col("intent_code").alias("code"), F.lit(True).alias("ok")).distinct(), small)
