@@ -5,10 +5,16 @@ the word with its successor; terms are looked up by their first one or two
 words in one equi-join and the rest of a longer term is compared in place. So
 the work per position does not grow with the lexicon, and no pair of message
 and term is formed that shares no words.
+
+The terms are broadcast. A lexicon too large for one broadcast is matched in
+several passes over the text, each with its share of the terms: terms are
+independent, and reading the text again costs less than shuffling all its words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +27,7 @@ from postroom.functions.text import (
     weighted_text,
 )
 from postroom.operators.dimensions import categories
-from postroom.operators.sizing import is_small, lookup
+from postroom.operators.sizing import broadcast_passes, lookup
 
 # A phrase occurrence counts double; mean hit lengths are
 # measured against five letters.
@@ -33,8 +39,6 @@ _OTHER = r"[^\p{L}\p{N}_]"
 # Anything between two words other than one single space.
 _GAP = rf"{_OTHER}(?:{_OTHER}+|(?<! ))"
 _GAP_MARK = "\n"
-# Columns of a keyed term that serve the lookup only.
-_LOOKUP = ["n", "key", "first_only", "spelling", "pattern"]
 
 
 def with_gaps_marked(text: Column) -> Column:
@@ -100,8 +104,8 @@ def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column)
     )
 
 
-def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, small: bool) -> DataFrame:
-    """Rows of (guid, times, term columns) for ``texts(guid, words, plain, ...)``.
+def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, passes: int) -> DataFrame:
+    """Rows of (guid, term, times) for ``texts(guid, words, plain, ...)``.
 
     A term yields one row per occurrence, or one row with its count, perhaps zero,
     where it is counted by pattern in ``text``. Callers sum ``times`` and then drop
@@ -110,8 +114,6 @@ def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, small: bool)
     is confirmed on the strings.
     """
 
-    kept = [c for c in keyed.columns if c not in _LOOKUP]
-
     def folded(col: Column) -> Column:
         return F.when(F.col("plain"), col).otherwise(fold_case_variants(col))
 
@@ -124,7 +126,6 @@ def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, small: bool)
         .select("*", F.explode(F.array(F.col("word"), folded(pair))).alias("found"))
         .withColumn("hash", F.xxhash64("found"))
     )
-    dim = keyed.withColumn("hash", F.xxhash64("key"))
     same = F.col("found") == F.col("key")
     lined_up = (F.col("n") <= 2) | (
         folded(F.array_join(F.slice("words", place, F.col("n")), " ")) == F.col("spelling")
@@ -133,12 +134,22 @@ def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, small: bool)
     times = F.when(F.col("pattern").isNull(), F.lit(1)).otherwise(
         F.regexp_count(folded(text), F.col("pattern"))
     )
-    return (
-        keys.join(lookup(dim, small), "hash")
-        # One expression over both sides, so that it stays a check of each match and
-        # does not widen the join key.
-        .where(F.when(F.col("first_only"), same & first_place).otherwise(same & lined_up))
-        .select("guid", times.cast("bigint").alias("times"), *kept)
+
+    def matched(share: DataFrame) -> DataFrame:
+        dim = F.broadcast(share.withColumn("hash", F.xxhash64("key")))
+        return (
+            keys.join(dim, "hash")
+            # One expression over both sides, so that it stays a check of each match
+            # and does not widen the join key.
+            .where(F.when(F.col("first_only"), same & first_place).otherwise(same & lined_up))
+            .select("guid", "term", times.cast("bigint").alias("times"))
+        )
+
+    if passes == 1:
+        return matched(keyed)
+    share = F.pmod(F.hash("term"), F.lit(passes))
+    return reduce(
+        DataFrame.unionByName, [matched(keyed.where(share == i)) for i in range(passes)]
     )
 
 
@@ -163,7 +174,7 @@ def weighted_words(messages: DataFrame) -> DataFrame:
 
 
 def keyphrase_counts(
-    messages: DataFrame, lexicon: DataFrame, small: bool | None = None
+    messages: DataFrame, lexicon: DataFrame, passes: int | None = None
 ) -> DataFrame:
     """(guid, cat_no, code, term, n): whole-word occurrences in the weighted text.
 
@@ -172,7 +183,7 @@ def keyphrase_counts(
     distinct term is counted once per message, and only its count meets the
     categories that list it.
     """
-    small = is_small(lexicon) if small is None else small
+    passes = broadcast_passes(lexicon) if passes is None else passes
     listed = (
         lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
         .select("code", "term")
@@ -183,12 +194,14 @@ def keyphrase_counts(
     texts = weighted_words(messages).withColumn("plain", F.lit(True))
     text = F.array_join("words", " ")
     counts = (
-        _occurrences(texts, keyed, text, small)
+        _occurrences(texts, keyed, text, passes)
         .groupBy("guid", "term")
         .agg(F.sum("times").alias("n"))
         .where(F.col("n") > 0)
     )
-    return counts.join(lookup(listed, small), "term").select("guid", "cat_no", "code", "term", "n")
+    return counts.join(lookup(listed, passes == 1), "term").select(
+        "guid", "cat_no", "code", "term", "n"
+    )
 
 
 def keyphrase_json(messages: DataFrame, counts: DataFrame) -> DataFrame:
@@ -240,26 +253,26 @@ def token_set(messages: DataFrame) -> DataFrame:
     )
 
 
-def rule_hits(messages: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
+def rule_hits(messages: DataFrame, terms: DataFrame, passes: int | None = None) -> DataFrame:
     """(guid, cat_no, code, term, is_phrase, times, repeats, score), to be summed.
 
     ``terms`` is a numbered lexicon. A single word scores one per listing
     however often it occurs; each occurrence of a phrase scores double.
     A term listed twice counts twice.
     """
-    small = is_small(terms) if small is None else small
+    passes = broadcast_passes(terms) if passes is None else passes
     term, is_phrase = F.col("term"), F.contains(F.col("term"), F.lit(" "))
     spelling = F.when(is_phrase, fold_case_variants(term)).otherwise(term)
-    distinct = (
-        terms.where(is_phrase | term.rlike("^[a-z0-9]+$"))
-        .groupBy("term")
-        .agg(F.collect_list(F.struct("cat_no", "code", "mult")).alias("listings"))
-    )
+    matchable = terms.where(is_phrase | term.rlike("^[a-z0-9]+$"))
     keyed = _keyed(
-        distinct, spelling, spelling.rlike(rf"^{_WORD}+( {_WORD}+)*$"), once=~is_phrase
+        matchable.select("term").distinct(),
+        spelling,
+        spelling.rlike(rf"^{_WORD}+( {_WORD}+)*$"),
+        once=~is_phrase,
     )
-    hits = _occurrences(rule_texts(messages), keyed, F.col("text"), small).select(
-        "guid", "term", "times", F.inline("listings")
+    listed = matchable.select("term", "cat_no", "code", "mult")
+    hits = _occurrences(rule_texts(messages), keyed, F.col("text"), passes).join(
+        lookup(listed, passes == 1), "term"
     )
     repeats = F.col("times") * F.col("mult")
     return hits.select(

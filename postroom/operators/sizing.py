@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A dimension within both bounds is broadcast. Past either, joins shuffle and
-# adaptive execution splits their hot keys.
+# What one broadcast may hold.
 MAX_ROWS = 500_000
 MAX_BYTES = 64 * 1024 * 1024
 
 
-def is_small(dimension: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Measure a dimension: one aggregate over its rows and string bytes."""
+def broadcast_passes(
+    dimension: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
+) -> int:
+    """How many broadcasts a dimension needs, measured by one aggregate over it."""
     widths = [
         F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0))
         for name in dimension.columns
@@ -23,7 +24,15 @@ def is_small(dimension: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MA
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(reduce(Column.__add__, widths)), F.lit(0)).alias("bytes"),
     ).first()
-    return row["rows"] <= max_rows and row["bytes"] <= max_bytes
+    return max(1, -(-row["rows"] // max_rows), -(-row["bytes"] // max_bytes))
+
+
+def is_small(dimension: DataFrame) -> bool:
+    """Does one broadcast hold it?
+
+    If not, joins shuffle and adaptive execution splits their hot keys.
+    """
+    return broadcast_passes(dimension) == 1
 
 
 def lookup(dimension: DataFrame, small: bool) -> DataFrame:

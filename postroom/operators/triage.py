@@ -24,7 +24,7 @@ from postroom.operators.dimensions import (
     route_intents,
 )
 from postroom.operators.matching import category_scores, keyword_hits, rule_hits
-from postroom.operators.sizing import is_small, lookup
+from postroom.operators.sizing import broadcast_passes, is_small, lookup
 
 # Sources and confidences of a decision.
 KEYWORD_EMAIL, KEYWORD_ONLY, KEYWORD_NO_INTENT = "keyword+email_", "keyword_only", "keyword_no_intent"
@@ -43,20 +43,22 @@ class Rules:
 
     lexicon: DataFrame
     intents: DataFrame
+    passes: int
     small: bool
 
     @classmethod
     def load(cls, lexicon_table: DataFrame, intent_table: DataFrame) -> Rules:
         lexicon = lexicon_from_table(lexicon_table, MIN_TERM_LENGTH)
         intents = intents_from_table(intent_table)
-        small = is_small(lexicon) and is_small(intents)
+        passes = broadcast_passes(lexicon)
+        small = passes == 1 and is_small(intents)
         if small:
             # One task holds either, so tables derived from them need no shuffle.
             lexicon, intents = lexicon.coalesce(1), intents.coalesce(1)
-        return cls(lexicon, intents, small)
+        return cls(lexicon, intents, passes, small)
 
     def hits(self, messages: DataFrame) -> DataFrame:
-        return rule_hits(messages, numbered(self.lexicon), self.small)
+        return rule_hits(messages, numbered(self.lexicon), self.passes)
 
     def candidates(self) -> DataFrame:
         return first_per_code(route_intents(self.intents, self.lexicon))

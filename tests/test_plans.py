@@ -3,8 +3,9 @@ import io
 
 import pytest
 
-from postroom.operators import matching, predict, queue, triage
+from postroom.operators import matching, predict, queue, sizing, triage
 from postroom.plans import fixtures, queries
+from postroom.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,11 +18,9 @@ def plan(df) -> str:
 
 
 NESTED = ("BroadcastNestedLoopJoin", "CartesianProduct")
-# Each joins one row of scalars, or none at all.
-WITHOUT_PAIRS = sorted(queries.all_queries())
 
 
-@pytest.mark.parametrize("name", WITHOUT_PAIRS)
+@pytest.mark.parametrize("name", sorted(queries.all_queries()))
 def test_no_query_pairs_all_rows(spark, name):
     if name == "triage_with_fallback":
         pytest.skip("runs its stages while it is built")
@@ -29,13 +28,35 @@ def test_no_query_pairs_all_rows(spark, name):
     assert not any(n in text for n in NESTED)
 
 
-def test_matching_broadcasts_small_terms_and_shuffles_large(spark):
+def test_matching_never_shuffles_words(spark):
     messages = fixtures.messages(spark, SF)
     lexicon = queries._keyphrase_lexicon(spark)
-    small = plan(matching.keyphrase_counts(messages, lexicon, small=True))
-    assert "SortMergeJoin" not in small and small.count("BroadcastHashJoin") >= 2
+    one = plan(matching.keyphrase_counts(messages, lexicon, passes=1))
+    assert "SortMergeJoin" not in one and one.count("BroadcastHashJoin") >= 2
     # One exchange spreads the small file; counting reuses its partitioning.
-    assert small.count("Exchange hashpartitioning(guid") == 1
+    assert one.count("Exchange hashpartitioning(guid") == 1
+    three = plan(matching.keyphrase_counts(messages, lexicon, passes=3))
+    assert three.count("BroadcastHashJoin [hash") == 3
+
+
+def test_passes_follow_the_measured_size(spark):
+    df = spark.range(100).selectExpr("'12345' AS x")
+    assert sizing.broadcast_passes(df) == 1
+    assert sizing.broadcast_passes(df, max_rows=30) == 4
+    assert sizing.broadcast_passes(df, max_bytes=250) == 2
+    assert sizing.broadcast_passes(df.limit(0), max_rows=1) == 1
+
+
+def test_a_table_bucketed_by_guid_needs_no_shuffle(spark, tmp_path):
+    name = "mail_by_guid"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    files.write_bucketed(fixtures.messages(spark, SF), name, 8, str(tmp_path / name))
+    messages = spark.table(name)
+    rules = triage.Rules.load(fixtures.lexicon_table(spark), fixtures.intent_table(spark))
+    text = plan(triage.triage(messages, rules))
+    assert "Exchange hashpartitioning(guid" not in text
+    assert triage.triage(messages, rules).count() == 200
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_text_is_cleaned_once(spark):
