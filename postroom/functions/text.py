@@ -125,7 +125,14 @@ def fold_case_variants(col: Column) -> Column:
 
 
 def strip_html(col: Column) -> Column:
-    col = _where_found(col, ["<"], lambda t: F.regexp_replace(t, TAG, " "))
+    def without_tags(t: Column) -> Column:
+        # No tag ends after the last ">". Left out there, an unclosed "<" is not
+        # searched to the end of the text over and over.
+        tail = F.substring_index(t, ">", -1)
+        head = F.substring(t, F.lit(1), F.char_length(t) - F.char_length(tail))
+        return F.concat(F.regexp_replace(head, TAG, " "), tail)
+
+    col = _where_found(col, ["<"], without_tags)
     for entity, char in ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return col

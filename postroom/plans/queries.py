@@ -159,11 +159,12 @@ def clean_text(spark, sf_dir):
     turns = spread(fixtures.table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
     )
-    every = [
-        df.select(F.lit(name).alias("table_name"), "id", text.clean_text(F.col("text")).alias("text"))
+    named = [
+        df.select(F.lit(name).alias("table_name"), "id", "text")
         for name, df in [("documents", docs), ("pages", pages), ("conversations", turns)]
     ]
-    return every[0].unionByName(every[1]).unionByName(every[2])
+    every = named[0].unionByName(named[1]).unionByName(named[2])
+    return every.withColumn("text", text.clean_text(F.col("text")))
 
 
 @query

@@ -61,7 +61,7 @@ def test_a_table_bucketed_by_guid_needs_no_shuffle(spark, tmp_path):
 
 def test_text_is_cleaned_once(spark):
     text = plan(matching.keyphrase_counts(fixtures.messages(spark, SF), queries._keyphrase_lexicon(spark)))
-    assert text.count("regexp_extract_all(lower(") == 2  # subject and body
+    assert text.count("regexp_extract_all(lower(") == 1
 
 
 def test_triage_sends_no_text_through_its_shuffles(spark, tmp_path):

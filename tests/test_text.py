@@ -89,6 +89,9 @@ def test_headers(spark, line, kept):
 def test_long_rulers_and_unbroken_runs_stay_cheap(spark):
     ruler, blob = "-" * 200_000 + "\n", "x" * 200_000 + " a@b"
     assert apply(spark, text.strip_headers, ruler) == [ruler]
+    assert apply(spark, text.strip_html, "a<b>" + "<" * 300_000) == ["a " + "<" * 300_000]
+    assert apply(spark, text.strip_html, "<" * 300_000 + "x>é<") == [" é<"]
+    assert apply(spark, text.clean_text, "x" * 500_000 + " -- y") == ["x" * 500_000 + " y"]
     assert apply(spark, text.strip_addresses, blob) == ["x" * 200_000 + "  "]
 
 
