@@ -33,14 +33,15 @@ def ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
 
 @lru_cache(maxsize=1)
 def case_variants() -> dict[str, str]:
-    """Lower-case characters that an ignore-case match treats as another one.
+    """Lower-case letters that an ignore-case match treats as another one.
 
     They share an upper-case form: long s and s, dotless i and i, final and
-    medial sigma. Each maps to the first of its group.
+    medial sigma. Each maps to the first of its group, letter to letter, so the
+    words of a text stay in place.
     """
     groups: dict[str, list[str]] = {}
     for char in [chr(c) for c in range(0x80)] + list(_characters()):
-        if char.lower() == char:
+        if char.lower() == char and char.isalpha():
             groups.setdefault(char.upper(), []).append(char)
     return {c: group[0] for group in groups.values() for c in group[1:]}
 

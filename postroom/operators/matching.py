@@ -98,51 +98,54 @@ def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column)
             .when(F.col("by_pattern"), F.when(F.size(real) > 0, _longest(real)).otherwise(_GAP_MARK))
             .otherwise(F.array_join(F.slice("words", 1, 2), " ")),
         )
-        .withColumn("first_only", F.col("once") | F.col("by_pattern"))
         .withColumn("spelling", spelling)
         .withColumn("pattern", F.when(F.col("by_pattern"), _whole_word_pattern(spelling)))
-        .drop("words", "once", "by_pattern")
+        .drop("words", "by_pattern")
     )
 
 
 def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, passes: int) -> DataFrame:
-    """Rows of (guid, term, times) for ``texts(guid, words, plain, ...)``.
+    """Rows of (guid, term, times) for ``texts(guid, words, raw, ...)``.
 
     A term yields one row per occurrence, or one row with its count, perhaps zero,
     where it is counted by pattern in ``text``. Callers sum ``times`` and then drop
     the zeros; a filter here would count every pattern twice. The join is on a
     64-bit hash, several times cheaper to look up than a string, and every match
-    is confirmed on the strings.
+    is confirmed on the strings. ``raw`` holds the words before case variants
+    were evened out, for the terms that count ``once``.
     """
-
-    def folded(col: Column) -> Column:
-        return F.when(F.col("plain"), col).otherwise(fold_case_variants(col))
-
     place = F.col("pos") + 1
     pair = F.concat("word", F.lit(" "), F.get("words", place))
     # The outer form, as the plain form would have the optimizer evaluate the words
     # a second time, in a filter beneath the scan; a row without a word has no key.
     keys = (
         texts.select("*", F.posexplode_outer("words").alias("pos", "word"))
-        .select("*", F.explode(F.array(F.col("word"), folded(pair))).alias("found"))
+        .select("*", F.explode(F.array(F.col("word"), pair)).alias("found"))
         .withColumn("hash", F.xxhash64("found"))
     )
-    same = F.col("found") == F.col("key")
     lined_up = (F.col("n") <= 2) | (
-        folded(F.array_join(F.slice("words", place, F.col("n")), " ")) == F.col("spelling")
+        F.array_join(F.slice("words", place, F.col("n")), " ") == F.col("spelling")
+    )
+    same = F.col("found") == F.col("key")
+    # The strings are compared within the branches, where the comparison stays a
+    # check of each match and does not widen the join key.
+    confirmed = (
+        F.when(F.col("once"), same & (F.array_position("raw", F.col("key")) == place))
+        .when(
+            F.col("pattern").isNotNull(),
+            same & (F.array_position("words", F.col("key")) == place),
+        )
+        .otherwise(same & lined_up)
     )
-    first_place = F.array_position("words", F.col("word")) == place
     times = F.when(F.col("pattern").isNull(), F.lit(1)).otherwise(
-        F.regexp_count(folded(text), F.col("pattern"))
+        F.regexp_count(text, F.col("pattern"))
     )
 
     def matched(share: DataFrame) -> DataFrame:
         dim = F.broadcast(share.withColumn("hash", F.xxhash64("key")))
         return (
             keys.join(dim, "hash")
-            # One expression over both sides, so that it stays a check of each match
-            # and does not widen the join key.
-            .where(F.when(F.col("first_only"), same & first_place).otherwise(same & lined_up))
+            .where(confirmed)
             .select("guid", "term", times.cast("bigint").alias("times"))
         )
 
@@ -192,7 +195,7 @@ def keyphrase_counts(
         .join(categories(lexicon), "code")
     )
     keyed = _keyed(listed.select("term").distinct(), F.col("term"), F.lit(True), F.lit(False))
-    texts = weighted_words(messages).withColumn("plain", F.lit(True))
+    texts = weighted_words(messages).withColumn("raw", F.col("words"))
     text = F.array_join("words", " ")
     counts = (
         _occurrences(texts, keyed, text, passes)
@@ -236,11 +239,23 @@ def keyphrase_json(messages: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def rule_texts(messages: DataFrame) -> DataFrame:
-    """(guid, text, words, plain) of the uncleaned lower-case text."""
+    """(guid, text, words, raw) of the uncleaned lower-case text.
+
+    ``raw`` are its words. ``text`` and ``words`` have case variants evened out,
+    which hardly any text holds.
+    """
+
+    def words(text: str) -> Column:
+        return F.split(with_gaps_marked(F.col(text)), " ")
+
+    plain = F.col("plain")
     return (
-        messages.select("guid", match_text(F.col("subject"), F.col("body")).alias("text"))
-        .select("*", has_no_case_variant(F.col("text")).alias("plain"))
-        .select("*", F.split(with_gaps_marked(F.col("text")), " ").alias("words"))
+        messages.select("guid", match_text(F.col("subject"), F.col("body")).alias("lower"))
+        .select("*", has_no_case_variant(F.col("lower")).alias("plain"), words("lower").alias("raw"))
+        .select(
+            "*", F.when(plain, F.col("lower")).otherwise(fold_case_variants(F.col("lower"))).alias("text")
+        )
+        .select("guid", "text", F.when(plain, F.col("raw")).otherwise(words("text")).alias("words"), "raw")
     )
 
 
@@ -249,7 +264,7 @@ def token_set(messages: DataFrame) -> DataFrame:
     return rule_texts(messages).select(
         "guid",
         F.explode(
-            F.array_distinct(F.filter("words", lambda w: w.rlike("^[a-z0-9]+$")))
+            F.array_distinct(F.filter("raw", lambda w: w.rlike("^[a-z0-9]+$")))
         ).alias("token"),
     )
 

@@ -10,6 +10,7 @@ from postroom.operators import dimensions, matching
 TERMS = [
     "bill", "a b", "a a", "a b a", "b a b a", "x", "e-bill", "b-a x", "a  b", "- -", "(a b)", "a\\eb x",
     "a_b x", "café a", "x é", "a b x", "a a a", "last bill", "4 a", "b. a",
+    "(last bill", "ι σ", "last",
 ]
 
 
@@ -39,7 +40,7 @@ def _found(text, term):
 
 
 ODD = ["x(a b)y (a b)", "x- -y x- - -y", "a\\Eb x a\\eb x", "a_b x", "b. a b. a.", "b a b a b a b a b",
-       "a b a b a", "a a a a a a a", "café a café a", "laſt bill", "x é xé", "a  b a  b", "b-a x"]
+       "a b a b a", "a a a a a a a", "café a café a", "laſt bill", "x(laſt bill x(last bill", "ι ς ι σ", "laſt", "x é xé", "a  b a  b", "b-a x"]
 
 
 @pytest.mark.parametrize("passes", [1, 3])

@@ -35,6 +35,7 @@ def test_matching_never_shuffles_words(spark):
     assert "SortMergeJoin" not in one and one.count("BroadcastHashJoin") >= 2
     # One exchange spreads the small file; counting reuses its partitioning.
     assert one.count("Exchange hashpartitioning(guid") == 1
+    assert "BroadcastHashJoin [hash" in one
     three = plan(matching.keyphrase_counts(messages, lexicon, passes=3))
     assert three.count("BroadcastHashJoin [hash") == 3
 
