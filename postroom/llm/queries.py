@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postroom.llm import encoding, exact, packing, quality, token_files, tokens, toxicity
+from postroom.llm import encoding, exact, packing, quality, simhash, token_files, tokens, toxicity
 from postroom.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), encoding.vocabulary(BYTE_BPE))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), encoding.vocabulary(BYTE_BPE))
 
@@ -45,6 +49,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op3_toxicity": op3_toxicity,
         "op2_token_counts": op2_token_counts,
+        "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
