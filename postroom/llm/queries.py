@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postroom.llm import encoding, exact, packing, quality, simhash, token_files, tokens, toxicity
+from postroom.llm import encoding, exact, latent, packing, quality, simhash, token_files, tokens, toxicity
 from postroom.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.benchmark_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -53,6 +59,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 
