@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postroom.llm import encoding, exact, latent, packing, quality, simhash, token_files, tokens, toxicity
+from postroom.llm import (
+    encoding,
+    exact,
+    latent,
+    licenses,
+    packing,
+    quality,
+    simhash,
+    token_files,
+    tokens,
+    toxicity,
+)
 from postroom.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,6 +47,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), encoding.vocabulary(BYTE_BPE))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), encoding.vocabulary(BYTE_BPE))
 
@@ -57,6 +72,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
+        "op7_licenses": op7_licenses,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontamination": op10_decontamination,
