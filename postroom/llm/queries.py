@@ -12,6 +12,7 @@ from postroom.llm import (
     latent,
     licenses,
     packing,
+    passages,
     quality,
     simhash,
     token_files,
@@ -47,6 +48,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), encoding.vocabulary(BYTE_BPE))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.removed_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
+        "op6_repeated_passages": op6_repeated_passages,
         "op7_licenses": op7_licenses,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
