@@ -11,6 +11,8 @@ from postroom.llm.common import text_of, written
 
 # A group with more than one in this many rows is hot; there are never more hot groups than that.
 HOT_SHARE = 10_000
+# Splitters are this many first characters and a hash: the driver samples no whole texts.
+HEAD = 64
 # A hot group's rows are gathered in this many parts.
 HOT_PARTS = 64
 
@@ -21,26 +23,25 @@ def normalised(text: Column) -> Column:
     return F.when(text.rlike("[A-Z]"), lowered).otherwise(text)
 
 
-def _hot_contents(rows: DataFrame, share: int) -> DataFrame:
+def _hot_contents(rows: DataFrame, total: int, share: int) -> DataFrame:
     """(hash): contents that hold more than one in ``share`` rows; at most ``share`` hashes."""
     counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    # Every count above the mean share; the total comes from the same small counts.
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total), F.col("n") * share > F.col("total")).where("n > 1").select("hash")
+    return counts.where((F.col("n") > 1) & (F.col("n") * share > total)).select("hash")
 
 
 def content_groups(docs: DataFrame, keep: str = "largest", share: int = HOT_SHARE) -> DataFrame:
     """(keep_id, group_size, text_sha256, ids): one row per content and part of a hot group.
 
     Contents are range-partitioned by sampled splitters and sorted, so that equal
-    ones meet as neighbours and are compared in full. A hot content is gathered
+    ones meet as neighbours and are compared in full. Many texts may begin alike, so
+    a hash follows the first characters in the splitters and in the order. A hot content is gathered
     where it is read first, one row per task and part, so that its copies do not
     all travel; the parts of one hot content share length and SHA-256.
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_of()).alias("content"))
     hashed = rows.withColumn("hash", F.xxhash64("content"))
-    hot = F.broadcast(written(_hot_contents(hashed.select("hash"), share), "hot"))
+    hot = F.broadcast(written(_hot_contents(hashed.select("hash"), docs.count(), share), "hot"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))
     gathered = (
         F.count(F.lit(1)).alias("n"),
@@ -55,9 +56,15 @@ def content_groups(docs: DataFrame, keep: str = "largest", share: int = HOT_SHAR
         .agg(*gathered)
         .select(digest, size, "n", "best", "ids", F.lit(True).alias("hot"))
     )
-    sorted_contents = hashed.join(hot, "hash", "left_anti").select("content", "doc_id").repartitionByRange("content").sortWithinPartitions("content", "doc_id")
+    order = ["head", "hash", "content"]
+    sorted_contents = (
+        hashed.join(hot, "hash", "left_anti")
+        .select(F.substring("content", 1, HEAD).alias("head"), "hash", "content", "doc_id")
+        .repartitionByRange("head", "hash")
+        .sortWithinPartitions(*order, "doc_id")
+    )
     neighbours = (
-        sorted_contents.groupBy("content")
+        sorted_contents.groupBy(*order)
         .agg(*gathered)
         .select(digest, size, "n", "best", "ids", F.lit(False).alias("hot"))
     )
