@@ -94,3 +94,23 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def kept_rows(docs: DataFrame, version: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided(doc_id, version, kept)`` keeps, each id and version once.
+
+    What goes is usually little, so rows are matched with that; rows repeated as a
+    whole are the only ones that are made distinct.
+    """
+    decided = written(decided, "decided")
+    gone = decided.where(~F.col("kept")).select("doc_id", "version").distinct()
+    repeated = decided.where("kept").groupBy("doc_id", "version").count().where("count > 1")
+    keyed = docs.withColumn("_version", version)
+
+    def same(other: DataFrame) -> Column:
+        return keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["_version"] == other["version"])
+
+    out = gone.unionByName(repeated.select("doc_id", "version"))
+    single = keyed.join(out, same(out), "left_anti")
+    once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_version"])
+    return single.unionByName(once).select(*docs.columns)

@@ -103,3 +103,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", share: int = HOT_SH
         F.col("row.doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
+
+
+def kept_of_equal(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """(doc_id, version, kept): as ``exact_duplicates``, by id and normalised content."""
+    return exact_duplicates(docs, keep).select("doc_id", F.col("text_sha256").alias("version"), "kept")

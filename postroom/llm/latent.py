@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import buffer_of, partitions, small_batches, text_of, written
+from postroom.llm.common import buffer_of, partitions, small_batches, text_of
 from postroom.llm.encoding import byte_batches
 
 BITS = 16
@@ -302,15 +303,24 @@ def _searching(
             if shares:
                 yield int(t), item.item_id, float(cosines[passage, q]), *shares
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(rows: pa.Table) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """By row and item, of several passages the one that holds most of the item."""
+        hashes, bounds, _ = words_of(*buffer_of(rows.column("text")))
+        best: dict[tuple[int, int], tuple] = {}
+        for text, item_id, cosine, share, answer in found(hashes, bounds):
+            ranked = (share, answer, cosine)
+            if ranked > best.get((text, item_id), (-1.0,)):
+                best[text, item_id] = ranked
+        return best
+
+    return search
+
+
+def _listing(*prepared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _searching(*prepared)
         for rows in byte_batches(batches, "text", RUN_BYTES):
-            hashes, bounds, _ = words_of(*buffer_of(rows.column("text")))
-            best: dict[tuple[int, int], tuple] = {}
-            for text, item_id, *shares in found(hashes, bounds):
-                # Shares first: of several passages the one that holds most of the item.
-                ranked = (shares[1], shares[2], shares[0])
-                if ranked > best.get((text, item_id), (-1.0,)):
-                    best[text, item_id] = ranked
+            best = search(rows)
             keys = rows.column("doc_id").combine_chunks()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -321,7 +331,31 @@ def _searching(
                 names=["doc_id", "item_id", "cosine", "common", "answer"],
             )
 
-    return search
+    return run
+
+
+def _dropping(*prepared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _searching(*prepared)
+        for rows in byte_batches(batches, "text", RUN_BYTES):
+            clean = np.ones(rows.num_rows, bool)
+            clean[[t for t, _ in search(rows)]] = False
+            yield from rows.filter(pa.array(clean)).combine_chunks().to_batches()
+
+    return run
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, common: tuple[float, float, float], queries: int) -> Iterator[tuple]:
+    """What a search needs, for as many passes as the benchmark takes."""
+    small_batches(docs.sparkSession)
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
+    weights = word_weights(docs)
+    place, space = latent_space(asked, weights)
+    passes = max(1, -(-asked.count() // queries))
+    for i in range(passes):
+        share = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
+        items = [item for batch in share.toArrow().to_batches() for item in _items(batch)]
+        yield weights, place, space, items, common
 
 
 def benchmark_leaks(
@@ -340,26 +374,23 @@ def benchmark_leaks(
     or row without an id is searched like any other; items with equal ids count once
     per row; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    weights = word_weights(rows)
-    place, space = latent_space(asked, weights)
-    passes = max(1, -(-asked.count() // queries))
-    found = None
-    for i in range(passes):
-        share = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        items = [item for batch in share.toArrow().to_batches() for item in _items(batch)]
-        hits = rows.mapInArrow(
-            _searching(weights, place, space, items, common),
-            "doc_id long, item_id long, cosine double, common double, answer double",
+    hits = [
+        rows.mapInArrow(
+            _listing(*prepared), "doc_id long, item_id long, cosine double, common double, answer double"
         )
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        for prepared in _passes(docs, benchmark, common, queries)
+    ]
+    return reduce(DataFrame.unionByName, hits)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ids hold no benchmark item; rows without an id stay."""
-    leaked = written(benchmark_leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    common: tuple[float, float, float] = (COMMON, COMMON_WITH_ANSWER, ANSWER),
+    queries: int = QUERIES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark, with all of their columns."""
+    for prepared in _passes(docs, benchmark, common, queries):
+        docs = docs.mapInArrow(_dropping(*prepared), docs.schema)
+    return docs

@@ -70,16 +70,16 @@ def fingerprint_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     return _majority(np.fromiter(hashed, np.uint64, int(counts.sum())), counts)
 
 
-def _fingerprinting(words: int) -> Callable:
+def _fingerprinting(words: int, key: str = "doc_id") -> Callable:
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in byte_batches(batches, "text", RUN_BYTES):
             texts = rows.column("text").combine_chunks().cast(pa.large_binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id").combine_chunks(),
+                    rows.column(key).combine_chunks(),
                     pa.array(fingerprint_of(texts, words).view(np.int64)),
                 ],
-                names=["doc_id", "bits"],
+                names=[key, "bits"],
             )
 
     return fingerprint
@@ -230,7 +230,13 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed) + 1
 
 
-def _linking(radius: int, bucket: int) -> Callable:
+def sampled_masks(tables: int, size: int) -> list[int]:
+    """Masks of ``size`` bits each, drawn once and for all."""
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(BITS, size, replace=False)) for _ in range(tables)]
+
+
+def _linking(radius: int, masks: int, bucket: int) -> Callable:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches, ["mask", "key"]):
             run = np.zeros(table.num_rows, np.int64)
@@ -243,7 +249,7 @@ def _linking(radius: int, bucket: int) -> Callable:
                 yield _link_rows(a.view(np.int64), b.view(np.int64), 0)
             large = np.flatnonzero(size > bucket)
             if len(large):
-                keys = table.column("key").to_numpy()[large] * len(band_pairs(radius)) + table.column("mask").to_numpy()[large]
+                keys = table.column("key").to_numpy()[large] * masks + table.column("mask").to_numpy()[large]
                 yield _link_rows(bits[large], keys, size[large])
 
     return link
@@ -265,21 +271,26 @@ def _linking_blocks(radius: int) -> Callable:
     return link
 
 
-def fingerprint_links(bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(
+    bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, masks: list[int] | None = None
+) -> DataFrame:
     """(a, b): links that connect all of the distinct ``bits`` that the radius connects.
 
+    Buckets are the pairs of bands, which miss no link, unless other ``masks`` are given.
+
     A bucket of more than ``bucket`` fingerprints is taken apart: its rows are dealt
     into blocks and every two blocks meet in a group of their own, so that none of
     its comparisons is left out and no task holds it whole.
     """
     spark = bits.sparkSession
     n = partitions(spark)
+    masks = band_pairs(radius) if masks is None else masks
     schema = "a long, b long, size long"
     first = written(
-        bucketed(bits, band_pairs(radius))
+        bucketed(bits, masks)
         .repartition(n, "mask", "key")
         .sortWithinPartitions("mask", "key", "bits")
-        .mapInArrow(_linking(radius, bucket), schema),
+        .mapInArrow(_linking(radius, len(masks), bucket), schema),
         "buckets",
     )
     blocks = F.ceil(F.col("size") / (bucket // 2)).cast("int")
@@ -316,11 +327,102 @@ def near_duplicates(
     found = written(fingerprints(docs, words), "fingerprints")
     classes = written(found.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(fingerprint_links(classes.select("bits"), radius, bucket))
-    rooted = classes.join(roots, F.col("bits") == F.col("node"), "left").select(
-        "bits", "first", F.coalesce("root", "bits").alias("root")
-    )
+    rooted = _rooted(classes, roots)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = rooted.join(least, "root").select("bits", "component_id")
     return found.join(of_class, "bits").select(
         "doc_id", hexadecimal(F.col("bits")).alias("fingerprint"), "component_id"
     )
+
+
+# Looser links of the groups that stay apart: fingerprints of similar texts agree on one of
+# so many random choices of bits nearly always, and the texts' own shingles decide.
+TABLES, TABLE_BITS, LOOSE = 128, 20, 12
+
+
+def _shingle_sets(words: int) -> Callable:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+                hashes = {xxhash.xxh64_intdigest(s, SEED) & 0xFFFFFFFF for s in shingles(text, words)}
+                sets.append(np.sort(np.fromiter(hashes, "<u4", len(hashes))).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bits"), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["bits", "shingles"]
+            )
+
+    return collect
+
+
+def _comparing(similarity: float) -> Callable:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                a, b = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return compare
+
+
+def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between ``texts(bits, text)`` whose shingle sets have that Jaccard similarity.
+
+    Fingerprints agree on enough of 20 chosen bits and lie within 12 bits in all;
+    the sets of such texts alone travel, and are compared in full.
+    """
+    near = written(
+        fingerprint_links(texts.select("bits"), LOOSE, masks=sampled_masks(TABLES, TABLE_BITS))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct(),
+        "candidates",
+    )
+    asked = near.select(F.col("a").alias("bits")).union(near.select("b")).distinct()
+    sets = written(
+        texts.join(asked, "bits", "left_semi").select("bits", "text").mapInArrow(
+            _shingle_sets(words), "bits long, shingles binary"
+        ),
+        "shingles",
+    )
+    left = sets.select(F.col("bits").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("bits").alias("b"), F.col("shingles").alias("right"))
+    return near.join(left, "a").join(right, "b").mapInArrow(_comparing(similarity), "a long, b long")
+
+
+def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, version, kept): of each group of similar texts the row of smallest id is kept.
+
+    Groups are the components of fingerprints within four bits, which only texts
+    much more alike than 0.8 have, joined by links of similar shingle sets between
+    the groups' first documents. ``version`` is a hash of the text; of rows with
+    equal id and text any one stays, and ``kept`` says so of all.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(
+        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text_of()).alias("version")).alias("row"),
+        text_of().alias("text"),
+    )
+    found = written(rows.mapInArrow(_fingerprinting(words, "row"), "row struct<last: boolean, doc_id: bigint, version: bigint>, bits long"), "fingerprints")
+    classes = written(found.groupBy("bits").agg(F.min("row").alias("first")), "classes")
+    tight = _rooted(classes, components(fingerprint_links(classes.select("bits"))))
+    # The first document of a group stands for it; its fingerprint is the group's name.
+    firsts = tight.groupBy("root").agg(F.min(F.struct("first", "bits")).alias("least"))
+    groups = written(firsts.select("root", "least.first", "least.bits"), "groups")
+    texts = rows.join(groups.select("bits", F.col("first").alias("row")), "row").dropDuplicates(["bits"])
+    loose = _rooted(groups.select("bits", "first"), components(similar_links(texts, words, similarity)))
+    least = loose.groupBy("root").agg(F.min("first").alias("keeper"))
+    of_group = loose.join(least, "root").select("bits", "keeper")
+    of_class = tight.join(groups.select("root", F.col("bits").alias("name")), "root").join(
+        of_group.withColumnRenamed("bits", "name"), "name"
+    )
+    return found.join(of_class.select("bits", "keeper"), "bits").select(
+        "row.doc_id", "row.version", (F.col("row") == F.col("keeper")).alias("kept")
+    )
+
+
+def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    return classes.join(roots, F.col("bits") == F.col("node"), "left").select(
+        "bits", "first", F.coalesce("root", "bits").alias("root")
+    )

@@ -327,20 +327,42 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAM
     return np.frombuffer(row["weights"], np.float32), np.array(row["layer"])
 
 
-def _scoring(model: np.ndarray, weights: np.ndarray, layer: np.ndarray) -> Callable:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = restorer(model)
+def _scores(model: np.ndarray, weights: np.ndarray, layer: np.ndarray) -> Callable[[pa.Table], np.ndarray]:
+    restore = restorer(model)
+
+    def score(rows: pa.Table) -> np.ndarray:
+        column = pc.fill_null(rows.column("text").combine_chunks(), "")
+        texts = _restored(column, restore)
+        owner, codes, words = _words(texts)
+        seen = _evidence(owner, codes, word_weights(words, weights), len(texts))
+        return 1 / (1 + np.exp(-(layer[0] + seen @ layer[1:])))
+
+    return score
+
+
+def _scoring(*learnt: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scores(*learnt)
         for rows in byte_batches(batches, "text", RUN_BYTES):
-            texts = _restored(rows.column("text").combine_chunks(), restore)
-            owner, codes, words = _words(texts)
-            seen = _evidence(owner, codes, word_weights(words, weights), len(texts))
-            value = layer[0] + seen @ layer[1:]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").combine_chunks(), pa.array(1 / (1 + np.exp(-value)))],
-                names=["doc_id", "score"],
+                [rows.column("doc_id").combine_chunks(), pa.array(score(rows))], names=["doc_id", "score"]
             )
 
-    return score
+    return run
+
+
+def _keeping(learnt: tuple[np.ndarray, ...], threshold: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scores(*learnt)
+        for rows in byte_batches(batches, "text", RUN_BYTES):
+            yield from rows.filter(pa.array(score(rows) < threshold)).combine_chunks().to_batches()
+
+    return run
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, ...]:
+    model = character_model(docs)
+    return (model, *fit(docs, labels, model, sample))
 
 
 def toxicity_scores(
@@ -354,13 +376,19 @@ def toxicity_scores(
     labels and repeated ones (the largest counts) do no harm; other columns are
     ignored; an empty table gives an empty result. Scoring shuffles nothing.
     """
-    model = character_model(docs)
-    weights, layer = fit(docs, labels, model, sample)
+    learnt = _learnt(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    scored = rows.mapInArrow(_scoring(model, weights, layer), "doc_id long, score double")
+    scored = rows.mapInArrow(_scoring(*learnt), "doc_id long, score double")
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE
+) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all of their columns."""
+    return docs.mapInArrow(_keeping(_learnt(docs, labels, sample), threshold), docs.schema)
