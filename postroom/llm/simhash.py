@@ -47,6 +47,14 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
+def _more(hashes: np.ndarray) -> np.ndarray:
+    """64 further bits of every hash."""
+    h = hashes * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A fingerprint per run of hashes: the bits set in over half of them."""
     ends = np.cumsum(counts)
@@ -63,23 +71,23 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def fingerprint_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
+def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of all shingles, number of shingles of each text)."""
     rows = [shingles(text, words) for text in texts]
     counts = np.fromiter(map(len, rows), np.int64, len(rows))
     hashed = (h for row in rows for h in map(xxhash.xxh64_intdigest, row, repeat(SEED)))
-    return _majority(np.fromiter(hashed, np.uint64, int(counts.sum())), counts)
+    return np.fromiter(hashed, np.uint64, int(counts.sum())), counts
 
 
-def _fingerprinting(words: int, key: str = "doc_id") -> Callable:
+def _fingerprinting(words: int, key: str = "doc_id", wide: bool = False) -> Callable:
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in byte_batches(batches, "text", RUN_BYTES):
             texts = rows.column("text").combine_chunks().cast(pa.large_binary()).to_pylist()
+            hashes, counts = shingle_hashes(texts, words)
+            found = [_majority(hashes, counts)] + ([_majority(_more(hashes), counts)] if wide else [])
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(key).combine_chunks(),
-                    pa.array(fingerprint_of(texts, words).view(np.int64)),
-                ],
-                names=[key, "bits"],
+                [rows.column(key).combine_chunks(), *(pa.array(f.view(np.int64)) for f in found)],
+                names=[key, "bits", "more"][: 1 + len(found)],
             )
 
     return fingerprint
@@ -107,17 +115,17 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bucketed(bits: DataFrame, masks: list[int]) -> DataFrame:
-    """(mask, key, bits): each fingerprint once per mask."""
+def bucketed(bits: DataFrame, masks: list[tuple[int, ...]], words: list[str]) -> DataFrame:
+    """(key, *words): each fingerprint once per mask; equal hashed keys are compared in full."""
     keys = [
-        F.struct(F.lit(i).alias("mask"), F.col("bits").bitwiseAND(F.lit(_signed(m))).alias("key"))
-        for i, m in enumerate(masks)
+        F.xxhash64(F.lit(i), *(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask, strict=True)))
+        for i, mask in enumerate(masks)
     ]
-    return bits.select(F.explode(F.array(*keys)).alias("at"), "bits").select("at.mask", "at.key", "bits")
+    return bits.select(F.explode(F.array(*keys)).alias("key"), *words)
 
 
 def within_radius(planes: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs differ in at most ``radius`` bits, ``radius`` under 16.
+    """Which pairs differ in at most ``radius`` bits.
 
     ``planes[b]`` holds bit b of every fingerprint. Two planes of differences at a
     time enter the carry-save counters, which hold a pair's distance vertically.
@@ -125,27 +133,20 @@ def within_radius(planes: np.ndarray, left: np.ndarray, right: np.ndarray, radiu
     found = np.zeros(len(left), bool)
     for at in range(0, len(left), BLOCK):
         i, j = left[at : at + BLOCK], right[at : at + BLOCK]
-        size = len(i)
-        ones = np.zeros(-(-size // 8), np.uint8)
-        twos, fours, eights, over = (np.zeros_like(ones) for _ in range(4))
-        beyond = over
-        for b in range(0, BITS, 2):
+        counter = [np.zeros(-(-len(i) // 8), np.uint8) for _ in range(radius.bit_length() + 1)]
+        over = np.zeros_like(counter[0])
+        for b in range(0, len(planes), 2):
             d = np.packbits(planes[b][i] ^ planes[b][j])
             e = np.packbits(planes[b + 1][i] ^ planes[b + 1][j])
-            half = ones ^ d
-            carry = (ones & d) | (half & e)
-            ones = half ^ e
-            twos, carry = twos ^ carry, twos & carry
-            fours, carry = fours ^ carry, fours & carry
-            eights, carry = eights ^ carry, eights & carry
-            over = over | carry
-            if b % 8 == 6:
-                beyond = over | _above([ones, twos, fours, eights], radius)
-                if beyond.min() == 255:
-                    break
-        else:
-            beyond = over | _above([ones, twos, fours, eights], radius)
-        found[at : at + BLOCK] = np.unpackbits(beyond, count=size) == 0
+            half = counter[0] ^ d
+            carry = (counter[0] & d) | (half & e)
+            counter[0] = half ^ e
+            for place in range(1, len(counter)):
+                counter[place], carry = counter[place] ^ carry, counter[place] & carry
+            over |= carry
+            if b % 8 == 6 and (over | _above(counter, radius)).min() == 255:
+                break
+        found[at : at + BLOCK] = np.unpackbits(over | _above(counter, radius), count=len(i)) == 0
     return found
 
 
@@ -162,14 +163,14 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def links_in(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what the radius connects within runs of equal ``run``.
+    """Links (places of two) that connect what the radius connects within runs of equal ``run``.
 
-    ``run`` is sorted. Pairs already connected are not compared again, and only
+    ``run`` is sorted; ``bits`` has a row of 64-bit words per fingerprint. Pairs already connected are not compared again, and only
     links that connect something new are given: at most one per fingerprint.
     """
     size = len(bits)
     planes = np.ascontiguousarray(
-        np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+        np.unpackbits(np.ascontiguousarray(bits.astype("<u8")).view(np.uint8).reshape(size, 8 * bits.shape[1]), axis=1, bitorder="little").T
     )
     root = np.arange(size)
 
@@ -194,7 +195,7 @@ def links_in(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[n
         if kept:
             while (flat := root[root]).tolist() != root.tolist():
                 root = flat
-            yield bits[kept], bits[np.array(kept) + shift]
+            yield np.array(kept), np.array(kept) + shift
         shift += 1
         alive = alive[last[alive] - alive > shift]
 
@@ -230,79 +231,98 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed) + 1
 
 
-def sampled_masks(tables: int, size: int) -> list[int]:
-    """Masks of ``size`` bits each, drawn once and for all."""
+def sampled_masks(tables: int, size: int, words: int) -> list[tuple[int, ...]]:
+    """Masks of ``size`` bits each over so many words, drawn once and for all."""
     rng = np.random.default_rng(SEED)
-    return [sum(1 << int(b) for b in rng.choice(BITS, size, replace=False)) for _ in range(tables)]
+    drawn = [rng.choice(BITS * words, size, replace=False) for _ in range(tables)]
+    return [
+        tuple(sum(1 << int(b) % BITS for b in bits if b // BITS == w) for w in range(words)) for bits in drawn
+    ]
+
+
+def _fingerprint_rows(table: pa.Table, words: list[str]) -> np.ndarray:
+    return np.stack([table.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+
+
+def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
+    run = np.zeros(table.num_rows, np.int64)
+    run[_changes(table, keys)] = 1
+    return np.cumsum(run)
+
+
+def _found(table: pa.Table, rows: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    bits = table.column("bits").to_numpy()
+    for a, b in pairs:
+        size = np.zeros(len(a), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (bits[rows[a]], bits[rows[b]], size, size)], names=["a", "b", "more", "size"]
+        )
 
 
-def _linking(radius: int, masks: int, bucket: int) -> Callable:
+def _linking(radius: int, bucket: int, words: list[str]) -> Callable:
+    """Links within buckets; of a large bucket its rows instead, as (bits, key, more, size)."""
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, ["mask", "key"]):
-            run = np.zeros(table.num_rows, np.int64)
-            run[_changes(table, ["mask", "key"])] = 1
-            run = np.cumsum(run)
+        for table in _whole_runs(batches, ["key"]):
+            run = _runs(table, ["key"])
             size = np.bincount(run)[run]
-            bits = table.column("bits").to_numpy()
+            bits = _fingerprint_rows(table, words)
             usual = np.flatnonzero((size > 1) & (size <= bucket))
-            for a, b in links_in(run[usual], bits[usual].view(np.uint64), radius):
-                yield _link_rows(a.view(np.int64), b.view(np.int64), 0)
+            yield from _found(table, usual, links_in(run[usual], bits[usual], radius))
             large = np.flatnonzero(size > bucket)
-            if len(large):
-                keys = table.column("key").to_numpy()[large] * masks + table.column("mask").to_numpy()[large]
-                yield _link_rows(bits[large], keys, size[large])
+            columns = [table.column(c).to_numpy()[large] for c in ("bits", "key", words[-1])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (*columns, size[large])], names=["a", "b", "more", "size"]
+            )
 
     return link
 
 
-def _link_rows(a: np.ndarray, b: np.ndarray, size: np.ndarray | int) -> pa.RecordBatch:
-    sizes = np.broadcast_to(np.asarray(size, np.int64), len(a))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sizes)], names=["a", "b", "size"])
-
-
-def _linking_blocks(radius: int) -> Callable:
+def _linking_blocks(radius: int, words: list[str]) -> Callable:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches, ["bucket", "u", "v"]):
-            run = np.zeros(table.num_rows, np.int64)
-            run[_changes(table, ["bucket", "u", "v"])] = 1
-            for a, b in links_in(np.cumsum(run), table.column("bits").to_numpy().view(np.uint64), radius):
-                yield _link_rows(a.view(np.int64), b.view(np.int64), 0)
+            run = _runs(table, ["bucket", "u", "v"])
+            pairs = links_in(run, _fingerprint_rows(table, words), radius)
+            yield from _found(table, np.arange(table.num_rows), pairs)
 
     return link
 
 
 def fingerprint_links(
-    bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, masks: list[int] | None = None
+    bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, masks: list[tuple[int, ...]] | None = None
 ) -> DataFrame:
     """(a, b): links that connect all of the distinct ``bits`` that the radius connects.
 
-    Buckets are the pairs of bands, which miss no link, unless other ``masks`` are given.
-
+    Buckets are the pairs of bands, which miss no link. With other ``masks`` of two
+    words, fingerprints are ``bits`` and ``more`` together, still named by ``bits``.
     A bucket of more than ``bucket`` fingerprints is taken apart: its rows are dealt
     into blocks and every two blocks meet in a group of their own, so that none of
     its comparisons is left out and no task holds it whole.
     """
-    spark = bits.sparkSession
-    n = partitions(spark)
-    masks = band_pairs(radius) if masks is None else masks
-    schema = "a long, b long, size long"
+    n = partitions(bits.sparkSession)
+    words = ["bits"] if masks is None else ["bits", "more"]
+    masks = [(m,) for m in band_pairs(radius)] if masks is None else masks
+    schema = "a long, b long, more long, size long"
     first = written(
-        bucketed(bits, masks)
-        .repartition(n, "mask", "key")
-        .sortWithinPartitions("mask", "key", "bits")
-        .mapInArrow(_linking(radius, len(masks), bucket), schema),
+        bucketed(bits, masks, words)
+        .repartition(n, "key")
+        .sortWithinPartitions("key", "bits")
+        .mapInArrow(_linking(radius, bucket, words), schema),
         "buckets",
     )
-    blocks = F.ceil(F.col("size") / (bucket // 2)).cast("int")
+    blocks = F.ceil(F.col("size") / max(1, bucket // 2)).cast("int")
     block = F.pmod(F.xxhash64("a"), blocks).cast("int")
     other = F.col("other")
     hot = (
         first.where("size > 0")
-        .select(F.col("a").alias("bits"), F.col("b").alias("bucket"), block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("bucket", F.least("block", other).alias("u"), F.greatest("block", other).alias("v"), "bits")
+        .select(
+            F.col("a").alias("bits"), "more", F.col("b").alias("bucket"), block.alias("block"),
+            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+        )
+        .select("bucket", F.least("block", other).alias("u"), F.greatest("block", other).alias("v"), *words)
         .repartition(n, "bucket", "u", "v")
         .sortWithinPartitions("bucket", "u", "v", "bits")
-        .mapInArrow(_linking_blocks(radius), schema)
+        .mapInArrow(_linking_blocks(radius, words), schema)
     )
     return first.where("size = 0").unionByName(hot).select("a", "b")
 
@@ -335,20 +355,19 @@ def near_duplicates(
     )
 
 
-# Looser links of the groups that stay apart: fingerprints of similar texts agree on one of
-# so many random choices of bits nearly always, and the texts' own shingles decide.
-TABLES, TABLE_BITS, LOOSE = 128, 20, 12
+# Looser links of the groups that stay apart: of 128 bits, similar texts agree on one of so
+# many choices of 16 nearly always, and then the texts' own shingles decide.
+TABLES, TABLE_BITS, LOOSE = 96, 16, 32
 
 
 def _shingle_sets(words: int) -> Callable:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                hashes = {xxhash.xxh64_intdigest(s, SEED) & 0xFFFFFFFF for s in shingles(text, words)}
-                sets.append(np.sort(np.fromiter(hashes, "<u4", len(hashes))).tobytes())
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            hashes, counts = shingle_hashes(texts, words)
+            sets = [np.unique(h.astype("<u4")).tobytes() for h in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("bits"), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["bits", "shingles"]
+                [batch.column("bits"), pa.array(sets[: batch.num_rows], pa.binary())], names=["bits", "shingles"]
             )
 
     return collect
@@ -367,23 +386,23 @@ def _comparing(similarity: float) -> Callable:
     return compare
 
 
-def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links between ``texts(bits, text)`` whose shingle sets have that Jaccard similarity.
+def similar_links(groups: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between ``groups(bits, more, first)`` of that Jaccard similarity or more.
 
-    Fingerprints agree on enough of 20 chosen bits and lie within 12 bits in all;
-    the sets of such texts alone travel, and are compared in full.
+    Candidates agree on a choice of bits and lie within 32 bits of 128; the shingle
+    sets of their first rows in ``rows(row, text)`` alone travel, and are compared in full.
     """
     near = written(
-        fingerprint_links(texts.select("bits"), LOOSE, masks=sampled_masks(TABLES, TABLE_BITS))
+        fingerprint_links(groups, LOOSE, masks=sampled_masks(TABLES, TABLE_BITS, 2))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct(),
         "candidates",
     )
-    asked = near.select(F.col("a").alias("bits")).union(near.select("b")).distinct()
+    names = near.select(F.col("a").alias("bits")).union(near.select("b")).distinct()
+    asked = groups.join(names, "bits").select("bits", F.col("first").alias("row"))
     sets = written(
-        texts.join(asked, "bits", "left_semi").select("bits", "text").mapInArrow(
-            _shingle_sets(words), "bits long, shingles binary"
-        ),
+        rows.join(asked, "row").select("bits", "text").mapInArrow(_shingle_sets(words), "bits long, shingles binary")
+        .dropDuplicates(["bits"]),
         "shingles",
     )
     left = sets.select(F.col("bits").alias("a"), F.col("shingles").alias("left"))
@@ -397,26 +416,33 @@ def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Groups are the components of fingerprints within four bits, which only texts
     much more alike than 0.8 have, joined by links of similar shingle sets between
     the groups' first documents. ``version`` is a hash of the text; of rows with
-    equal id and text any one stays, and ``kept`` says so of all.
+    equal id and text any one stays, and ``kept`` says so of all. Rows without an id
+    come after all others; null texts count as empty.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(
-        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text_of()).alias("version")).alias("row"),
+        F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("version")).alias("row"),
         text_of().alias("text"),
     )
-    found = written(rows.mapInArrow(_fingerprinting(words, "row"), "row struct<last: boolean, doc_id: bigint, version: bigint>, bits long"), "fingerprints")
-    classes = written(found.groupBy("bits").agg(F.min("row").alias("first")), "classes")
+    kind = "row struct<last: boolean, doc_id: bigint, version: bigint>, bits long, more long"
+    found = written(rows.mapInArrow(_fingerprinting(words, "row", wide=True), kind), "fingerprints")
+    classes = written(
+        found.groupBy("bits").agg(F.min(F.struct("row", "more")).alias("least"))
+        .select("bits", F.col("least.row").alias("first"), "least.more"),
+        "classes",
+    )
     tight = _rooted(classes, components(fingerprint_links(classes.select("bits"))))
     # The first document of a group stands for it; its fingerprint is the group's name.
-    firsts = tight.groupBy("root").agg(F.min(F.struct("first", "bits")).alias("least"))
-    groups = written(firsts.select("root", "least.first", "least.bits"), "groups")
-    texts = rows.join(groups.select("bits", F.col("first").alias("row")), "row").dropDuplicates(["bits"])
-    loose = _rooted(groups.select("bits", "first"), components(similar_links(texts, words, similarity)))
-    least = loose.groupBy("root").agg(F.min("first").alias("keeper"))
-    of_group = loose.join(least, "root").select("bits", "keeper")
-    of_class = tight.join(groups.select("root", F.col("bits").alias("name")), "root").join(
-        of_group.withColumnRenamed("bits", "name"), "name"
+    groups = written(
+        tight.groupBy("root").agg(F.min(F.struct("first", "bits", "more")).alias("least"))
+        .select("root", "least.first", "least.bits", "least.more"),
+        "groups",
     )
+    links = similar_links(groups.select("bits", "more", "first"), rows, words, similarity)
+    loose = _rooted(groups.select("bits", "first", "more"), components(links))
+    least = loose.groupBy("root").agg(F.min("first").alias("keeper"))
+    of_group = loose.join(least, "root").select(F.col("bits").alias("name"), "keeper")
+    of_class = tight.join(groups.select("root", F.col("bits").alias("name")), "root").join(of_group, "name")
     return found.join(of_class.select("bits", "keeper"), "bits").select(
         "row.doc_id", "row.version", (F.col("row") == F.col("keeper")).alias("kept")
     )
@@ -424,5 +450,5 @@ def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return classes.join(roots, F.col("bits") == F.col("node"), "left").select(
-        "bits", "first", F.coalesce("root", "bits").alias("root")
+        *classes.columns, F.coalesce("root", "bits").alias("root")
     )
