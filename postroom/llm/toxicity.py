@@ -35,6 +35,8 @@ RUN_BYTES = 4 * 1024 * 1024
 BITS = 20
 GRAMS = (3, 4, 5, 6)
 LEAST_DOCUMENTS = 4
+# Parts of the sample, each judged by weights learnt from the others.
+PARTS = 4
 TOP = 3
 
 # What each sign may stand for.
@@ -284,26 +286,36 @@ def _vocabularies(model: np.ndarray) -> Callable:
     return distinct
 
 
+def _gram_weights(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """How much more often than others toxic documents hold each n-gram, as a logarithm; 0 if not."""
+    toxic = np.log((counts[1] + 0.5) / (documents[1] + 1))
+    clean = np.log((counts[0] + 2.0) / (documents[0] + 4))
+    return np.where(counts[1] >= LEAST_DOCUMENTS, np.maximum(toxic - clean, 0), 0).astype(np.float32)
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row: n-gram weights from most of the sample, and the logistic layer from the rest."""
+    """One row: n-gram weights from the sample, and the logistic layer over their evidence.
+
+    The layer sees each document as weights learnt from the other parts see it.
+    """
     rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     rows.sort(key=lambda row: (row[0] * 2654435761 % 2**32, row[0]))
-    cut = len(rows) * 2 // 3
-    counts = np.zeros((2, 1 << BITS), np.int32)
-    for _, label, words in rows[:cut]:
+    counts = np.zeros((PARTS, 2, 1 << BITS), np.int32)
+    documents = np.zeros((PARTS, 2), np.int64)
+    for i, (_, label, words) in enumerate(rows):
+        documents[i % PARTS, int(label)] += 1
         grams = [bucket for bucket, _ in word_grams(pa.array(words, pa.string()))]
         if grams:
-            counts[int(label), np.unique(np.concatenate(grams))] += 1
-    ones = sum(int(row[1]) for row in rows[:cut])
-    toxic = np.log((counts[1] + 0.5) / (ones + 1))
-    clean = np.log((counts[0] + 2.0) / (cut - ones + 4))
-    weights = np.where(counts[1] >= LEAST_DOCUMENTS, np.maximum(toxic - clean, 0), 0).astype(np.float32)
-    x, y = np.zeros((len(rows) - cut, TOP + 2)), np.zeros(len(rows) - cut)
-    for i, (_, label, words) in enumerate(rows[cut:]):
-        best = word_weights(pa.array(words, pa.string()), weights)
-        codes = np.arange(len(words))
-        x[i] = [1, *_evidence(np.zeros(len(words), np.int64), codes, best, 1)[0]]
-        y[i] = label
+            counts[i % PARTS, int(label), np.unique(np.concatenate(grams))] += 1
+    every, all_documents = counts.sum(axis=0), documents.sum(axis=0)
+    x, y = np.zeros((len(rows), TOP + 2)), np.zeros(len(rows))
+    for part in range(PARTS):
+        weights = _gram_weights(every - counts[part], all_documents - documents[part])
+        for i in range(part, len(rows), PARTS):
+            _, y[i], words = rows[i]
+            best = word_weights(pa.array(words, pa.string()), weights)
+            x[i] = [1, *_evidence(np.zeros(len(words), np.int64), np.arange(len(words)), best, 1)[0]]
+    weights = _gram_weights(every, all_documents)
     layer = np.zeros(TOP + 2)
     ridge = np.diag([1e-3] + [0.1] * (TOP + 1))
     for _ in range(30):
