@@ -15,31 +15,68 @@ from postroom.operators.sizing import is_small, lookup
 # Fixed value: the part of an answer that is read as JSON.
 JSON_PART = r"\{[^{}]+\}"
 
+# Prompts that a predictor gets at a time.
+BATCH = 64
+
 _STRICT = {"allowSingleQuotes": "false"}
 
-Predictor = Callable[[str], str]
+# Answers a list of prompts: for each its answer, or the exception that it failed with.
+Predictor = Callable[[list[str]], list]
+
+
+def one_by_one(answer: Callable[[str], str]) -> Predictor:
+    """A predictor from a function that answers one prompt."""
+
+    def answer_all(prompts: list[str]) -> list:
+        found: list = []
+        for prompt in prompts:
+            try:
+                found.append(answer(prompt))
+            except Exception as failure:
+                found.append(failure)
+        return found
 
+    return answer_all
 
-def predict(prompts: DataFrame, open_predictor: Callable[[], Predictor]) -> DataFrame:
+
+def _answers(predictor: Predictor, prompts: list[str]) -> list:
+    """Answers of a batch; if it fails as a whole, of its prompts one at a time."""
+    try:
+        found = list(predictor(prompts))
+        if len(found) != len(prompts):
+            raise ValueError(f"{len(found)} answers to {len(prompts)} prompts")
+        return found
+    except Exception as failure:
+        if len(prompts) == 1:
+            return [failure]
+        return [answer for prompt in prompts for answer in _answers(predictor, [prompt])]
+
+
+def predict(
+    prompts: DataFrame, open_predictor: Callable[[], Predictor], batch: int = BATCH
+) -> DataFrame:
     """(guid, raw, error) for ``prompts(guid, prompt)``.
 
     ``open_predictor`` is called once per task and returns the function that
-    answers one prompt. A prompt that fails yields its error and no answer, and
-    the others go on. Spread a short queue over the cluster before this.
+    answers up to ``batch`` prompts at a time. A prompt that fails yields its error
+    and no answer, and the others go on. Spread a short queue over the cluster
+    before this.
     """
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = open_predictor()
-        for batch in batches:
-            answers, errors = [], []
-            for prompt in batch["prompt"]:
-                try:
-                    raw, error = predictor(prompt), None
-                except Exception as failure:
-                    raw, error = None, str(failure)
-                answers.append(raw)
-                errors.append(error)
-            yield pd.DataFrame({"guid": batch["guid"], "raw": answers, "error": errors})
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                some = rows.iloc[at : at + batch]
+                found = _answers(predictor, some["prompt"].tolist())
+                failed = [isinstance(a, Exception) for a in found]
+                yield pd.DataFrame(
+                    {
+                        "guid": some["guid"].tolist(),
+                        "raw": [None if f else a for a, f in zip(found, failed, strict=True)],
+                        "error": [str(a) if f else None for a, f in zip(found, failed, strict=True)],
+                    }
+                )
 
     return prompts.select("guid", "prompt").mapInPandas(
         answer, "guid string, raw string, error string"

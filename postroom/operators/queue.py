@@ -62,6 +62,35 @@ def apply_predictions(
     )
 
 
+def log_predictions(predictions: DataFrame, at: datetime | str, path: str) -> None:
+    """Append a batch of ``(guid, predicted, ...)`` to a log; nothing written before is touched.
+
+    What a run moves is its batch, whatever the size of the message table.
+    """
+    stamped = latest_predictions(predictions).select(
+        "guid", F.col("new_predicted").alias("predicted"), F.lit(at).cast("timestamp").alias("at")
+    )
+    stamped.write.mode("append").parquet(path)
+
+
+def with_logged(messages: DataFrame, log: DataFrame, small: bool | None = None) -> DataFrame:
+    """All messages as ``log(guid, predicted, at)`` leaves them; the latest entry counts."""
+    latest = log.groupBy("guid").agg(
+        F.max(F.struct("at", "predicted")).alias("last")
+    ).select(F.col("guid").alias("logged"), "last.at", F.col("last.predicted").alias("new"))
+    small = is_small(latest) if small is None else small
+    latest = lookup(latest, small)
+    joined = messages.join(latest, messages["guid"] == latest["logged"], "left")
+    changed = F.col("logged").isNotNull()
+    values = {"predicted": "new", "predicted_date": "at"}
+    return joined.select(
+        *[
+            F.when(changed, F.col(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+            for c in messages.columns
+        ]
+    )
+
+
 def write_predictions(
     messages: DataFrame,
     predictions: DataFrame,
@@ -71,9 +100,15 @@ def write_predictions(
 ) -> DataFrame:
     """Merge and write to a fresh path, which appears whole or not at all.
 
-    A dry run returns what would change and writes nothing.
+    This writes the whole table; ``log_predictions`` writes the batch alone. A dry
+    run returns what would change, with whatever else is known of each prediction,
+    and writes nothing.
     """
     if dry_run:
-        return latest_predictions(predictions).withColumnRenamed("new_predicted", "predicted")
+        rest = [c for c in predictions.columns if c not in ("guid", "predicted", "seq")]
+        last = F.max(F.struct("seq", "predicted", *rest)).alias("last")
+        return predictions.groupBy("guid").agg(last).select(
+            "guid", *[F.col(f"last.{c}").alias(c) for c in ("predicted", *rest)]
+        )
     apply_predictions(messages, predictions, at).write.mode("errorifexists").parquet(path)
     return messages.sparkSession.read.parquet(path)

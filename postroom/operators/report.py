@@ -72,12 +72,12 @@ def kb_profile(lexicon: DataFrame, intents: DataFrame) -> DataFrame:
         F.count_distinct(F.when(phrase, F.col("term"))).alias("phrases"),
     )
     records = intents.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_distinct("intent_code").alias("intent_codes"),
-        F.count_distinct("email").alias("addresses"),
-        F.count_distinct(domain).alias("domains"),
-    )
-    whole = [c for c in terms.columns]
-    return terms.select(
-        *whole, *[records.select(c).scalar().alias(c) for c in records.columns]
+        F.struct(
+            F.count(F.lit(1)).alias("records"),
+            F.count_distinct("intent_code").alias("intent_codes"),
+            F.count_distinct("email").alias("addresses"),
+            F.count_distinct(domain).alias("domains"),
+        ).alias("of_intents")
     )
+    # One scalar, so that the intents are read once.
+    return terms.withColumn("of_intents", records.scalar()).select(*terms.columns, "of_intents.*")

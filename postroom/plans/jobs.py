@@ -17,45 +17,54 @@ from postroom.operators.dimensions import (
     valid_codes,
 )
 from postroom.operators.predict import Predictor
-from postroom.operators.sizing import spread
-from postroom.operators.staging import written
+from postroom.operators.sizing import require_unique, spread
+from postroom.operators.staging import Staging
 from postroom.sources import files
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a run leaves behind: rows to store, rows that failed, and its reports."""
+    """What a run leaves behind: rows to store, rows that failed, and its reports.
+
+    They read staged tables; ``staging.drop()`` deletes those once all is stored.
+    """
 
     results: DataFrame
     errors: DataFrame | None = None
     reports: dict[str, DataFrame] | None = None
+    staging: Staging | None = None
 
 
 def keyphrase_job(
     spark: SparkSession, input_path: str, lexicon_path: str, output_path: str | None = None,
-    key: str | None = None,
+    key: str | None = None, staging_folder: str | None = None,
 ) -> Outcome:
-    """Add ``keyphrase_stats`` to a table of messages and write it.
+    """Add ``keyphrase_stats`` to a table of messages and write it to a fresh path.
 
-    ``key`` names a unique column. Without one the rows are numbered and staged
-    first, since a running id must not be drawn twice.
+    ``key`` names a unique column; repeated keys are an error. Without one the rows
+    are numbered and staged first, since a running id must not be drawn twice. An
+    output that overlaps the input is refused before anything is written.
     """
+    output_path = output_path or files.enriched_path(input_path)
+    files.refuse_overlap(input_path, output_path)
+    staging = Staging(spark, staging_folder)
     table = files.read_table(spark, input_path)
     if key is None:
         key = "_row"
-        table = written(table.withColumn(key, F.monotonically_increasing_id()), "input")
+        table = staging.written(table.withColumn(key, F.monotonically_increasing_id()), "input")
+    else:
+        require_unique(table.select(files.key_text(key).alias("key")), "key")
     lexicon = lexicon_from_json(files.read_lexicon_texts(spark, lexicon_path))
     messages = files.as_messages(table, key)
-    counts = written(matching.keyphrase_counts(messages, lexicon), "counts")
+    counts = staging.written(matching.keyphrase_counts(messages, lexicon), "counts")
     stats = matching.keyphrase_json(messages, counts)
-    enriched = (
-        table.withColumn("guid__", F.col(f"`{key}`").cast("string"))
-        .join(stats.withColumnRenamed("guid", "guid__"), "guid__", "left")
-        .drop("guid__", "_row")
-    )
-    files.write_enriched(enriched, output_path or files.enriched_path(input_path))
+    stats = stats.withColumnRenamed("guid", "guid__")
+    enriched = table.join(stats, files.key_text(key) == F.col("guid__"), "left").drop("guid__", "_row")
+    files.write_enriched(enriched, output_path)
     return Outcome(
-        counts, reports={"match_summary": report.match_summary(messages, counts, lexicon)}
+        counts,
+        reports={"match_summary": report.match_summary(messages, counts, lexicon)},
+        staging=staging,
     )
 
 
@@ -67,23 +76,30 @@ def rules_job(
     address_mode: str = "exact",
     score_mode: str = "count",
     open_predictor: Callable[[], Predictor] | None = None,
+    staging_folder: str | None = None,
 ) -> Outcome:
-    """Decide the backlog by rule, and the rest by a predictor when one is given."""
+    """Decide the backlog by rule, and the rest by a predictor when one is given.
+
+    Guids must be unique among the messages decided; repeated ones are an error.
+    """
+    staging = Staging(messages.sparkSession, staging_folder)
     rules = triage.Rules.load(lexicon_table, intent_table)
     waiting = queue.work_queue(messages, n)
     if n is not None:
-        waiting = written(waiting, "queue")
-    waiting = spread(waiting, "guid")
+        waiting = staging.written(waiting, "queue")
+    require_unique(waiting, "guid")
+    waiting = spread(waiting)
     if open_predictor is None:
-        decided = written(triage.triage(waiting, rules, address_mode, score_mode), "decided")
+        decided = staging.written(triage.triage(waiting, rules, address_mode, score_mode), "decided")
     else:
-        decided = with_predictor(waiting, rules, open_predictor, address_mode, score_mode)
+        decided = with_predictor(waiting, rules, open_predictor, address_mode, score_mode, staging)
     return Outcome(
         decided,
         reports={
             "source_breakdown": report.source_breakdown(decided),
             "multi_intent": report.multi_intent(decided),
         },
+        staging=staging,
     )
 
 
@@ -93,27 +109,29 @@ def with_predictor(
     open_predictor: Callable[[], Predictor],
     address_mode: str = "exact",
     score_mode: str = "count",
+    staging: Staging | None = None,
 ) -> DataFrame:
     """Decisions, the unmatched ones answered by the predictor.
 
     Only the start of the text that a fallback prompt shows travels with the
     decisions, and only the unmatched keep it.
     """
+    staging = staging or Staging(waiting.sparkSession)
     decided = triage.triage(
         waiting, rules, address_mode, score_mode, carry=prompts.fallback_text()
     )
     unmatched = F.col("match_source") == triage.UNMATCHED
-    decided = written(decided.withColumn("carried", F.when(unmatched, F.col("carried"))), "decided")
+    decided = staging.written(decided.withColumn("carried", F.when(unmatched, F.col("carried"))), "decided")
     rest = decided.where(unmatched)
-    asked = spread(prompts.fallback_prompts(rest, rules.intents), "guid")
-    answers = written(predict.predict(asked, open_predictor), "answers")
+    asked = spread(prompts.fallback_prompts(rest, rules.intents))
+    answers = staging.written(predict.predict(asked, open_predictor), "answers")
     answered = predict.parse_fallback(answers, rules.intents.select("intent_code"), rules.small)
     by_predictor = (
         rest.drop("final_intents", "match_source", "carried")
         .join(answered, "guid")
         .withColumn("match_source", F.lit(triage.FALLBACK))
     )
-    return written(
+    return staging.written(
         decided.where(~unmatched).drop("carried").unionByName(by_predictor), "decisions"
     )
 
@@ -125,14 +143,20 @@ def predictor_job(
     open_predictor: Callable[[], Predictor],
     organisation: str,
     n: int | None = None,
+    staging_folder: str | None = None,
 ) -> Outcome:
-    """Ask a predictor about the backlog; keep failures apart."""
+    """Ask a predictor about the backlog; keep failures apart.
+
+    Guids must be unique among the messages asked about; repeated ones are an error.
+    """
+    staging = Staging(messages.sparkSession, staging_folder)
     lexicon, intents = lexicon_from_table(lexicon_table), labelled_intents(intent_table)
     context = prompts.context_block(lexicon, intents, organisation)
     asked = prompts.full_prompts(queue.work_queue(messages, n), context)
     if n is not None:
-        asked = written(asked, "prompts")
-    answers = written(predict.predict(spread(asked, "guid"), open_predictor), "answers")
+        asked = staging.written(asked, "prompts")
+    require_unique(asked.select("guid"), "guid")
+    answers = staging.written(predict.predict(spread(asked), open_predictor), "answers")
     parsed = predict.parse_responses(predict.predictions(answers), valid_codes(intents))
     predicted = parsed.select("guid", "predicted_intent", "predicted_code")
     return Outcome(
@@ -142,13 +166,18 @@ def predictor_job(
             "run_totals": report.run_totals(answers),
             "intent_distribution": report.intent_distribution(predicted),
         },
+        staging,
     )
 
 
 def store(
     messages: DataFrame, outcome: Outcome, at: datetime, path: str, dry_run: bool = False
 ) -> DataFrame:
-    """Write an outcome's predictions back, by guid, to a fresh path."""
+    """Write an outcome's predictions back, by guid, to a fresh path.
+
+    A dry run shows each prediction instead, with its source and confidence where
+    rules made it.
+    """
     results = outcome.results
     if "final_intents" in results.columns:
         predicted = triage.stored(results)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
-from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,27 +16,43 @@ MISSING = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
+# Stands for a missing key, which so finds its row again.
+NO_KEY = "\0"
 ENRICHED_SUFFIX = "_with_keyphrases.parquet"
 
 
+def _stem(path: str) -> tuple[str, str]:
+    """A path without its file's suffix, and the suffix; the path may be a URI."""
+    path = path.rstrip("/")
+    folder, slash, name = path.rpartition("/")
+    stem, dot, suffix = name.rpartition(".")
+    return (folder + slash + stem, dot + suffix) if stem else (path, "")
+
+
 def _suffix(path: str) -> str:
-    return PurePosixPath(path).suffix.lower()
+    return _stem(path)[1].lower()
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    line_ends_in_cells: bool = True,
+) -> DataFrame:
     """Read parquet, csv or tsv by suffix; any other suffix is an error.
 
-    Delimited cells may hold line ends, so such a file is one task's work:
-    deliver large ones as many files, or as parquet. Cells that read as missing
-    become null, and all columns are text unless a schema says otherwise.
+    Where cells may hold line ends, a delimited file is one task's work: deliver
+    large ones as many files, as parquet, or say that they hold none. Cells that
+    read as missing become null, and all columns are text unless a schema says
+    otherwise.
     """
     suffix = _suffix(path)
     if suffix == ".parquet":
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if suffix not in SEPARATORS:
-        raise ValueError(f"Unsupported file type: {suffix!r}")
+        raise ValueError(f"{path} is neither parquet nor {' nor '.join(SEPARATORS)}, but {suffix!r}")
     reader = spark.read.options(
-        header=True, sep=SEPARATORS[suffix], multiLine=True, quote='"', escape='"'
+        header=True, sep=SEPARATORS[suffix], multiLine=line_ends_in_cells, quote='"', escape='"'
     )
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.select(
@@ -60,11 +77,15 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lexicon_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, value): JSON lexicon files as whole texts, for ``lexicon_from_json``."""
+    """(row_no, value): JSON lexicon files as whole texts, for ``lexicon_from_json``.
+
+    Several files are numbered by their path.
+    """
+    place = F.row_number().over(W.orderBy("file"))
     return (
         spark.read.text(path, wholetext=True)
-        .coalesce(1)
-        .select(F.monotonically_increasing_id().alias("row_no"), "value")
+        .select("value", F.col("_metadata.file_path").alias("file"))
+        .select((place - 1).cast("bigint").alias("row_no"), "value")
     )
 
 
@@ -74,19 +95,28 @@ def _col(name: str):
 
 def resolve_message_columns(df: DataFrame) -> dict[str, str]:
     """Find the subject and body columns, whatever their case, blanks and brackets."""
-    plain = {}
-    for name in df.columns:
-        plain.setdefault(re.sub(r"[\[\]]", "", name).strip().lower(), name)
-    if "subject" not in plain or "body" not in plain:
-        raise ValueError(f"Could not find Subject/Body. Available: {df.columns}")
-    return {"subject": plain["subject"], "body": plain["body"]}
+    found = {}
+    for wanted in ("subject", "body"):
+        named = [name for name in df.columns if _plain_name(name) == wanted]
+        if not named:
+            raise ValueError(f"No column is named {wanted!r} among {df.columns}")
+        found[wanted] = named[0]
+    return found
+
+
+def _plain_name(name: str) -> str:
+    return "".join(c for c in name if c not in "[]").strip().casefold()
+
+
+def key_text(key: str) -> Column:
+    return F.coalesce(_col(key).cast("string"), F.lit(NO_KEY))
 
 
 def as_messages(df: DataFrame, key: str) -> DataFrame:
-    """(guid, subject, body) of any table with a key column."""
+    """(guid, subject, body) of any table with a key column; a missing key reads as NO_KEY."""
     found = resolve_message_columns(df)
     return df.select(
-        _col(key).cast("string").alias("guid"),
+        key_text(key).alias("guid"),
         _col(found["subject"]).alias("subject"),
         _col(found["body"]).alias("body"),
     )
@@ -102,14 +132,29 @@ def write_bucketed(messages: DataFrame, table: str, buckets: int, path: str) ->
 
 
 def enriched_path(input_path: str) -> str:
-    path = PurePosixPath(input_path)
-    return str(path.with_name(path.stem + ENRICHED_SUFFIX))
+    return _stem(input_path)[0] + ENRICHED_SUFFIX
+
+
+def _place(path: str) -> str:
+    """A path to compare: without scheme and host, without detours."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+    return os.path.normpath(os.path.abspath(path)) + "/"
+
+
+def refuse_overlap(input_path: str, output_path: str) -> None:
+    """Raise if writing the output would touch the input: the same, inside, or above."""
+    read, write = _place(input_path), _place(output_path)
+    if read.startswith(write) or write.startswith(read):
+        raise ValueError(f"The output {output_path} overlaps the input {input_path}; name a fresh path")
 
 
 def write_enriched(df: DataFrame, path: str) -> None:
-    """Parquet for a parquet path, otherwise csv; nested columns go to csv as JSON."""
+    """Parquet for a parquet path, otherwise csv; nested columns go to csv as JSON.
+
+    The path must be fresh: nothing that exists is replaced.
+    """
     if _suffix(path) == ".parquet":
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("errorifexists").parquet(path)
         return
     nested = (T.MapType, T.ArrayType, T.StructType)
     flat = df.select(
@@ -118,6 +163,7 @@ def write_enriched(df: DataFrame, path: str) -> None:
             for f in df.schema.fields
         ]
     )
-    flat.write.mode("overwrite").options(
-        header=True, quote='"', escape='"', sep=SEPARATORS.get(_suffix(path), ",")
+    flat.write.mode("errorifexists").options(
+        header=True, quote='"', escape='"', sep=SEPARATORS.get(_suffix(path), ","),
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)

@@ -57,6 +57,7 @@ def test_failures_go_to_the_error_table(spark):
     def open_predictor():
         opened = {"n": 0}
 
+        @predict.one_by_one
         def answer(prompt):
             opened["n"] += 1
             if "bad" in prompt:
@@ -100,3 +101,26 @@ def test_context_and_full_prompt(spark):
 def test_distribution(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "predicted_code string")
     assert [tuple(r) for r in report.intent_distribution(df).collect()] == [("b", 2), ("a", 1), ("c", 1)]
+
+
+def test_prompts_come_in_batches_and_a_failed_batch_is_asked_singly(spark):
+    rows = [(str(i), f"p{i}") for i in range(10)]
+
+    def open_predictor():
+        def answer(prompts):
+            if "p7" in prompts:
+                raise RuntimeError("out of luck")
+            return [f"{p} of {len(prompts)}" for p in prompts]
+
+        return answer
+
+    asked = spark.createDataFrame(rows, "guid string, prompt string").coalesce(1)
+    got = {r["guid"]: (r["raw"], r["error"]) for r in predict.predict(asked, open_predictor, batch=4).collect()}
+    want = {str(i): (f"p{i} of {4 if i < 4 else 1 if i < 8 else 2}", None) for i in range(10)}
+    assert got == {**want, "7": (None, "out of luck")}
+
+
+def test_too_few_answers_are_errors(spark):
+    asked = spark.createDataFrame([("1", "a"), ("2", "b")], "guid string, prompt string").coalesce(1)
+    outcomes = predict.predict(asked, lambda: lambda prompts: ["only one"][: 2 - len(prompts)])
+    assert {(r["guid"], r["raw"]) for r in outcomes.collect()} == {("1", "only one"), ("2", "only one")}

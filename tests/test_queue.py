@@ -48,3 +48,20 @@ def test_dry_run_writes_nothing(spark, tmp_path):
     assert not (tmp_path / "out").exists()
     written = queue.write_predictions(_messages(spark), _predictions(spark), "2024-06-01", path)
     assert written.count() == 7 and (tmp_path / "out").exists()
+
+
+def test_a_logged_batch_touches_nothing_written_before(spark, tmp_path):
+    log = str(tmp_path / "log")
+    messages = _messages(spark)
+    queue.log_predictions(_predictions(spark), "2024-06-01 12:00:00", log)
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "log").glob("part-*")}
+    later = spark.createDataFrame([("b", "Z", 1), ("a", "W", 1)], "guid string, predicted string, seq int")
+    queue.log_predictions(later, "2024-06-02 12:00:00", log)
+    after = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "log").glob("part-*")}
+    assert before.items() < after.items()
+    for small in (None, False):
+        rows = {r["guid"]: r for r in queue.with_logged(messages, spark.read.parquet(log), small).collect()}
+        assert len(rows) == messages.count()
+        assert (rows["a"]["predicted"], str(rows["a"]["predicted_date"])) == ("W", "2024-06-02 12:00:00")
+        assert rows["b"]["predicted"] == "Z" and rows["f"]["predicted"] is None
+        assert rows["d"]["predicted"] is None and rows["d"]["predicted_date"] is None

@@ -45,7 +45,7 @@ def test_other_suffix_is_an_error(spark):
 def test_columns_are_found_or_listed(spark):
     df = spark.createDataFrame([("a", "b", "c")], "`[SUBJECT]` string, ` Body` string, body string")
     assert files.resolve_message_columns(df) == {"subject": "[SUBJECT]", "body": " Body"}
-    with pytest.raises(ValueError, match="Available"):
+    with pytest.raises(ValueError, match="No column"):
         files.resolve_message_columns(df.select("body"))
 
 
@@ -57,6 +57,8 @@ def test_dimension_rows_are_numbered_in_file_order(spark, folder):
 
 
 def test_enriched_path():
+    assert files.enriched_path("s3a://bucket/dir/mail.parquet") == "s3a://bucket/dir/mail_with_keyphrases.parquet"
+    assert files.enriched_path("hdfs://nn:8020/a.b/mail") == "hdfs://nn:8020/a.b/mail_with_keyphrases.parquet"
     assert files.enriched_path("/data/mail.v1.csv") == "/data/mail.v1_with_keyphrases.parquet"
 
 
