@@ -55,19 +55,25 @@ def lexicon_from_table(raw: DataFrame, min_length: int = 0) -> DataFrame:
 def lexicon_from_json(texts: DataFrame) -> DataFrame:
     """(cat_no, code, term) of JSON texts ``{code: {"terms": [...]}}`` in ``row_no, value``.
 
-    Terms are distinct per code; the order of codes is that of the text.
+    Terms are distinct per code. ``cat_no`` is the pair of the text's number and the
+    code's place in it. Each category also has one row with a null term, so that one
+    without terms is still a category.
     """
     shape = "map<string, struct<terms: array<string>>>"
     entries = F.map_entries(F.from_json("value", shape))
     return (
         texts.select("row_no", F.posexplode(entries).alias("place", "entry"))
         .select(
-            (F.col("row_no").cast("bigint") * F.lit(1 << 20) + F.col("place")).alias("cat_no"),
+            F.struct(F.col("row_no").cast("bigint").alias("row_no"), "place").alias("cat_no"),
             F.col("entry.key").alias("code"),
-            F.explode("entry.value.terms").alias("term"),
+            F.explode(
+                F.concat(
+                    F.array(F.lit(None).cast("string")),
+                    F.coalesce("entry.value.terms", F.array().cast("array<string>")),
+                )
+            ).alias("term"),
         )
-        .withColumn("term", F.lower(strip_blanks(F.col("term"))))
-        .where(F.col("term") != "")
+        .withColumn("term", F.nullif(F.lower(strip_blanks(F.col("term"))), F.lit("")))
         .groupBy("code", "term")
         .agg(F.min("cat_no").alias("cat_no"))
         .select("cat_no", "code", "term")
@@ -149,8 +155,17 @@ def route_intents(intents: DataFrame, lexicon: DataFrame) -> DataFrame:
     A category relates when it equals the intent code, when the code continues
     it after an underscore, or when the category's name starts with the code.
     Both prefix relations are spelt out as keys, so this is an equi-join; an
-    intent without a category goes under its own code.
+    intent without a category goes under its own code. Only distinct codes are
+    routed, and their rows then look the category up.
     """
+    routed = route_codes(intents.select("intent_code").distinct(), lexicon)
+    return intents.select("row_no", "intent_code", "intent", "email").join(routed, "intent_code").select(
+        "row_no", "intent_code", "intent", "email", "category", "cat_no"
+    )
+
+
+def route_codes(codes: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(intent_code, category, cat_no) of distinct ``codes(intent_code)``."""
     code, cat = F.col("intent_code"), F.col("code")
     heads = F.filter(
         F.transform(
@@ -161,8 +176,8 @@ def route_intents(intents: DataFrame, lexicon: DataFrame) -> DataFrame:
         ),
         lambda head: head.isNotNull(),
     )
-    wanted = intents.select(
-        "row_no", "intent_code", "intent", "email",
+    wanted = codes.select(
+        "intent_code",
         F.explode(
             F.concat(
                 F.transform(F.array_append(heads, code), lambda k: F.struct(F.lit("name").alias("kind"), k.alias("key"))),
@@ -189,24 +204,21 @@ def route_intents(intents: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
     return (
         wanted.join(offered, ["kind", "key"], "left")
-        .groupBy("row_no", "intent_code", "intent", "email")
+        .groupBy("intent_code")
         .agg(F.min("category").alias("category"))
         .select(
-            "row_no", "intent_code", "intent", "email",
+            "intent_code",
             F.coalesce("category.code", "intent_code").alias("category"),
             F.col("category.cat_no").alias("cat_no"),
         )
     )
 
 
-def first_per_code(routed: DataFrame) -> DataFrame:
-    """Only the first row of each intent code can become a candidate.
-
-    Routing depends on the code alone, so the rows of a code share a category.
-    """
-    return routed.groupBy("intent_code").agg(
-        F.min(F.struct("row_no", "email", "category")).alias("first")
-    ).select("intent_code", "first.row_no", "first.email", "first.category")
+def first_per_code(intents: DataFrame) -> DataFrame:
+    """(intent_code, row_no, intent, email): the first row of each intent code."""
+    return intents.groupBy("intent_code").agg(
+        F.min(F.struct("row_no", "intent", "email")).alias("first")
+    ).select("intent_code", "first.row_no", "first.intent", "first.email")
 
 
 def terms_in_file_order(lexicon: DataFrame, n: int) -> DataFrame:

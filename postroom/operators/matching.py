@@ -6,15 +6,13 @@ words in one equi-join and the rest of a longer term is compared in place. So
 the work per position does not grow with the lexicon, and no pair of message
 and term is formed that shares no words.
 
-The terms are broadcast. A lexicon too large for one broadcast is matched in
-several passes over the text, each with its share of the terms: terms are
-independent, and reading the text again costs less than shuffling all its words.
+The terms are broadcast. A lexicon too large for one broadcast is broadcast in
+shares by the hash of its keys, which the words run past one after the other: the
+text is read, cleaned and taken apart once, and its words are never shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ from postroom.functions.text import (
     weighted_text,
 )
 from postroom.operators.dimensions import categories
-from postroom.operators.sizing import broadcast_passes, lookup
+from postroom.operators.sizing import broadcast_passes
 
 # A phrase occurrence counts double; mean hit lengths are
 # measured against five letters.
@@ -80,9 +78,9 @@ def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column)
 
     ``countable`` terms are their words and nothing else: each place where the
     words line up is an occurrence. Any other term, and one that can overlap
-    itself, is looked up by its longest word at that word's first place in the
-    text, and counted there by its pattern. ``once`` terms count for one however
-    often they occur.
+    itself, is looked up by its longest word among the distinct words of the text,
+    and counted there by its pattern. ``once`` terms are looked up there too, and
+    count for one however often they occur.
     """
     words = F.filter(F.split(with_gaps_marked(spelling), " "), lambda w: w != "")
     real = F.filter(F.col("words"), lambda w: w != _GAP_MARK)
@@ -92,68 +90,101 @@ def _keyed(terms: DataFrame, spelling: Column, countable: Column, once: Column)
         .withColumn("once", once)
         .withColumn("by_pattern", by_pattern)
         .withColumn("n", F.size("words"))
+        .withColumn("distinct", F.col("once") | F.col("by_pattern"))
         .withColumn(
             "key",
             F.when(F.col("once"), spelling)
             .when(F.col("by_pattern"), F.when(F.size(real) > 0, _longest(real)).otherwise(_GAP_MARK))
-            .otherwise(F.array_join(F.slice("words", 1, 2), " ")),
+            .otherwise(F.get("words", F.lit(0))),
         )
+        .withColumn("second", F.when(~F.col("distinct"), F.get("words", F.lit(1))))
+        .withColumn("hash", _key_hash(F.col("distinct"), F.col("key"), F.col("second")))
         .withColumn("spelling", spelling)
         .withColumn("pattern", F.when(F.col("by_pattern"), _whole_word_pattern(spelling)))
         .drop("words", "by_pattern")
     )
 
 
-def _occurrences(texts: DataFrame, keyed: DataFrame, text: Column, passes: int) -> DataFrame:
-    """Rows of (guid, term, times) for ``texts(guid, words, raw, ...)``.
+def _key_hash(distinct: Column, word: Column, following: Column) -> Column:
+    """64 bits of one or two words, apart for places and for distinct words; a null is skipped."""
+    return F.xxhash64(F.when(distinct, F.lit(1)).otherwise(F.lit(0)), word, following)
+
+
+def _shared_out(rows: DataFrame, dim: DataFrame, key: str, passes: int) -> DataFrame:
+    """Inner join with a dimension that one broadcast may not hold.
+
+    It is broadcast in shares by its key, so a row finds its matches in one of them;
+    the rows run past all shares in one go, and are neither read again nor shuffled.
+    """
+    if passes == 1:
+        return rows.join(F.broadcast(dim), key)
+    values = [c for c in dim.columns if c != key]
+    share = F.pmod(F.xxhash64(key), F.lit(passes))
+    found = rows
+    for i in range(passes):
+        part = dim.where(share == i).select(
+            F.col(key).alias(f"_{key}{i}"), F.struct(F.lit(True).alias("hit"), *values).alias(f"_share{i}")
+        )
+        found = found.join(F.broadcast(part), F.col(key) == F.col(f"_{key}{i}"), "left")
+    first = F.coalesce(*[F.col(f"_share{i}") for i in range(passes)])
+    return (
+        found.withColumn("_found", first)
+        .where("_found.hit")
+        .select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
+    )
+
+
+def _occurrences(
+    texts: DataFrame, keyed: DataFrame, text: Column, passes: int, single: bool
+) -> DataFrame:
+    """Rows of (guid, term, times) for ``texts(guid, words, once_words, pattern_words)``.
 
     A term yields one row per occurrence, or one row with its count, perhaps zero,
     where it is counted by pattern in ``text``. Callers sum ``times`` and then drop
     the zeros; a filter here would count every pattern twice. The join is on a
     64-bit hash, several times cheaper to look up than a string, and every match
-    is confirmed on the strings. ``raw`` holds the words before case variants
-    were evened out, for the terms that count ``once``.
+    is confirmed on the strings. Behind the words of a text come its distinct
+    words, for the terms that are looked up once: first those before case variants
+    were evened out, then, if these differ, those after. ``single`` tells whether
+    single words are counted by place. The work is linear in the text.
     """
-    place = F.col("pos") + 1
-    pair = F.concat("word", F.lit(" "), F.get("words", place))
+    place, size = F.col("pos") + 1, F.size("words")
+    at_place = F.col("pos") < size
+    second = F.when(at_place, F.get("words", place))
     # The outer form, as the plain form would have the optimizer evaluate the words
     # a second time, in a filter beneath the scan; a row without a word has no key.
-    keys = (
-        texts.select("*", F.posexplode_outer("words").alias("pos", "word"))
-        .select("*", F.explode(F.array(F.col("word"), pair)).alias("found"))
-        .withColumn("hash", F.xxhash64("found"))
-    )
+    words = F.concat("words", "once_words", "pattern_words")
+    keys = texts.select("*", F.posexplode_outer(words).alias("pos", "word")).withColumn("second", second)
+    one = _key_hash(~at_place, F.col("word"), F.lit(None).cast("string"))
+    two = _key_hash(F.lit(False), F.col("word"), F.col("second"))
+    if single:
+        keys = keys.select("*", F.explode(F.array(one, F.when(F.col("second").isNotNull(), two))).alias("hash"))
+    else:
+        keys = keys.withColumn(
+            "hash", F.when(~at_place, one).when(F.col("second").isNotNull(), two)
+        )
+    dim = keyed.withColumnRenamed("second", "key2")
     lined_up = (F.col("n") <= 2) | (
         F.array_join(F.slice("words", place, F.col("n")), " ") == F.col("spelling")
     )
-    same = F.col("found") == F.col("key")
+    same = F.col("word") == F.col("key")
+    of_once = F.col("pos") < size + F.size("once_words")
+    # Without case variants the distinct words stand once, for both kinds of terms.
+    of_pattern = ~of_once | (F.size("pattern_words") == 0)
     # The strings are compared within the branches, where the comparison stays a
     # check of each match and does not widen the join key.
     confirmed = (
-        F.when(F.col("once"), same & (F.array_position("raw", F.col("key")) == place))
-        .when(
-            F.col("pattern").isNotNull(),
-            same & (F.array_position("words", F.col("key")) == place),
-        )
-        .otherwise(same & lined_up)
+        F.when(F.col("once"), same & ~at_place & of_once)
+        .when(F.col("pattern").isNotNull(), same & ~at_place & of_pattern)
+        .otherwise(same & at_place & (F.col("key2").isNull() | (F.col("key2") == F.col("second"))) & lined_up)
     )
     times = F.when(F.col("pattern").isNull(), F.lit(1)).otherwise(
         F.regexp_count(text, F.col("pattern"))
     )
-
-    def matched(share: DataFrame) -> DataFrame:
-        dim = F.broadcast(share.withColumn("hash", F.xxhash64("key")))
-        return (
-            keys.join(dim, "hash")
-            .where(confirmed)
-            .select("guid", "term", times.cast("bigint").alias("times"))
-        )
-
-    if passes == 1:
-        return matched(keyed)
-    share = F.pmod(F.hash("term"), F.lit(passes))
-    return reduce(
-        DataFrame.unionByName, [matched(keyed.where(share == i)) for i in range(passes)]
+    return (
+        _shared_out(keys, dim, "hash", passes)
+        .where(confirmed)
+        .select("guid", "term", times.cast("bigint").alias("times"))
     )
 
 
@@ -178,7 +209,7 @@ def weighted_words(messages: DataFrame) -> DataFrame:
 
 
 def keyphrase_counts(
-    messages: DataFrame, lexicon: DataFrame, passes: int | None = None
+    messages: DataFrame, lexicon: DataFrame, passes: int | None = None, bucketed: bool = False
 ) -> DataFrame:
     """(guid, cat_no, code, term, n): whole-word occurrences in the weighted text.
 
@@ -187,7 +218,7 @@ def keyphrase_counts(
     distinct term is counted once per message, and only its count meets the
     categories that list it.
     """
-    passes = broadcast_passes(lexicon) if passes is None else passes
+    passes = broadcast_passes(lexicon.select("term").distinct()) if passes is None else passes
     listed = (
         lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
         .select("code", "term")
@@ -195,23 +226,39 @@ def keyphrase_counts(
         .join(categories(lexicon), "code")
     )
     keyed = _keyed(listed.select("term").distinct(), F.col("term"), F.lit(True), F.lit(False))
-    texts = weighted_words(messages).withColumn("raw", F.col("words"))
+    texts = weighted_words(messages).select(
+        "*", F.array_distinct("words").alias("once_words"), _no_words().alias("pattern_words")
+    )
     text = F.array_join("words", " ")
     counts = (
-        _occurrences(texts, keyed, text, passes)
+        _per_message(_occurrences(texts, keyed, text, passes, single=True), bucketed)
         .groupBy("guid", "term")
         .agg(F.sum("times").alias("n"))
         .where(F.col("n") > 0)
     )
-    return counts.join(lookup(listed, passes == 1), "term").select(
+    passes = max(passes, broadcast_passes(listed)) if passes > 1 else 1
+    return _shared_out(counts, listed, "term", passes).select(
         "guid", "cat_no", "code", "term", "n"
     )
 
 
+def _no_words() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _per_message(hits: DataFrame, bucketed: bool) -> DataFrame:
+    """Bring the hits of a message together by its guid alone.
+
+    Whatever is grouped by guid and more, and joined by guid, needs no other shuffle
+    of hits after that. Over a table bucketed by guid they are together already.
+    """
+    return hits if bucketed else hits.repartition("guid")
+
+
 def keyphrase_json(messages: DataFrame, counts: DataFrame) -> DataFrame:
     """(guid, keyphrase_stats): ``{code: {term: n}}`` of the hits, null without any.
 
-    Categories in file order, terms longest first. The lists nested here hold
+    Guids must not be null. Categories in file order, terms longest first. The lists nested here hold
     at most one entry per term of the lexicon.
     """
     per_category = counts.groupBy("guid", "code").agg(
@@ -239,10 +286,11 @@ def keyphrase_json(messages: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def rule_texts(messages: DataFrame) -> DataFrame:
-    """(guid, text, words, raw) of the uncleaned lower-case text.
+    """(guid, text, words, raw, once_words, pattern_words) of the uncleaned lower-case text.
 
     ``raw`` are its words. ``text`` and ``words`` have case variants evened out,
-    which hardly any text holds.
+    which hardly any text holds. ``once_words`` are the distinct words of ``raw``, and
+    ``pattern_words`` those of ``words`` where they may differ.
     """
 
     def words(text: str) -> Column:
@@ -255,7 +303,13 @@ def rule_texts(messages: DataFrame) -> DataFrame:
         .select(
             "*", F.when(plain, F.col("lower")).otherwise(fold_case_variants(F.col("lower"))).alias("text")
         )
-        .select("guid", "text", F.when(plain, F.col("raw")).otherwise(words("text")).alias("words"), "raw")
+        .select(
+            "guid", "text", "plain", F.when(plain, F.col("raw")).otherwise(words("text")).alias("words"), "raw"
+        )
+        .select(
+            "guid", "text", "words", "raw", F.array_distinct("raw").alias("once_words"),
+            F.when(plain, _no_words()).otherwise(F.array_distinct("words")).alias("pattern_words"),
+        )
     )
 
 
@@ -263,20 +317,20 @@ def token_set(messages: DataFrame) -> DataFrame:
     """(guid, token): the distinct words made only of a-z and 0-9."""
     return rule_texts(messages).select(
         "guid",
-        F.explode(
-            F.array_distinct(F.filter("raw", lambda w: w.rlike("^[a-z0-9]+$")))
-        ).alias("token"),
+        F.explode(F.filter("once_words", lambda w: w.rlike("^[a-z0-9]+$"))).alias("token"),
     )
 
 
-def rule_hits(messages: DataFrame, terms: DataFrame, passes: int | None = None) -> DataFrame:
+def rule_hits(
+    messages: DataFrame, terms: DataFrame, passes: int | None = None, bucketed: bool = False
+) -> DataFrame:
     """(guid, cat_no, code, term, is_phrase, times, repeats, score), to be summed.
 
     ``terms`` is a numbered lexicon. A single word scores one per listing
     however often it occurs; each occurrence of a phrase scores double.
     A term listed twice counts twice.
     """
-    passes = broadcast_passes(terms) if passes is None else passes
+    passes = broadcast_passes(terms.select("term").distinct()) if passes is None else passes
     term, is_phrase = F.col("term"), F.contains(F.col("term"), F.lit(" "))
     spelling = F.when(is_phrase, fold_case_variants(term)).otherwise(term)
     matchable = terms.where(is_phrase | term.rlike("^[a-z0-9]+$"))
@@ -287,9 +341,11 @@ def rule_hits(messages: DataFrame, terms: DataFrame, passes: int | None = None)
         once=~is_phrase,
     )
     listed = matchable.select("term", "cat_no", "code", "mult")
-    hits = _occurrences(rule_texts(messages), keyed, F.col("text"), passes).join(
-        lookup(listed, passes == 1), "term"
+    found = _per_message(
+        _occurrences(rule_texts(messages), keyed, F.col("text"), passes, single=False), bucketed
     )
+    passes = max(passes, broadcast_passes(listed)) if passes > 1 else 1
+    hits = _shared_out(found, listed, "term", passes)
     repeats = F.col("times") * F.col("mult")
     return hits.select(
         "guid", "cat_no", "code", "term", is_phrase.alias("is_phrase"), "times",

@@ -40,19 +40,30 @@ def lookup(dimension: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(dimension) if small else dimension
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give every core work when an input is too small to fill one wave of scan tasks.
 
-    A single small file arrives as one task however many cores wait. Only inputs
-    under one wave of full splits are moved, so what is shuffled here is bounded
-    by the cluster, not by the data; larger inputs keep their scan partitions.
+    A single small file arrives as one task however many cores wait. Rows are then
+    dealt round in turn, by no key, so that what follows is planned exactly as over
+    a large input; that one keeps its scan partitions.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    ))
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * split_bytes:
-        return df
-    return df.repartition(2 * cores, *keys)
+    return df if size >= cores * split else df.repartition(2 * cores)
+
+
+def _bytes(text: str) -> int:
+    """A size setting such as ``128m`` or ``134217728b``."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = text.lower().removesuffix("ib").removesuffix("b")
+    digits = number.rstrip("kmgt")
+    return int(digits) * units[number[len(digits) :]]
+
+
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raise if a key stands in more than one row; only the largest count comes back."""
+    most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if (most or 0) > 1:
+        raise ValueError(f"{key} must be unique, but a value of it stands in {most} rows")

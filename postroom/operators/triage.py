@@ -30,6 +30,8 @@ from postroom.operators.sizing import broadcast_passes, is_small, lookup
 KEYWORD_EMAIL, KEYWORD_ONLY, KEYWORD_NO_INTENT = "keyword+email_", "keyword_only", "keyword_no_intent"
 EMAIL_ONLY, FALLBACK, UNMATCHED = "email_only", "llm_fallback", "unmatched"
 HIGH, MEDIUM, LOW = "high", "medium", "low"
+# Stands for a missing guid on the way through the joins.
+NO_GUID = "\0"
 ADDRESS_MODES = ("exact", "domain", "fuzzy")
 
 
@@ -44,24 +46,27 @@ class Rules:
     lexicon: DataFrame
     intents: DataFrame
     passes: int
-    small: bool
+    small: bool  # whether the intents fit one broadcast
 
     @classmethod
     def load(cls, lexicon_table: DataFrame, intent_table: DataFrame) -> Rules:
         lexicon = lexicon_from_table(lexicon_table, MIN_TERM_LENGTH)
         intents = intents_from_table(intent_table)
-        passes = broadcast_passes(lexicon)
-        small = passes == 1 and is_small(intents)
+        passes, small = broadcast_passes(lexicon), is_small(intents)
+        # One task holds a table that fits one broadcast, so tables derived from it
+        # need no shuffle.
+        if passes == 1:
+            lexicon = lexicon.coalesce(1)
         if small:
-            # One task holds either, so tables derived from them need no shuffle.
-            lexicon, intents = lexicon.coalesce(1), intents.coalesce(1)
+            intents = intents.coalesce(1)
         return cls(lexicon, intents, passes, small)
 
-    def hits(self, messages: DataFrame) -> DataFrame:
-        return rule_hits(messages, numbered(self.lexicon), self.passes)
+    def hits(self, messages: DataFrame, bucketed: bool = False) -> DataFrame:
+        return rule_hits(messages, numbered(self.lexicon), self.passes, bucketed)
 
     def candidates(self) -> DataFrame:
-        return first_per_code(route_intents(self.intents, self.lexicon))
+        """Only the first row of each intent code can become a candidate."""
+        return route_intents(first_per_code(self.intents), self.lexicon)
 
 
 def ranked_categories(scores: DataFrame) -> DataFrame:
@@ -142,14 +147,20 @@ def triage(
     address_mode: str = "exact",
     score_mode: str = "count",
     carry: Column | None = None,
+    bucketed: bool = False,
 ) -> DataFrame:
     """One decision per message of ``messages(guid, to, subject, body)``.
 
     (guid, matched_categories, candidate_intents, final_intents, match_source,
     confidence). ``carry`` adds one column over the messages, for callers that
-    go on with the undecided.
+    go on with the undecided. A message without a guid is decided like any other if
+    it is the only one; the jobs refuse guids that repeat. ``bucketed`` says that the
+    messages come from a table bucketed by guid.
     """
-    scores = category_scores(rules.hits(messages), score_mode)
+    if not bucketed:
+        # A null would not find its hits again; a stand-in keeps the join a plain one.
+        messages = messages.withColumn("guid", F.coalesce("guid", F.lit(NO_GUID)))
+    scores = category_scores(rules.hits(messages, bucketed), score_mode)
     kept = [] if carry is None else [carry.alias("carried")]
     every = messages.select("guid", "to", *kept)
     recipients = lookup(by_address(rules.intents), rules.small)
@@ -190,7 +201,7 @@ def triage(
         .otherwise(HIGH)
     )
     return decided.select(
-        "guid",
+        "guid" if bucketed else F.when(F.col("guid") != NO_GUID, F.col("guid")).alias("guid"),
         F.coalesce("matched_categories", none).alias("matched_categories"),
         F.coalesce(codes("candidates"), none).alias("candidate_intents"),
         final.alias("final_intents"),
@@ -231,5 +242,7 @@ def with_keyword_hits(decisions: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def stored(decisions: DataFrame) -> DataFrame:
-    """(guid, predicted): final intents as they are written back."""
-    return decisions.select("guid", F.array_join("final_intents", ",").alias("predicted"))
+    """(guid, predicted, match_source, confidence): final intents as they are written back."""
+    return decisions.select(
+        "guid", F.array_join("final_intents", ",").alias("predicted"), "match_source", "confidence"
+    )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions.text import clean_text
+from postroom.operators.predict import one_by_one
 from postroom.operators.sizing import spread
 
 # The small lexicon and intent table used with `documents`.
@@ -78,7 +81,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as mail: the first line is the subject, the rest the body."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    docs = spread(docs.withColumn("guid", F.col("doc_id").cast("string")), "guid")
+    docs = spread(docs.withColumn("guid", F.col("doc_id").cast("string")))
     first_break = F.instr("text", "\n")
     recipient = F.get(
         F.array(*[F.lit(r) for r in RECIPIENTS]), (F.col("doc_id") % 7).cast("int")
@@ -168,6 +171,18 @@ def benchmark_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lexicon_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_no, value): the small lexicon as one JSON text, with a category that has no terms
+    and one that names none."""
+    terms: dict[str, list[str]] = {}
+    for code, term in LEXICON:
+        terms.setdefault(code, []).extend([] if term is None else [term])
+    value = json.dumps({**{c: {"terms": t} for c, t in terms.items()}, "Empty": {"terms": []}, "Bare": {}})
+    return table(spark, sf_dir, "documents").limit(1).select(
+        F.lit(0).cast("bigint").alias("row_no"), F.lit(value).alias("value")
+    )
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(guid, raw): answers of every good and bad shape, wrapped around `documents`."""
     return table(spark, sf_dir, "documents").selectExpr(
@@ -209,6 +224,7 @@ FALLBACK_RESPONSE = """CASE doc_id % 7
 def open_stub():
     """A deterministic predictor: the answer depends on the prompt's length."""
 
+    @one_by_one
     def answer(prompt: str) -> str:
         n = len(prompt)
         if n % 11 == 0:
@@ -220,6 +236,7 @@ def open_stub():
 
 
 def open_fallback_stub():
+    @one_by_one
     def answer(prompt: str) -> str:
         n = len(prompt)
         if n % 5 == 0:

@@ -18,6 +18,7 @@ from postroom.functions.text import (
 from postroom.operators.prompts import CONTEXT, FALLBACK_PROMPT, MESSAGE_PROMPT
 from postroom.plans import fixtures
 from postroom.plans.queries import ORGANISATION, PREDICTED_AT, QUEUE_LENGTH
+from postroom.sources.files import MISSING
 
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -301,9 +302,12 @@ def _texts(step, table: str, key: str, col: str) -> str:
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["lexicon_terms"] = """WITH t AS (
-SELECT item_id * 1048576 AS cat_no, 'item_' || item_id AS code, unnest(string_split(text, ' ')) AS term FROM benchmark
-UNION ALL SELECT item_id * 1048576 + 1, 'item_' || item_id || '_head', unnest(string_split(text, ' ')[1:5]) FROM benchmark)
-SELECT DISTINCT cat_no, code, lower(trim(term)) AS term FROM t WHERE trim(term) <> ''"""
+SELECT item_id, 0 AS place, '' AS kind, unnest(string_split(text, ' ')) AS term FROM benchmark
+UNION ALL SELECT item_id, 1, '_head', unnest(string_split(text, ' ')[1:5]) FROM benchmark
+UNION ALL SELECT item_id, k, kinds[k + 1], NULL FROM benchmark,
+ (SELECT unnest([0, 1, 2]) AS k, ['', '_head', '_none'] AS kinds))
+SELECT DISTINCT item_id AS file_no, CAST(place AS INTEGER) AS place, 'item_' || item_id || kind AS code,
+ nullif(lower(trim(term)), '') AS term FROM t"""
     out["lexicon_table"] = f"""WITH {_PART},
 cats AS (SELECT code, min(row_no) AS cat_no FROM part_lex GROUP BY code)
 SELECT cat_no, code, term, min(row_no) AS row_no, count(*) AS mult
@@ -332,9 +336,10 @@ SELECT (SELECT count(DISTINCT code) FROM part_lex) AS categories, (SELECT count(
     )
     out["strip_urls"] = _texts(_without_urls, "pages", "page_id", "html")
     out["strip_addresses"] = _texts(_without_addresses, "documents", "doc_id", "text")
-    out["clean_text"] = f"""SELECT 'documents' AS table_name, doc_id AS id, {_cleaned('text')} AS text FROM documents
-UNION ALL SELECT 'pages', page_id, {_cleaned('html')} FROM pages
-UNION ALL SELECT 'conversations', conv_id * 1000 + turn, {_cleaned('text')} FROM conversations"""
+    out["clean_text"] = f"""SELECT 'documents' AS table_name, doc_id AS id, CAST(NULL AS BIGINT) AS turn,
+ {_cleaned('text')} AS text FROM documents
+UNION ALL SELECT 'pages', page_id, NULL, {_cleaned('html')} FROM pages
+UNION ALL SELECT 'conversations', conv_id, turn, {_cleaned('text')} FROM conversations"""
     out["weighted_text"] = f"WITH {_MESSAGES}, {_WEIGHTED} SELECT guid, text FROM w"
 
     out["keyphrase_counts"] = f"WITH {_COUNTS} SELECT guid, cat_no, code, term, n FROM counts WHERE n > 0"
@@ -360,6 +365,23 @@ per AS (SELECT guid, cat_no, code, '"' || code || '":{{' || string_agg('"' || te
  ORDER BY length(term) DESC, term) || '}}' AS part FROM counts WHERE n > 0 GROUP BY guid, cat_no, code),
 js AS (SELECT guid, '{{' || string_agg(part, ',' ORDER BY cat_no) || '}}' AS keyphrase_stats FROM per GROUP BY guid)
 SELECT m.guid, keyphrase_stats FROM m LEFT JOIN js USING (guid)"""
+    # Categories in the order of their names in the JSON text; two hold no terms.
+    out["match_summary_json"] = f"""WITH {_COUNTS},
+every AS (SELECT code, min(row_no) AS place FROM lex_raw0 GROUP BY code
+ UNION ALL SELECT 'Empty', 1000 UNION ALL SELECT 'Bare', 1001),
+hit AS (SELECT code, count(DISTINCT guid) AS matched FROM counts WHERE n > 0 GROUP BY code)
+SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS place, code, coalesce(matched, 0) AS matched,
+ CAST(100.0 AS DOUBLE) * coalesce(matched, 0) / (SELECT count(*) FROM m) AS pct
+FROM every LEFT JOIN hit USING (code)""".replace("lex_raw0", "(SELECT row_no, code0 AS code FROM lex_raw)")
+    # Delimited cells that read as missing come back as null.
+    gone = ", ".join(_text(mark) for mark in MISSING)
+    for kind in ("parquet", "csv", "tsv"):
+        field = (lambda x: x) if kind == "parquet" else (lambda x: f"CASE WHEN {x} NOT IN ({gone}) THEN {x} END")
+        out[f"enriched_{kind}"] = f"""WITH {_COUNTS},
+per AS (SELECT guid, cat_no, code, '"' || code || '":{{' || string_agg('"' || term || '":' || n, ','
+ ORDER BY length(term) DESC, term) || '}}' AS part FROM counts WHERE n > 0 GROUP BY guid, cat_no, code),
+js AS (SELECT guid, '{{' || string_agg(part, ',' ORDER BY cat_no) || '}}' AS keyphrase_stats FROM per GROUP BY guid)
+SELECT m.guid, {field('subject')} AS subject, {field('body')} AS body, keyphrase_stats FROM m LEFT JOIN js USING (guid)"""
     out["match_summary"] = f"""WITH {_COUNTS},
 hit AS (SELECT code, count(DISTINCT guid) AS matched FROM counts WHERE n > 0 GROUP BY code)
 SELECT cat_no, code, coalesce(matched, 0) AS matched,

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from postroom.functions import text
 from postroom.operators import dimensions, matching, predict, prompts, queue, report, triage
 from postroom.operators.sizing import spread
+from postroom.operators.staging import Staging
 from postroom.plans import fixtures, jobs
+from postroom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 PREDICTED_AT = "2024-06-01 12:00:00"
@@ -47,7 +49,7 @@ def _labelled(spark: SparkSession) -> DataFrame:
 
 def _texts(spark: SparkSession, sf_dir: str, name: str, key: str, col: str) -> DataFrame:
     df = fixtures.table(spark, sf_dir, name)
-    return spread(df.select(F.col(key).alias("id"), F.col(col).alias("text")), "id")
+    return spread(df.select(F.col(key).alias("id"), F.col(col).alias("text")))
 
 
 def _step(spark: SparkSession, sf_dir: str, name: str, key: str, col: str,
@@ -60,7 +62,8 @@ def _step(spark: SparkSession, sf_dir: str, name: str, key: str, col: str,
 
 @query
 def lexicon_terms(spark, sf_dir):
-    return dimensions.lexicon_from_json(fixtures.benchmark_json(spark, sf_dir))
+    terms = dimensions.lexicon_from_json(fixtures.benchmark_json(spark, sf_dir))
+    return terms.select(F.col("cat_no.row_no").alias("file_no"), "cat_no.place", "code", "term")
 
 
 @query
@@ -132,7 +135,7 @@ def strip_html(spark, sf_dir):
 @query
 def strip_headers(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents")
-    mail = spread(docs.select("doc_id", "source", "text"), "doc_id").select(
+    mail = spread(docs.select("doc_id", "source", "text")).select(
         F.col("doc_id").alias("id"),
         F.concat(
             F.lit("From: "), "source", F.lit("\nSubject: x\n-- original message --\n"), "text",
@@ -156,11 +159,12 @@ def strip_addresses(spark, sf_dir):
 def clean_text(spark, sf_dir):
     pages = _texts(spark, sf_dir, "pages", "page_id", "html")
     docs = _texts(spark, sf_dir, "documents", "doc_id", "text")
-    turns = spread(fixtures.table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
+    turns = spread(fixtures.table(spark, sf_dir, "conversations")).select(
+        F.col("conv_id").alias("id"), F.col("turn").cast("bigint").alias("turn"), "text"
     )
+    docs, pages = (df.withColumn("turn", F.lit(None).cast("bigint")) for df in (docs, pages))
     named = [
-        df.select(F.lit(name).alias("table_name"), "id", "text")
+        df.select(F.lit(name).alias("table_name"), "id", "turn", "text")
         for name, df in [("documents", docs), ("pages", pages), ("conversations", turns)]
     ]
     every = named[0].unionByName(named[1]).unionByName(named[2])
@@ -206,6 +210,50 @@ def match_summary(spark, sf_dir):
     )
 
 
+@query
+def match_summary_json(spark, sf_dir):
+    """Over a JSON lexicon, of which two categories have no terms."""
+    messages = fixtures.messages(spark, sf_dir)
+    lexicon = dimensions.lexicon_from_json(fixtures.lexicon_json(spark, sf_dir))
+    summary = report.match_summary(messages, matching.keyphrase_counts(messages, lexicon), lexicon)
+    return summary.select(F.col("cat_no.place").alias("place"), "code", "matched", "pct")
+
+
+# Files
+
+
+def _enriched(spark, sf_dir, suffix, out):
+    """Mail of `documents` in a file, read by suffix, enriched, written, and read again."""
+    staging = Staging(spark)
+    mail = fixtures.messages(spark, sf_dir).select(
+        F.col("guid").alias("Id"), F.col("subject").alias("[Subject]"), F.col("body").alias(" Body")
+    )
+    source, target = (f"{staging.path}/{name}" for name in (f"mail{suffix}", f"enriched{out}"))
+    files.write_enriched(mail, source)
+    lexicon = fixtures.lexicon_json(spark, sf_dir).select("value")
+    lexicon.write.text(f"{staging.path}/terms")
+    jobs.keyphrase_job(spark, source, f"{staging.path}/terms/*.txt", target, key="Id")
+    back = files.read_table(spark, target)
+    return files.as_messages(back, "Id").join(
+        back.select(F.col("Id").alias("guid"), "keyphrase_stats"), "guid"
+    )
+
+
+@query
+def enriched_parquet(spark, sf_dir):
+    return _enriched(spark, sf_dir, ".parquet", ".parquet")
+
+
+@query
+def enriched_csv(spark, sf_dir):
+    return _enriched(spark, sf_dir, ".csv", ".parquet")
+
+
+@query
+def enriched_tsv(spark, sf_dir):
+    return _enriched(spark, sf_dir, ".tsv", ".csv")
+
+
 # Rules
 
 

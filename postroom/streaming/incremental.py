@@ -28,7 +28,7 @@ def triage_stream(
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        decided = triage(spread(batch, "guid"), rules, address_mode, score_mode)
+        decided = triage(spread(batch), rules, address_mode, score_mode)
         decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (

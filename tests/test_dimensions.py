@@ -31,7 +31,13 @@ def test_lexicon_columns_fall_back(spark):
 def test_lexicon_json(spark):
     text = '{"B": {"terms": [" Bill ", "bill", "", "My Bill"]}, "A": {"terms": ["x"]}, "N": {}}'
     got = dimensions.lexicon_from_json(spark.createDataFrame([(0, text)], "row_no int, value string"))
-    assert _rows(got) == [(0, "B", "bill"), (0, "B", "my bill"), (1, "A", "x")]
+    # A row with a null term stands for each category itself, also one without terms.
+    found = {(tuple(r["cat_no"]), r["code"], r["term"]) for r in got.collect()}
+    assert got.count() == len(found)
+    assert found == {
+        ((0, 0), "B", None), ((0, 0), "B", "bill"), ((0, 0), "B", "my bill"),
+        ((0, 1), "A", None), ((0, 1), "A", "x"), ((0, 2), "N", None),
+    }
 
 
 def _raw_intents(spark):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -154,3 +155,20 @@ def test_hot_text_and_shuffle_width_do_not_change_counts(spark):
     one, many = run("1"), run("7")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert one == many and sum(one.values()) >= 300
+
+
+def test_matching_is_linear_in_the_text(spark):
+    """Hits far behind the start of a long text cost no more than those near it."""
+    def seconds(words):
+        body = "lorem ipsum " * (words // 4) + "und license " * (words // 4)
+        messages = _messages(spark, [body]).coalesce(1)
+        terms = dimensions.numbered(_lexicon(spark, ["und", "license", "e-bill x"]))
+        best = float("inf")
+        for _ in range(2):
+            start = time.perf_counter()
+            matching.rule_hits(messages, terms, 1).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    seconds(1_000)
+    assert seconds(128_000) < 4 * seconds(32_000) + 1

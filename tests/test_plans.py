@@ -33,11 +33,47 @@ def test_matching_never_shuffles_words(spark):
     lexicon = queries._keyphrase_lexicon(spark)
     one = plan(matching.keyphrase_counts(messages, lexicon, passes=1))
     assert "SortMergeJoin" not in one and one.count("BroadcastHashJoin") >= 2
-    # One exchange spreads the small file; counting reuses its partitioning.
+    # Hits meet by guid once; counting needs nothing else.
+    assert one.count("Exchange hashpartitioning(") == one.count("Exchange hashpartitioning(guid") + one.count("Exchange hashpartitioning(code") + one.count("Exchange hashpartitioning(term")
     assert one.count("Exchange hashpartitioning(guid") == 1
     assert "BroadcastHashJoin [hash" in one
-    three = plan(matching.keyphrase_counts(messages, lexicon, passes=3))
-    assert three.count("BroadcastHashJoin [hash") == 3
+
+
+def test_a_large_lexicon_is_matched_in_one_reading(spark, tmp_path):
+    messages = stored_messages(spark, tmp_path)
+    lexicon = queries._keyphrase_lexicon(spark)
+    text = plan(matching.keyphrase_counts(messages, lexicon, passes=3))
+    assert text.count("FileScan parquet") == 1
+    assert text.count("BroadcastHashJoin [hash") == 3
+    assert "SortMergeJoin" not in text
+    hits = text.split("Exchange hashpartitioning(guid")[0]
+    assert "Exchange hashpartitioning(term" not in hits and "Exchange hashpartitioning(code" not in hits
+
+
+def stored_messages(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    fixtures.messages(spark, SF).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def by_guid(df):
+    text = plan(df)
+    return text.count("Exchange hashpartitioning(guid")
+
+
+def test_hits_and_messages_meet_in_two_shuffles(spark, tmp_path):
+    messages = stored_messages(spark, tmp_path)
+    rules = triage.Rules.load(fixtures.lexicon_table(spark), fixtures.intent_table(spark))
+    decided = triage.triage(messages, rules)
+    assert by_guid(decided) == 2
+    text = plan(decided)
+    assert "SortMergeJoin" not in text.split("Exchange hashpartitioning(guid")[-1]
+    counts = matching.keyphrase_counts(messages, queries._keyphrase_lexicon(spark))
+    assert by_guid(matching.keyphrase_json(messages, counts)) == 2
+    # A lexicon of many shares leaves the intents where they were.
+    many = triage.Rules(rules.lexicon, rules.intents, passes=2, small=True)
+    text = plan(triage.triage(messages, many))
+    assert by_guid(triage.triage(messages, many)) == 2 and "hashpartitioning(address" not in text
 
 
 def test_passes_follow_the_measured_size(spark):
@@ -54,9 +90,9 @@ def test_a_table_bucketed_by_guid_needs_no_shuffle(spark, tmp_path):
     files.write_bucketed(fixtures.messages(spark, SF), name, 8, str(tmp_path / name))
     messages = spark.table(name)
     rules = triage.Rules.load(fixtures.lexicon_table(spark), fixtures.intent_table(spark))
-    text = plan(triage.triage(messages, rules))
+    text = plan(triage.triage(messages, rules, bucketed=True))
     assert "Exchange hashpartitioning(guid" not in text
-    assert triage.triage(messages, rules).count() == 200
+    assert triage.triage(messages, rules, bucketed=True).count() == 200
     spark.sql(f"DROP TABLE {name}")
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from postroom.operators import report, triage
+from postroom.operators import predict, report, triage
 from postroom.plans import jobs
 
 LEXICON = [
@@ -126,6 +126,7 @@ def test_unknown_mode_is_an_error(rules, messages):
 
 def test_predictor_answers_only_the_unmatched(rules, messages):
     def open_predictor():
+        @predict.one_by_one
         def answer(prompt):
             assert "hi there" in prompt.lower(), prompt
             return 'Sure {"intent_codes": ["Nope", "Other", "Billing", "Other"]}'
@@ -138,6 +139,7 @@ def test_predictor_answers_only_the_unmatched(rules, messages):
 
 def test_failing_predictor_leaves_unclassified(rules, messages):
     def open_predictor():
+        @predict.one_by_one
         def answer(prompt):
             raise RuntimeError("down")
 
