@@ -30,7 +30,7 @@ from postroom.llm.common import (
 from postroom.llm.encoding import byte_batches
 
 # Learning of labels is bounded to this many documents; the character model reads all.
-SAMPLE = 12_000
+SAMPLE = 8_000
 RUN_BYTES = 4 * 1024 * 1024
 BITS = 20
 GRAMS = (3, 4, 5, 6)
@@ -293,6 +293,37 @@ def _gram_weights(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return np.where(counts[1] >= LEAST_DOCUMENTS, np.maximum(toxic - clean, 0), 0).astype(np.float32)
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression, the first column constant, by Newton steps that never lose.
+
+    Columns are scaled; the penalty keeps the layer finite where the classes part cleanly,
+    and a step is halved until the penalised loss goes down.
+    """
+    scale = np.maximum(np.abs(x).max(axis=0, initial=0), 1e-9)
+    z = x / scale
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-3
+
+    def loss(v: np.ndarray) -> float:
+        score = z @ v
+        return float(np.sum(np.logaddexp(0, score) - y * score) + 0.5 * np.sum(penalty * v * v))
+
+    layer = np.zeros(x.shape[1])
+    now = loss(layer)
+    for _ in range(50):
+        chance = 0.5 * (1 + np.tanh(0.5 * (z @ layer)))
+        slope = z.T @ (chance - y) + penalty * layer
+        curve = (z.T * (chance * (1 - chance))) @ z + np.diag(penalty)
+        step = np.linalg.solve(curve, slope)
+        while loss(layer - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        layer = layer - step
+        before, now = now, loss(layer)
+        if before - now < 1e-9 * max(1.0, abs(before)):
+            break
+    return layer / scale
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: n-gram weights from the sample, and the logistic layer over their evidence.
 
@@ -316,12 +347,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = word_weights(pa.array(words, pa.string()), weights)
             x[i] = [1, *_evidence(np.zeros(len(words), np.int64), np.arange(len(words)), best, 1)[0]]
     weights = _gram_weights(every, all_documents)
-    layer = np.zeros(TOP + 2)
-    ridge = np.diag([1e-3] + [0.1] * (TOP + 1))
-    for _ in range(30):
-        chance = 1 / (1 + np.exp(-(x @ layer)))
-        slope = x.T @ (y - chance) - ridge @ layer
-        layer += np.linalg.solve((x.T * (chance * (1 - chance))) @ x + ridge, slope).clip(-3, 3)
+    layer = _logistic(x, y)
     yield pa.RecordBatch.from_arrays(
         [pa.array([weights.tobytes()], pa.binary()), pa.array([layer.tolist()])],
         names=["weights", "layer"],
@@ -347,7 +373,7 @@ def _scores(model: np.ndarray, weights: np.ndarray, layer: np.ndarray) -> Callab
         texts = _restored(column, restore)
         owner, codes, words = _words(texts)
         seen = _evidence(owner, codes, word_weights(words, weights), len(texts))
-        return 1 / (1 + np.exp(-(layer[0] + seen @ layer[1:])))
+        return 0.5 * (1 + np.tanh(0.5 * (layer[0] + seen @ layer[1:])))
 
     return score
 

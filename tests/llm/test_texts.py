@@ -240,3 +240,15 @@ def test_pipeline(spark):
     for pieces in sequences.values():
         ends = [0, *(o + n for o, n in sorted(pieces))]
         assert ends[:-1] == [o for o, _ in sorted(pieces)] and ends[-1] <= 1024
+
+
+def test_the_layer_stays_finite_where_classes_part_cleanly():
+    rng = np.random.default_rng(0)
+    for n in (2, 50, 5_000):
+        y = (np.arange(n) % 2).astype(float)
+        x = np.stack([np.ones(n), 40 * y + rng.random(n), rng.random(n) * (y == 0), np.zeros(n)], axis=1)
+        layer = toxicity._logistic(x, y)
+        assert np.isfinite(layer).all()
+        assert (((x @ layer) > 0) == (y > 0)).all()
+    assert np.isfinite(toxicity._logistic(np.ones((4, 3)), np.zeros(4))).all()
+    assert (toxicity._logistic(np.zeros((0, 3)), np.zeros(0)) == 0).all()
