@@ -114,3 +114,35 @@ def kept_rows(docs: DataFrame, version: Column, decided: DataFrame) -> DataFrame
     single = keyed.join(out, same(out), "left_anti")
     once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_version"])
     return single.unionByName(once).select(*docs.columns)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of a sorted stream that end where a run of equal keys ends."""
+    held: list[pa.RecordBatch] = []
+    rows, wanted = 0, most
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wanted:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        found = changes(table, keys)
+        if len(found) == 0:
+            # One long run: looked at again once it has doubled.
+            held, wanted = table.to_batches(), 2 * rows
+            continue
+        cut = int(found[-1])
+        yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        rows, wanted = rows - cut, most
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows that begin a run, but for the first."""
+    changed = np.zeros(max(0, table.num_rows - 1), bool)
+    for key in keys:
+        column = table.column(key).to_numpy()
+        changed |= column[1:] != column[:-1]
+    return np.flatnonzero(changed) + 1

@@ -24,9 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.common import buffer_of, partitions, small_batches, text_of, written
+from postroom.llm.common import (
+    buffer_of,
+    changes,
+    partitions,
+    small_batches,
+    text_of,
+    whole_runs,
+    written,
+)
 from postroom.llm.encoding import byte_batches
-from postroom.llm.simhash import _changes, _whole_runs
 
 LENGTH = 100
 ANCHOR = 24
@@ -157,7 +164,7 @@ def _rows(key, inner, doc_id, version, start, strings) -> pa.RecordBatch:
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sorted contexts: repeats as intervals, and first contexts of anchors with several."""
-    for table in _whole_runs(batches, ["key"]):
+    for table in whole_runs(batches, ["key"]):
         key, inner, doc_id, version, start, strings = (c.to_numpy() for c in table.columns)
         known = strings < 0
         yield _rows(key[known], inner[known], doc_id[known], version[known], start[known], strings[known])
@@ -302,9 +309,9 @@ def repeats(strings: list[bytes], least: int = LENGTH) -> tuple[np.ndarray, np.n
 
 def _collecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intervals that repeat between different contexts of one anchor."""
-    for table in _whole_runs(batches, ["key"], BLOCK):
+    for table in whole_runs(batches, ["key"], BLOCK):
         fresh = np.concatenate([[True], np.zeros(max(0, table.num_rows - 1), bool)])
-        fresh[_changes(table, ["key", "doc_id", "version", "start"])] = True
+        fresh[changes(table, ["key", "doc_id", "version", "start"])] = True
         table = table.filter(pa.array(fresh))
         doc_id, version, start = (table.column(c).to_numpy() for c in ("doc_id", "version", "start"))
         order = np.lexsort((start, version, doc_id))

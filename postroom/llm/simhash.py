@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import partitions, small_batches, text_of, written
+from postroom.llm.common import changes, partitions, small_batches, text_of, whole_runs, written
 from postroom.llm.components import components
 from postroom.llm.encoding import byte_batches
 
@@ -200,37 +200,6 @@ def links_in(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[n
         alive = alive[last[alive] - alive > shift]
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 18) -> Iterator[pa.Table]:
-    """Tables of a sorted stream that end where a run of equal keys ends."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < most:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        changed = _changes(table, keys)
-        if len(changed) == 0:
-            held = table.to_batches()
-            continue
-        cut = int(changed[-1])
-        yield table.slice(0, cut)
-        held = table.slice(cut).to_batches()
-        rows -= cut
-    if rows:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Rows that begin a run, but for the first."""
-    changed = np.zeros(max(0, table.num_rows - 1), bool)
-    for key in keys:
-        column = table.column(key).to_numpy()
-        changed |= column[1:] != column[:-1]
-    return np.flatnonzero(changed) + 1
-
-
 def sampled_masks(tables: int, size: int, words: int) -> list[tuple[int, ...]]:
     """Masks of ``size`` bits each over so many words, drawn once and for all."""
     rng = np.random.default_rng(SEED)
@@ -246,7 +215,7 @@ def _fingerprint_rows(table: pa.Table, words: list[str]) -> np.ndarray:
 
 def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
     run = np.zeros(table.num_rows, np.int64)
-    run[_changes(table, keys)] = 1
+    run[changes(table, keys)] = 1
     return np.cumsum(run)
 
 
@@ -263,7 +232,7 @@ def _linking(radius: int, bucket: int, words: list[str]) -> Callable:
     """Links within buckets; of a large bucket its rows instead, as (bits, key, more, size)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, ["key"]):
+        for table in whole_runs(batches, ["key"]):
             run = _runs(table, ["key"])
             size = np.bincount(run)[run]
             bits = _fingerprint_rows(table, words)
@@ -280,7 +249,7 @@ def _linking(radius: int, bucket: int, words: list[str]) -> Callable:
 
 def _linking_blocks(radius: int, words: list[str]) -> Callable:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, ["bucket", "u", "v"]):
+        for table in whole_runs(batches, ["bucket", "u", "v"]):
             run = _runs(table, ["bucket", "u", "v"])
             pairs = links_in(run, _fingerprint_rows(table, words), radius)
             yield from _found(table, np.arange(table.num_rows), pairs)
