@@ -203,7 +203,7 @@ def test_passages(spark, small, empty):
 
 
 def test_passages_of_awkward_rows(spark):
-    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(400))
+    text = "".join(random.Random(2).choices("abcdefgh ", k=400))
     rows = [(None, text), (4, text), (4, text), (4, None), (5, "x" + text[:150]), (6, "")]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
     got = {}
