@@ -30,8 +30,11 @@ PASSAGE, STEP = 32, 16
 # A longer item is asked for by passages of its own.
 ITEM = 64
 RANK, EXTRA, SEED = 240, 16, 42
-# Least share of a passage's weight within the space, least cosine there.
-SHARE, COSINE = 0.12, 0.45
+# A word more frequent than one in so many carries no weight in retrieval.
+COMMON_WORD = 1_000
+# Least cosine of a passage and a query. A passage whose words of the benchmark hold
+# less than its square of the passage's weight cannot reach it.
+COSINE = 0.35
 # Least shares of an item in the longest common subsequence: alone, or with so much of the answer.
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.7, 0.6, 0.8
 # Query passages that are searched for in one pass over the documents.
@@ -51,6 +54,7 @@ def _fold_table() -> np.ndarray:
 
 
 _FOLD = _fold_table()
+_STOP = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 
 
 def words_of(buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,8 +81,7 @@ def words_of(buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     sums = np.zeros(len(mixed) + 1, np.uint64)
     np.cumsum(mixed, out=sums[1:])
     hashes = sums[last + 1] - sums[first]
-    stops = np.isin(buffer, np.frombuffer(b".!?\n", np.uint8))
-    stopped = np.concatenate([[0], np.cumsum(stops)])
+    stopped = np.concatenate([[0], np.cumsum(_STOP[buffer])])
     upto = np.append(first[1:], len(buffer))
     ends = stopped[upto] > stopped[last + 1]
     return hashes, np.searchsorted(first, bounds), ends
@@ -105,7 +108,10 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """Inverse frequency of every word bucket over all of ``docs(text, ...)``."""
+    """Inverse frequency of every word bucket over all of ``docs(text, ...)``.
+
+    On a logarithmic scale that begins at words of one in ``COMMON_WORD``.
+    """
     small_batches(docs.sparkSession)
     found = (
         docs.select(text_of().alias("text"))
@@ -116,7 +122,8 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     )
     counts = np.zeros(BUCKETS)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return np.log1p((counts.sum() + 1) / (counts + 1)).astype(np.float32)
+    inverse = np.log((counts.sum() + COMMON_WORD) / (counts + 1))
+    return np.maximum(inverse - np.log(COMMON_WORD), 0).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -146,7 +153,7 @@ def _rows(items: Iterator[Item], weights: np.ndarray) -> Iterator[tuple[np.ndarr
         for query in item.queries():
             buckets, counts = np.unique(buckets_of(query), return_counts=True)
             values = counts * weights[buckets]
-            yield buckets, values / np.linalg.norm(values)
+            yield buckets, values / max(np.linalg.norm(values), 1e-9)
 
 
 def _random_rows(buckets: np.ndarray, columns: int) -> np.ndarray:
@@ -275,7 +282,8 @@ def _searching(
         squares = weight.astype(np.float64) ** 2
         whole = np.concatenate([[0], np.cumsum(squares)])
         inside = np.concatenate([[0], np.cumsum(squares * (at >= 0))])
-        kept = np.flatnonzero((inside[stop] - inside[start]) >= SHARE * (whole[stop] - whole[start]))
+        hold, total = inside[stop] - inside[start], whole[stop] - whole[start]
+        kept = np.flatnonzero((hold > 0) & (hold >= COSINE**2 * total))
         # Passages to project at a time, so that memory stays bounded.
         for low in range(0, len(kept), 4096):
             yield from _of(kept[low : low + 4096], text, start, stop, at, weight, hashes, bounds)
@@ -284,14 +292,16 @@ def _searching(
         sizes = (stop - start)[kept]
         row = np.repeat(np.arange(len(kept)), sizes)
         word = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[kept], sizes)
-        known = at[word] >= 0
+        squares = np.bincount(row, weight[word] ** 2, minlength=len(kept))
+        known = (at[word] >= 0) & (weight[word] > 0)
         row, word = row[known], word[known]
         vectors = np.zeros((len(kept), space.shape[1]), np.float32)
         if len(row):
             parts = space[at[word]] * weight[word][:, None]
             begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             vectors[row[begin]] = np.add.reduceat(parts, begin, axis=0)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        # By the passage's whole length: what lies outside the space counts against it.
+        vectors /= np.sqrt(squares)[:, None].astype(np.float32)
         cosines = vectors @ queries.T
         hit, query = np.nonzero(cosines >= COSINE)
         for passage, q in zip(hit.tolist(), query.tolist(), strict=True):
