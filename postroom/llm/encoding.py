@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-# Pieces a worker remembers; their memory is some 50 bytes each.
-MEMO_PIECES = 1_200_000
+# Pieces a worker remembers, the first it meets; their memory is some 50 bytes each.
+MEMO_PIECES = 500_000
 # Texts per batch, by bytes: rows are gathered up to this many.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 # In the slower path a long text is encoded in parts of about this many characters.
 PART_CHARS = 32_768
 
@@ -132,25 +132,28 @@ class Encoder:
         (a, n), (b, m) = self._words(word.to_pylist()), self._encoded(rest.to_pylist())
         return pa.concat_arrays([word, rest]), np.concatenate([a, b]), np.concatenate([n, m])
 
-    def _looked_up(self, pieces: pa.Array) -> np.ndarray:
-        """Places of distinct pieces in the memo, which learns the new ones."""
-        if len(self.known) + len(pieces) > MEMO_PIECES:
-            self._forget()
+    def _looked_up(self, pieces: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(places of distinct pieces, (ids, starts, sizes) at those places).
+
+        New pieces come after the known ones, and stay while there is room.
+        """
         place = pc.index_in(pieces, value_set=self.known)
         new = pieces.filter(pc.is_null(place))
         found = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        view = self.ids, self.starts, self.sizes
         if len(new):
             asked = new
             new, ids, sizes = self._learnt(new)
             found[found < 0] = len(self.known) + pc.index_in(asked, value_set=new).to_numpy()
-            self.known = pa.concat_arrays([self.known, new])
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.ids = np.concatenate([self.ids, ids])
-            self.sizes = np.concatenate([self.sizes, sizes])
-        return found
-
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of words per text, place of each word's core, place of its marks)."""
+            starts = len(self.ids) + np.cumsum(sizes) - sizes
+            view = tuple(map(np.concatenate, zip(view, (ids, starts, sizes), strict=True)))
+            if len(self.known) + len(new) <= MEMO_PIECES:
+                self.known = pa.concat_arrays([self.known, new])
+                self.ids, self.starts, self.sizes = view
+        return found, view
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """(number of words per text, place of each word's core, of its marks, what is there)."""
         words = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = words.flatten()
@@ -174,10 +177,11 @@ class Encoder:
             _NOTHING,
         )
         everything = pa.concat_arrays([cores, suffix]).dictionary_encode()
-        place = self._looked_up(everything.dictionary)[everything.indices.to_numpy()]
+        place, view = self._looked_up(everything.dictionary)
+        place = place[everything.indices.to_numpy()]
         of_core = place[: len(distinct)][word]
         of_core[first] = place[len(distinct) : len(cores)][where]
-        return counts, of_core, place[len(cores) :][word]
+        return counts, of_core, place[len(cores) :][word], view
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text).
@@ -188,11 +192,11 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         slow = pc.match_substring_regex(texts, _UNSAFE)
-        counts, core, marks = self._pieces(pc.if_else(slow, "", texts))
+        counts, core, marks, (known, starts, lengths) = self._pieces(pc.if_else(slow, "", texts))
         both = np.empty(2 * len(core), np.int64)
         both[0::2], both[1::2] = core, marks
-        sizes = self.sizes[both]
-        ids = self.ids[_ragged(self.starts[both], sizes)]
+        sizes = lengths[both]
+        ids = known[_ragged(starts[both], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], 2 * np.cumsum(counts)])]
         per_text = np.diff(ends)
         odd = np.flatnonzero(slow.to_numpy(zero_copy_only=False))
@@ -209,8 +213,8 @@ class Encoder:
             return np.zeros(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         slow = pc.match_substring_regex(texts, _UNSAFE)
-        counts, core, marks = self._pieces(pc.if_else(slow, "", texts))
-        sizes = self.sizes[core] + self.sizes[marks]
+        counts, core, marks, (_, _, lengths) = self._pieces(pc.if_else(slow, "", texts))
+        sizes = lengths[core] + lengths[marks]
         total = np.add.reduceat(sizes, np.cumsum(counts) - counts)
         for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)):
             total[i] = len(self._encoded(list(safe_parts(texts[i].as_py())))[0])
