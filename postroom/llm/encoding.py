@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 import regex
 
 # Pieces a worker remembers, the first it meets; their memory is some 50 bytes each.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 400_000
 # Texts per batch, by bytes: rows are gathered up to this many.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 # In the slower path a long text is encoded in parts of about this many characters.
 PART_CHARS = 32_768
 
@@ -249,5 +249,7 @@ def byte_batches(
             if start < batch.num_rows or size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                # What a batch needed goes back, as a worker serves many tasks.
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
