@@ -115,13 +115,13 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bucketed(bits: DataFrame, masks: list[tuple[int, ...]], words: list[str]) -> DataFrame:
-    """(key, *words): each fingerprint once per mask; equal hashed keys are compared in full."""
+def bucketed(bits: DataFrame, masks: list[tuple[int, ...]], words: list[str], extra: list[str]) -> DataFrame:
+    """(key, *words, *extra): each fingerprint once per mask; equal hashed keys are compared in full."""
     keys = [
         F.xxhash64(F.lit(i), *(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask, strict=True)))
         for i, mask in enumerate(masks)
     ]
-    return bits.select(F.explode(F.array(*keys)).alias("key"), *words)
+    return bits.select(F.explode(F.array(*keys)).alias("key"), *words, *extra)
 
 
 def within_radius(planes: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
@@ -162,17 +162,21 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def links_in(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links_in(
+    run: np.ndarray, bits: np.ndarray, radius: int, group: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (places of two) that connect what the radius connects within runs of equal ``run``.
 
     ``run`` is sorted; ``bits`` has a row of 64-bit words per fingerprint. Pairs already connected are not compared again, and only
-    links that connect something new are given: at most one per fingerprint.
+    links that connect something new are given: at most one per fingerprint. With a
+    ``group`` of each, every pair within the radius is given whose groups differ:
+    what a later check may refuse connects nothing.
     """
     size = len(bits)
     planes = np.ascontiguousarray(
         np.unpackbits(np.ascontiguousarray(bits.astype("<u8")).view(np.uint8).reshape(size, 8 * bits.shape[1]), axis=1, bitorder="little").T
     )
-    root = np.arange(size)
+    root = np.arange(size) if group is None else group
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -186,8 +190,10 @@ def links_in(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[n
     while len(alive):
         unlinked = alive[root[alive] != root[alive + shift]]
         hits = unlinked[within_radius(planes, unlinked, unlinked + shift, radius)]
+        if group is not None and len(hits):
+            yield hits, hits + shift
         kept = []
-        for i in hits.tolist():
+        for i in hits.tolist() if group is None else ():
             a, b = find(i), find(i + shift)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -219,17 +225,24 @@ def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(run)
 
 
-def _found(table: pa.Table, rows: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _found(
+    table: pa.Table, rows: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], extra: list[str]
+) -> Iterator[pa.RecordBatch]:
     bits = table.column("bits").to_numpy()
     for a, b in pairs:
-        size = np.zeros(len(a), np.int64)
+        none = np.zeros(len(a), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (bits[rows[a]], bits[rows[b]], size, size)], names=["a", "b", "more", "size"]
+            [pa.array(x) for x in (bits[rows[a]], bits[rows[b]], none, none, *(none for _ in extra))],
+            names=["a", "b", "more", "size", *extra],
         )
 
 
-def _linking(radius: int, bucket: int, words: list[str]) -> Callable:
-    """Links within buckets; of a large bucket its rows instead, as (bits, key, more, size)."""
+def _groups(table: pa.Table, rows: np.ndarray, extra: list[str]) -> np.ndarray | None:
+    return table.column("group").to_numpy()[rows] if "group" in extra else None
+
+
+def _linking(radius: int, bucket: int, words: list[str], extra: list[str]) -> Callable:
+    """Links within buckets; of a large bucket its rows instead, as (bits, key, more, size, *extra)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["key"]):
@@ -237,33 +250,38 @@ def _linking(radius: int, bucket: int, words: list[str]) -> Callable:
             size = np.bincount(run)[run]
             bits = _fingerprint_rows(table, words)
             usual = np.flatnonzero((size > 1) & (size <= bucket))
-            yield from _found(table, usual, links_in(run[usual], bits[usual], radius))
+            pairs = links_in(run[usual], bits[usual], radius, _groups(table, usual, extra))
+            yield from _found(table, usual, pairs, extra)
             large = np.flatnonzero(size > bucket)
-            columns = [table.column(c).to_numpy()[large] for c in ("bits", "key", words[-1])]
+            a, b, more, *others = (table.column(c).to_numpy()[large] for c in ("bits", "key", words[-1], *extra))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (*columns, size[large])], names=["a", "b", "more", "size"]
+                [pa.array(c) for c in (a, b, more, size[large], *others)], names=["a", "b", "more", "size", *extra]
             )
 
     return link
 
 
-def _linking_blocks(radius: int, words: list[str]) -> Callable:
+def _linking_blocks(radius: int, words: list[str], extra: list[str]) -> Callable:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["bucket", "u", "v"]):
             run = _runs(table, ["bucket", "u", "v"])
-            pairs = links_in(run, _fingerprint_rows(table, words), radius)
-            yield from _found(table, np.arange(table.num_rows), pairs)
+            rows = np.arange(table.num_rows)
+            pairs = links_in(run, _fingerprint_rows(table, words), radius, _groups(table, rows, extra))
+            yield from _found(table, rows, pairs, extra)
 
     return link
 
 
 def fingerprint_links(
-    bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, masks: list[tuple[int, ...]] | None = None
+    bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, masks: list[tuple[int, ...]] | None = None,
+    every: bool = False,
 ) -> DataFrame:
     """(a, b): links that connect all of the distinct ``bits`` that the radius connects.
 
     Buckets are the pairs of bands, which miss no link. With other ``masks`` of two
     words, fingerprints are ``bits`` and ``more`` together, still named by ``bits``.
+    With ``every``, all pairs within the radius are given, some more than once, but
+    for those of one ``group``.
     A bucket of more than ``bucket`` fingerprints is taken apart: its rows are dealt
     into blocks and every two blocks meet in a group of their own, so that none of
     its comparisons is left out and no task holds it whole.
@@ -271,12 +289,13 @@ def fingerprint_links(
     n = partitions(bits.sparkSession)
     words = ["bits"] if masks is None else ["bits", "more"]
     masks = [(m,) for m in band_pairs(radius)] if masks is None else masks
-    schema = "a long, b long, more long, size long"
+    extra = ["group"] if every else []
+    schema = ", ".join(f"{c} long" for c in ("a", "b", "more", "size", *extra))
     first = written(
-        bucketed(bits, masks, words)
+        bucketed(bits, masks, words, extra)
         .repartition(n, "key")
         .sortWithinPartitions("key", "bits")
-        .mapInArrow(_linking(radius, bucket, words), schema),
+        .mapInArrow(_linking(radius, bucket, words, extra), schema),
         "buckets",
     )
     blocks = F.ceil(F.col("size") / max(1, bucket // 2)).cast("int")
@@ -285,13 +304,13 @@ def fingerprint_links(
     hot = (
         first.where("size > 0")
         .select(
-            F.col("a").alias("bits"), "more", F.col("b").alias("bucket"), block.alias("block"),
+            F.col("a").alias("bits"), "more", F.col("b").alias("bucket"), block.alias("block"), *extra,
             F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
         )
-        .select("bucket", F.least("block", other).alias("u"), F.greatest("block", other).alias("v"), *words)
+        .select("bucket", F.least("block", other).alias("u"), F.greatest("block", other).alias("v"), *words, *extra)
         .repartition(n, "bucket", "u", "v")
         .sortWithinPartitions("bucket", "u", "v", "bits")
-        .mapInArrow(_linking_blocks(radius, words), schema)
+        .mapInArrow(_linking_blocks(radius, words, extra), schema)
     )
     return first.where("size = 0").unionByName(hot).select("a", "b")
 
@@ -355,20 +374,25 @@ def _comparing(similarity: float) -> Callable:
     return compare
 
 
-def similar_links(groups: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links between ``groups(bits, more, first)`` of that Jaccard similarity or more.
+def _pairs(links: DataFrame, name: str) -> DataFrame:
+    return written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+
+def similar_links(
+    groups: DataFrame, rows: DataFrame, words: int, similarity: float, bucket: int = BUCKET
+) -> DataFrame:
+    """(a, b): links that connect the ``groups(bits, more, first)`` that so large a Jaccard similarity connects.
 
     Candidates agree on a choice of bits and lie within 32 bits of 128; the shingle
-    sets of their first rows in ``rows(row, text)`` alone travel, and are compared in full.
+    sets of their first rows in ``rows(row, text)`` alone travel, and are compared in
+    full. First come links that connect all candidates. A candidate that fails the
+    comparison connects nothing, so then every pair of candidates is compared that
+    the confirmed links leave apart.
     """
-    near = written(
-        fingerprint_links(groups, LOOSE, masks=sampled_masks(TABLES, TABLE_BITS, 2))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "candidates",
-    )
+    masks = sampled_masks(TABLES, TABLE_BITS, 2)
+    near = _pairs(fingerprint_links(groups, LOOSE, bucket, masks), "candidates")
     names = near.select(F.col("a").alias("bits")).union(near.select("b")).distinct()
-    asked = groups.join(names, "bits").select("bits", F.col("first").alias("row"))
+    asked = written(groups.join(names, "bits").select("bits", "more", F.col("first").alias("row")), "asked")
     sets = written(
         rows.join(asked, "row").select("bits", "text").mapInArrow(_shingle_sets(words), "bits long, shingles binary")
         .dropDuplicates(["bits"]),
@@ -376,7 +400,15 @@ def similar_links(groups: DataFrame, rows: DataFrame, words: int, similarity: fl
     )
     left = sets.select(F.col("bits").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("bits").alias("b"), F.col("shingles").alias("right"))
-    return near.join(left, "a").join(right, "b").mapInArrow(_comparing(similarity), "a long, b long")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        compared = pairs.join(left, "a").join(right, "b").mapInArrow(_comparing(similarity), "a long, b long")
+        return written(compared, name)
+
+    links = confirmed(near, "links")
+    apart = _rooted(asked.select("bits", "more"), components(links)).withColumnRenamed("root", "group")
+    others = _pairs(fingerprint_links(apart, LOOSE, bucket, masks, every=True), "candidates").exceptAll(near)
+    return links.unionByName(confirmed(others, "links"))
 
 
 def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

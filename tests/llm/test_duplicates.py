@@ -155,6 +155,45 @@ def test_similar_texts_keep_one_and_others_stay(spark):
     assert {r.doc_id for r in kept if group[r.doc_id] < 100} == {i for i in group if i % 4 == 0}
 
 
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 20])
+def test_twins_among_variants_are_linked(spark, monkeypatch, bucket):
+    # One bucket holds all, so that every pair within the radius is a candidate.
+    monkeypatch.setattr(simhash, "sampled_masks", lambda *_: [(0, 0)])
+    rng = random.Random(11)
+    base, rows, twins = words(rng, 140), [], set()
+    for g in range(30):
+        variant = list(base)
+        for place in rng.sample(range(140), 5):
+            variant[place] = f"v{rng.randrange(10**6)}"
+        twin = list(variant)
+        twin[30], twin[90] = f"t{g}", f"u{g}"
+        twins.add((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(variant)), (len(rows) + 1, " ".join(twin))]
+    sets = [set(simhash.shingles(text.encode(), 5)) for _, text in rows]
+
+    def similar(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    hashes, counts = simhash.shingle_hashes([text.encode() for _, text in rows], 5)
+    names = simhash._majority(hashes, counts).view(np.int64).tolist()
+    more = simhash._majority(simhash._more(hashes), counts).view(np.int64).tolist()
+    assert len(set(names)) == len(names)
+    groups = spark.createDataFrame([(b, m, i) for (i, _), b, m in zip(rows, names, more, strict=True)], "bits long, more long, first long")
+    docs = spark.createDataFrame(rows, "row long, text string")
+    row_of = dict(zip(names, range(len(rows)), strict=True))
+    links = [(row_of[r.a], row_of[r.b]) for r in simhash.similar_links(groups, docs, 5, 0.8, bucket).collect()]
+    assert all(similar(a, b) for a, b in links)
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(similar(a, b) for a, b in twins)
+    near = np.bitwise_count(np.array(names).view(np.uint64)[:, None] ^ np.array(names).view(np.uint64))
+    near += np.bitwise_count(np.array(more).view(np.uint64)[:, None] ^ np.array(more).view(np.uint64))
+    assert all(root[a] == root[b] for a, b in twins if near[a, b] <= simhash.LOOSE)
+    assert sum(near[a, b] <= simhash.LOOSE for a, b in twins) >= 25
+
+
 def test_kept_rows_once_each(spark, awkward):
     kept = corpus_pipeline.exact_stage(spark, awkward, "")
     assert kept.columns == awkward.columns
