@@ -79,11 +79,21 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return np.fromiter(hashed, np.uint64, int(counts.sum())), counts
 
 
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once per run."""
+    sets = [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+    return np.concatenate([hashes[:0], *sets]), np.fromiter(map(len, sets), np.int64, len(sets))
+
+
 def _fingerprinting(words: int, key: str = "doc_id", wide: bool = False) -> Callable:
+    """With ``wide``, 128 bits of the distinct shingles."""
+
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in byte_batches(batches, "text", RUN_BYTES):
             texts = rows.column("text").combine_chunks().cast(pa.large_binary()).to_pylist()
             hashes, counts = shingle_hashes(texts, words)
+            if wide:
+                hashes, counts = _distinct(hashes, counts)
             found = [_majority(hashes, counts)] + ([_majority(_more(hashes), counts)] if wide else [])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(key).combine_chunks(), *(pa.array(f.view(np.int64)) for f in found)],
@@ -228,7 +238,7 @@ def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
 def _found(
     table: pa.Table, rows: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], extra: list[str]
 ) -> Iterator[pa.RecordBatch]:
-    bits = table.column("bits").to_numpy()
+    bits = table.column("name" if "name" in extra else "bits").to_numpy()
     for a, b in pairs:
         none = np.zeros(len(a), np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -279,7 +289,7 @@ def fingerprint_links(
     """(a, b): links that connect all of the distinct ``bits`` that the radius connects.
 
     Buckets are the pairs of bands, which miss no link. With other ``masks`` of two
-    words, fingerprints are ``bits`` and ``more`` together, still named by ``bits``.
+    words, fingerprints are ``bits`` and ``more`` together and are called by their ``name``.
     With ``every``, all pairs within the radius are given, some more than once, but
     for those of one ``group``.
     A bucket of more than ``bucket`` fingerprints is taken apart: its rows are dealt
@@ -289,7 +299,7 @@ def fingerprint_links(
     n = partitions(bits.sparkSession)
     words = ["bits"] if masks is None else ["bits", "more"]
     masks = [(m,) for m in band_pairs(radius)] if masks is None else masks
-    extra = ["group"] if every else []
+    extra = ([] if words == ["bits"] else ["name"]) + (["group"] if every else [])
     schema = ", ".join(f"{c} long" for c in ("a", "b", "more", "size", *extra))
     first = written(
         bucketed(bits, masks, words, extra)
@@ -343,7 +353,7 @@ def near_duplicates(
     )
 
 
-# Looser links of the groups that stay apart: of 128 bits, similar texts agree on one of so
+# Links of similar texts: of 128 bits, similar texts agree on one of so
 # many choices of 16 nearly always, and then the texts' own shingles decide.
 TABLES, TABLE_BITS, LOOSE = 96, 16, 32
 
@@ -355,7 +365,7 @@ def _shingle_sets(words: int) -> Callable:
             hashes, counts = shingle_hashes(texts, words)
             sets = [np.unique(h.astype("<u4")).tobytes() for h in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("bits"), pa.array(sets[: batch.num_rows], pa.binary())], names=["bits", "shingles"]
+                [batch.column("name"), pa.array(sets[: batch.num_rows], pa.binary())], names=["name", "shingles"]
             )
 
     return collect
@@ -379,9 +389,9 @@ def _pairs(links: DataFrame, name: str) -> DataFrame:
 
 
 def similar_links(
-    groups: DataFrame, rows: DataFrame, words: int, similarity: float, bucket: int = BUCKET
+    classes: DataFrame, rows: DataFrame, words: int, similarity: float, bucket: int = BUCKET
 ) -> DataFrame:
-    """(a, b): links that connect the ``groups(bits, more, first)`` that so large a Jaccard similarity connects.
+    """(a, b): links that connect the ``classes(name, bits, more, first)`` that so large a Jaccard similarity connects.
 
     Candidates agree on a choice of bits and lie within 32 bits of 128; the shingle
     sets of their first rows in ``rows(row, text)`` alone travel, and are compared in
@@ -390,23 +400,23 @@ def similar_links(
     the confirmed links leave apart.
     """
     masks = sampled_masks(TABLES, TABLE_BITS, 2)
-    near = _pairs(fingerprint_links(groups, LOOSE, bucket, masks), "candidates")
-    names = near.select(F.col("a").alias("bits")).union(near.select("b")).distinct()
-    asked = written(groups.join(names, "bits").select("bits", "more", F.col("first").alias("row")), "asked")
+    near = _pairs(fingerprint_links(classes, LOOSE, bucket, masks), "candidates")
+    names = near.select(F.col("a").alias("name")).union(near.select("b")).distinct()
+    asked = written(classes.join(names, "name").select("name", "bits", "more", F.col("first").alias("row")), "asked")
     sets = written(
-        rows.join(asked, "row").select("bits", "text").mapInArrow(_shingle_sets(words), "bits long, shingles binary")
-        .dropDuplicates(["bits"]),
+        rows.join(asked, "row").select("name", "text").mapInArrow(_shingle_sets(words), "name long, shingles binary")
+        .dropDuplicates(["name"]),
         "shingles",
     )
-    left = sets.select(F.col("bits").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("bits").alias("b"), F.col("shingles").alias("right"))
+    left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("right"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         compared = pairs.join(left, "a").join(right, "b").mapInArrow(_comparing(similarity), "a long, b long")
         return written(compared, name)
 
     links = confirmed(near, "links")
-    apart = _rooted(asked.select("bits", "more"), components(links)).withColumnRenamed("root", "group")
+    apart = _rooted(asked.select("name", "bits", "more"), components(links), "name").withColumnRenamed("root", "group")
     others = _pairs(fingerprint_links(apart, LOOSE, bucket, masks, every=True), "candidates").exceptAll(near)
     return links.unionByName(confirmed(others, "links"))
 
@@ -414,11 +424,12 @@ def similar_links(
 def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, version, kept): of each group of similar texts the row of smallest id is kept.
 
-    Groups are the components of fingerprints within four bits, which only texts
-    much more alike than 0.8 have, joined by links of similar shingle sets between
-    the groups' first documents. ``version`` is a hash of the text; of rows with
-    equal id and text any one stays, and ``kept`` says so of all. Rows without an id
-    come after all others; null texts count as empty.
+    Rows whose distinct shingles have the same 128 bits are a class, as only texts
+    much more alike than 0.8 have; groups are the components of classes over links of
+    similar shingle sets between the classes' first documents, all of them compared.
+    ``version`` is a hash of the text; of rows with equal id and text any one stays,
+    and ``kept`` says so of all. Rows without an id come after all others; null texts
+    count as empty.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(
@@ -426,30 +437,20 @@ def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         text_of().alias("text"),
     )
     kind = "row struct<last: boolean, doc_id: bigint, version: bigint>, bits long, more long"
-    found = written(rows.mapInArrow(_fingerprinting(words, "row", wide=True), kind), "fingerprints")
-    classes = written(
-        found.groupBy("bits").agg(F.min(F.struct("row", "more")).alias("least"))
-        .select("bits", F.col("least.row").alias("first"), "least.more"),
-        "classes",
-    )
-    tight = _rooted(classes, components(fingerprint_links(classes.select("bits"))))
-    # The first document of a group stands for it; its fingerprint is the group's name.
-    groups = written(
-        tight.groupBy("root").agg(F.min(F.struct("first", "bits", "more")).alias("least"))
-        .select("root", "least.first", "least.bits", "least.more"),
-        "groups",
+    found = written(
+        rows.mapInArrow(_fingerprinting(words, "row", wide=True), kind).withColumn("name", F.xxhash64("bits", "more")),
+        "fingerprints",
     )
-    links = similar_links(groups.select("bits", "more", "first"), rows, words, similarity)
-    loose = _rooted(groups.select("bits", "first", "more"), components(links))
-    least = loose.groupBy("root").agg(F.min("first").alias("keeper"))
-    of_group = loose.join(least, "root").select(F.col("bits").alias("name"), "keeper")
-    of_class = tight.join(groups.select("root", F.col("bits").alias("name")), "root").join(of_group, "name")
-    return found.join(of_class.select("bits", "keeper"), "bits").select(
+    classes = written(found.groupBy("name", "bits", "more").agg(F.min("row").alias("first")), "classes")
+    rooted = _rooted(classes, components(similar_links(classes, rows, words, similarity)), "name")
+    least = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
+    of_class = rooted.join(least, "root").select("name", "keeper")
+    return found.join(of_class, "name").select(
         "row.doc_id", "row.version", (F.col("row") == F.col("keeper")).alias("kept")
     )
 
 
-def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    return classes.join(roots, F.col("bits") == F.col("node"), "left").select(
-        *classes.columns, F.coalesce("root", "bits").alias("root")
+def _rooted(classes: DataFrame, roots: DataFrame, name: str = "bits") -> DataFrame:
+    return classes.join(roots, F.col(name) == F.col("node"), "left").select(
+        *classes.columns, F.coalesce("root", name).alias("root")
     )

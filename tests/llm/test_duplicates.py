@@ -178,10 +178,12 @@ def test_twins_among_variants_are_linked(spark, monkeypatch, bucket):
     names = simhash._majority(hashes, counts).view(np.int64).tolist()
     more = simhash._majority(simhash._more(hashes), counts).view(np.int64).tolist()
     assert len(set(names)) == len(names)
-    groups = spark.createDataFrame([(b, m, i) for (i, _), b, m in zip(rows, names, more, strict=True)], "bits long, more long, first long")
+    classes = spark.createDataFrame(
+        [(b, b, m, i) for (i, _), b, m in zip(rows, names, more, strict=True)], "name long, bits long, more long, first long"
+    )
     docs = spark.createDataFrame(rows, "row long, text string")
     row_of = dict(zip(names, range(len(rows)), strict=True))
-    links = [(row_of[r.a], row_of[r.b]) for r in simhash.similar_links(groups, docs, 5, 0.8, bucket).collect()]
+    links = [(row_of[r.a], row_of[r.b]) for r in simhash.similar_links(classes, docs, 5, 0.8, bucket).collect()]
     assert all(similar(a, b) for a, b in links)
     root = list(range(len(rows)))
     for _ in rows:
@@ -194,6 +196,31 @@ def test_twins_among_variants_are_linked(spark, monkeypatch, bucket):
     assert sum(near[a, b] <= simhash.LOOSE for a, b in twins) >= 25
 
 
+def test_a_repeated_line_does_not_make_texts_similar(spark):
+    rng = random.Random(13)
+    line = " ".join(words(rng, 15))
+    # Different texts around one line; a text repeated in part; a chain of which the ends differ.
+    texts = ["\n".join([*[line] * 40, " ".join(words(rng, 34))]) for _ in range(12)]
+    own = words(rng, 150)
+    texts += [" ".join(own), " ".join([*own, *[" ".join(own[40:56])] * 30])]
+    chain = words(rng, 200)
+    texts.append(" ".join(chain))
+    for step in range(3):
+        chain = [*chain[: 60 * step], *words(rng, 10), *chain[60 * step + 10 :]]
+        texts.append(" ".join(chain))
+    docs = spark.createDataFrame([(i, text, None, None, None) for i, text in enumerate(texts)], DOCS)
+    sets = [set(simhash.shingles(text.encode(), 5)) for text in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in root:
+            for b in range(len(texts)):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert len(set(root)) == 14
+    kept = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
 def test_kept_rows_once_each(spark, awkward):
     kept = corpus_pipeline.exact_stage(spark, awkward, "")
     assert kept.columns == awkward.columns
