@@ -3,7 +3,8 @@
 Words weigh by their inverse frequency in all documents. The benchmark's passages
 are the rows of a TF-IDF matrix whose right singular vectors a distributed
 randomised SVD finds; they span the latent space. Every passage of every document
-is projected into it, and an item whose cosine is high is a candidate. A candidate
+is projected into it, and an item whose cosine is high is a candidate. So is an item
+that a passage shares a run of words with, however common a leak has made them. A candidate
 counts once its words, in order, make up enough of the item: by longest common
 subsequence over the item, or over somewhat less of it when its answer, its last
 sentence, is there too. So copies are found and paraphrases that keep most words.
@@ -37,6 +38,8 @@ COMMON_WORD = 1_000
 COSINE = 0.35
 # Least shares of an item in the longest common subsequence: alone, or with so much of the answer.
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.7, 0.6, 0.8
+# A passage that has so many words of an item in a row, or a whole shorter item, is compared with it.
+RUN = 4
 # Query passages that are searched for in one pass over the documents.
 QUERIES = 20_000
 RUN_BYTES = 4 * 1024 * 1024
@@ -253,6 +256,44 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def _runs_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash of the run of so many words that begins at each place."""
+    count = max(0, len(hashes) - words + 1)
+    mixed = np.zeros(count, np.uint64)
+    for i in range(words):
+        mixed = (mixed ^ hashes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+class Runs:
+    """Where texts have a run of words of a query passage."""
+
+    def __init__(self, queries: list[np.ndarray]):
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for q, query in enumerate(queries):
+            words = min(RUN, len(query))
+            found = np.unique(_runs_of(query, words))
+            parts.setdefault(words, []).append((found, np.full(len(found), q)))
+        self.by_length = {}
+        for words, pairs in parts.items():
+            runs, owners = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.argsort(runs, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[runs >> np.uint64(44)] = True
+            self.by_length[words] = runs[order], owners[order], seen
+
+    def places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(first word, query, words) of every run found, also of runs across texts."""
+        for words, (runs, owners, seen) in self.by_length.items():
+            here = _runs_of(hashes, words)
+            maybe = np.flatnonzero(seen[here >> np.uint64(44)])
+            low, high = np.searchsorted(runs, here[maybe], "left"), np.searchsorted(runs, here[maybe], "right")
+            times = high - low
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield np.repeat(maybe, times), owners[np.repeat(low, times) + nth], words
+
+
 def _searching(
     weights: np.ndarray, place: np.ndarray, space: np.ndarray, items: list[Item], common: tuple[float, float, float]
 ) -> Callable:
@@ -262,6 +303,7 @@ def _searching(
         known = place[buckets] >= 0
         queries[i] = values[known].astype(np.float32) @ space[place[buckets[known]]]
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+    runs = Runs([query for item in items for query in item.queries()])
 
     def confirmed(item: Item, region: np.ndarray) -> tuple[float, float] | None:
         share = common_subsequence(item.hashes, region) / len(item.hashes)
@@ -283,12 +325,29 @@ def _searching(
         whole = np.concatenate([[0], np.cumsum(squares)])
         inside = np.concatenate([[0], np.cumsum(squares * (at >= 0))])
         hold, total = inside[stop] - inside[start], whole[stop] - whole[start]
-        kept = np.flatnonzero((hold > 0) & (hold >= COSINE**2 * total))
+        shared = _shared(hashes, bounds, count, passages)
+        kept = (hold > 0) & (hold >= COSINE**2 * total)
+        kept[shared[:, 0]] = True
+        kept = np.flatnonzero(kept)
         # Passages to project at a time, so that memory stays bounded.
         for low in range(0, len(kept), 4096):
-            yield from _of(kept[low : low + 4096], text, start, stop, at, weight, hashes, bounds)
-
-    def _of(kept, text, start, stop, at, weight, hashes, bounds) -> Iterator[tuple]:
+            some = kept[low : low + 4096]
+            a, b = np.searchsorted(shared[:, 0], [some[0], some[-1] + 1])
+            yield from _of(some, shared[a:b], text, start, stop, at, weight, hashes, bounds)
+
+    def _shared(hashes: np.ndarray, bounds: np.ndarray, count: np.ndarray, passages: np.ndarray) -> np.ndarray:
+        """Rows (passage, query) of a run of words in common, in order and each once."""
+        first = np.cumsum(passages) - passages
+        pairs = [np.zeros((0, 2), np.int64)]
+        for place, query, words in runs.places(hashes):
+            text = np.searchsorted(bounds, place, "right") - 1
+            within = place + words <= bounds[text + 1]
+            place, query, text = place[within], query[within], text[within]
+            nth = np.minimum((place - bounds[text]) // STEP, passages[text] - 1)
+            pairs.append(np.stack([first[text] + nth, query], axis=1))
+        return np.unique(np.concatenate(pairs), axis=0)
+
+    def _of(kept, shared, text, start, stop, at, weight, hashes, bounds) -> Iterator[tuple]:
         sizes = (stop - start)[kept]
         row = np.repeat(np.arange(len(kept)), sizes)
         word = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[kept], sizes)
@@ -301,9 +360,11 @@ def _searching(
             begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             vectors[row[begin]] = np.add.reduceat(parts, begin, axis=0)
         # By the passage's whole length: what lies outside the space counts against it.
-        vectors /= np.sqrt(squares)[:, None].astype(np.float32)
+        vectors /= np.sqrt(np.maximum(squares, 1e-9))[:, None].astype(np.float32)
         cosines = vectors @ queries.T
-        hit, query = np.nonzero(cosines >= COSINE)
+        candidate = cosines >= COSINE
+        candidate[np.searchsorted(kept, shared[:, 0]), shared[:, 1]] = True
+        hit, query = np.nonzero(candidate)
         for passage, q in zip(hit.tolist(), query.tolist(), strict=True):
             item, k = items[owners[q]], kept[passage]
             reach = len(item.hashes)

@@ -179,6 +179,22 @@ def test_paraphrases_are_found_and_fragments_are_not(spark, benchmark):
     assert not {d for d, _ in got if d % 2}
 
 
+def test_an_item_in_a_third_of_the_documents_is_found(spark):
+    rng = random.Random(7)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(300).collect()]
+    for size in (3, 15, 27, 38):
+        item = [f"leak{size}x{rng.randrange(12)}" for _ in range(size - 1)] + ["the"]
+        rows = []
+        for i, text in enumerate(texts):
+            around = text.split()
+            at = rng.randrange(len(around) + 1)
+            rows.append((i, " ".join([*around[:at], *(item if i % 3 == 0 else item[: size // 3]), *around[at:]])))
+        asked = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = latent.benchmark_leaks(docs, asked).collect()
+        assert {r.doc_id for r in found} == {i for i, _ in rows if i % 3 == 0}
+
+
 def test_leaks_of_awkward_rows(spark, awkward, empty, benchmark):
     assert latent.benchmark_leaks(awkward, benchmark).collect() == []
     assert latent.benchmark_leaks(empty, benchmark).collect() == []
