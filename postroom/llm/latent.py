@@ -36,6 +36,10 @@ COMMON_WORD = 1_000
 # Least cosine of a passage and a query. A passage whose words of the benchmark hold
 # less than its square of the passage's weight cannot reach it.
 COSINE = 0.35
+# Of an item the space holds less of than this, the TF-IDF cosine itself is taken too.
+HELD = 0.95
+# Words of passages times items with that word that are added up at a time.
+PRODUCTS = 1 << 21
 # Least shares of an item in the longest common subsequence: alone, or with so much of the answer.
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.7, 0.6, 0.8
 # A passage that has so many words of an item in a row, or a whole shorter item, is compared with it.
@@ -294,15 +298,54 @@ class Runs:
             yield np.repeat(maybe, times), owners[np.repeat(low, times) + nth], words
 
 
+class Exact:
+    """TF-IDF cosines with some of the query passages, from the queries of each bucket."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray):
+        self.queries = len(rows)
+        buckets, values = (np.concatenate([np.zeros(0), *(rows[q][i] for q in asked)]) for i in (0, 1))
+        owners = np.repeat(asked, [len(rows[q][0]) for q in asked])
+        weighty = np.flatnonzero(values > 0)
+        order = weighty[np.argsort(buckets[weighty], kind="stable")]
+        self.values, self.owners = values[order], owners[order]
+        self.start = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+
+    def reached(
+        self, row: np.ndarray, buckets: np.ndarray, weights: np.ndarray, norms: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, query, cosine) of ``COSINE`` or more; ``row`` is the sorted passage of each word."""
+        low, times = self.start[buckets], np.diff(self.start)[buckets]
+        ends = np.cumsum(times)
+        begins = np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row)) if len(row) else [0]
+        at = 0
+        while at < len(begins) - 1:
+            done = ends[begins[at] - 1] if begins[at] else 0
+            last = at + 1
+            while last < len(begins) - 1 and ends[begins[last + 1] - 1] - done <= PRODUCTS:
+                last += 1
+            part = slice(begins[at], begins[last])
+            at = last
+            n = times[part]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)
+            key, where = np.unique(np.repeat(row[part], n) * self.queries + self.owners[nth], return_inverse=True)
+            products = np.bincount(where, np.repeat(weights[part], n) * self.values[nth], minlength=len(key))
+            cosines = products / norms[key // self.queries]
+            high = cosines >= COSINE
+            yield key[high] // self.queries, key[high] % self.queries, cosines[high]
+
+
 def _searching(
     weights: np.ndarray, place: np.ndarray, space: np.ndarray, items: list[Item], common: tuple[float, float, float]
 ) -> Callable:
     owners = np.array([i for i, item in enumerate(items) for _ in item.queries()], np.int64)
     queries = np.zeros((len(owners), space.shape[1]), np.float32)
-    for i, (buckets, values) in enumerate(_rows(iter(items), weights)):
+    rows = list(_rows(iter(items), weights))
+    for i, (buckets, values) in enumerate(rows):
         known = place[buckets] >= 0
         queries[i] = values[known].astype(np.float32) @ space[place[buckets[known]]]
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+    held = np.linalg.norm(queries, axis=1, keepdims=True)
+    queries /= np.maximum(held, 1e-9)
+    exact = Exact(rows, np.flatnonzero(held[:, 0] < HELD))
     runs = Runs([query for item in items for query in item.queries()])
 
     def confirmed(item: Item, region: np.ndarray) -> tuple[float, float] | None:
@@ -360,8 +403,11 @@ def _searching(
             begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             vectors[row[begin]] = np.add.reduceat(parts, begin, axis=0)
         # By the passage's whole length: what lies outside the space counts against it.
-        vectors /= np.sqrt(np.maximum(squares, 1e-9))[:, None].astype(np.float32)
+        norms = np.sqrt(np.maximum(squares, 1e-9))
+        vectors /= norms[:, None].astype(np.float32)
         cosines = vectors @ queries.T
+        for passage, query, cosine in exact.reached(row, buckets_of(hashes[word]), weight[word], norms):
+            cosines[passage, query] = np.maximum(cosines[passage, query], cosine)
         candidate = cosines >= COSINE
         candidate[np.searchsorted(kept, shared[:, 0]), shared[:, 1]] = True
         hit, query = np.nonzero(candidate)

@@ -195,6 +195,20 @@ def test_an_item_in_a_third_of_the_documents_is_found(spark):
         assert {r.doc_id for r in found} == {i for i, _ in rows if i % 3 == 0}
 
 
+def test_every_item_of_a_large_benchmark_is_found(spark):
+    rng = random.Random(17)
+    items = [[f"w{rng.randrange(3_000)}" for _ in range(36)] for _ in range(1_200)]
+    rows = []
+    for i, item in enumerate(items[:200]):
+        # No four words in a row stay.
+        changed = [f"z{rng.randrange(10**6)}" if at % 4 == 3 else word for at, word in enumerate(item)]
+        rows.append((i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(30)] + changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in latent.benchmark_leaks(docs, asked).collect()}
+    assert found == {(i, i) for i in range(200)}
+
+
 def test_leaks_of_awkward_rows(spark, awkward, empty, benchmark):
     assert latent.benchmark_leaks(awkward, benchmark).collect() == []
     assert latent.benchmark_leaks(empty, benchmark).collect() == []
