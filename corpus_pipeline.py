@@ -23,8 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts (five words, 0.8) the row of smallest id stays."""
-    return kept_rows(docs, F.xxhash64(text_of()), simhash.kept_of_similar(docs))
+    """Of each group of near fingerprints (four words, four bits) the row of smallest id stays."""
+    return kept_rows(docs, F.xxhash64(text_of()), simhash.kept_of_near(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

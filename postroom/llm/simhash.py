@@ -47,14 +47,6 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
-def _more(hashes: np.ndarray) -> np.ndarray:
-    """64 further bits of every hash."""
-    h = hashes * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A fingerprint per run of hashes: the bits set in over half of them."""
     ends = np.cumsum(counts)
@@ -79,25 +71,14 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return np.fromiter(hashed, np.uint64, int(counts.sum())), counts
 
 
-def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each hash once per run."""
-    sets = [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
-    return np.concatenate([hashes[:0], *sets]), np.fromiter(map(len, sets), np.int64, len(sets))
-
-
-def _fingerprinting(words: int, key: str = "doc_id", wide: bool = False) -> Callable:
-    """With ``wide``, 128 bits of the distinct shingles."""
-
+def _fingerprinting(words: int, key: str) -> Callable:
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in byte_batches(batches, "text", RUN_BYTES):
             texts = rows.column("text").combine_chunks().cast(pa.large_binary()).to_pylist()
             hashes, counts = shingle_hashes(texts, words)
-            if wide:
-                hashes, counts = _distinct(hashes, counts)
-            found = [_majority(hashes, counts)] + ([_majority(_more(hashes), counts)] if wide else [])
             yield pa.RecordBatch.from_arrays(
-                [rows.column(key).combine_chunks(), *(pa.array(f.view(np.int64)) for f in found)],
-                names=[key, "bits", "more"][: 1 + len(found)],
+                [rows.column(key).combine_chunks(), pa.array(_majority(hashes, counts).view(np.int64))],
+                names=[key, "bits"],
             )
 
     return fingerprint
@@ -107,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, bits): the 64-bit fingerprint of every whole text; null counts as empty."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(_fingerprinting(words), "doc_id long, bits long")
+    return rows.mapInArrow(_fingerprinting(words, "doc_id"), "doc_id long, bits long")
 
 
 def _bands(radius: int) -> list[int]:
@@ -125,13 +106,10 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bucketed(bits: DataFrame, masks: list[tuple[int, ...]], words: list[str], extra: list[str]) -> DataFrame:
-    """(key, *words, *extra): each fingerprint once per mask; equal hashed keys are compared in full."""
-    keys = [
-        F.xxhash64(F.lit(i), *(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask, strict=True)))
-        for i, mask in enumerate(masks)
-    ]
-    return bits.select(F.explode(F.array(*keys)).alias("key"), *words, *extra)
+def bucketed(bits: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, bits): each fingerprint once per mask; equal hashed keys are compared in full."""
+    keys = [F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
+    return bits.select(F.explode(F.array(*keys)).alias("key"), "bits")
 
 
 def within_radius(planes: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
@@ -172,21 +150,17 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def links_in(
-    run: np.ndarray, bits: np.ndarray, radius: int, group: np.ndarray | None = None
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links_in(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (places of two) that connect what the radius connects within runs of equal ``run``.
 
-    ``run`` is sorted; ``bits`` has a row of 64-bit words per fingerprint. Pairs already connected are not compared again, and only
-    links that connect something new are given: at most one per fingerprint. With a
-    ``group`` of each, every pair within the radius is given whose groups differ:
-    what a later check may refuse connects nothing.
+    ``run`` is sorted. Pairs already connected are not compared again, and only links
+    that connect something new are given: at most one per fingerprint.
     """
     size = len(bits)
     planes = np.ascontiguousarray(
-        np.unpackbits(np.ascontiguousarray(bits.astype("<u8")).view(np.uint8).reshape(size, 8 * bits.shape[1]), axis=1, bitorder="little").T
+        np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(size, 8), axis=1, bitorder="little").T
     )
-    root = np.arange(size) if group is None else group
+    root = np.arange(size)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -200,10 +174,8 @@ def links_in(
     while len(alive):
         unlinked = alive[root[alive] != root[alive + shift]]
         hits = unlinked[within_radius(planes, unlinked, unlinked + shift, radius)]
-        if group is not None and len(hits):
-            yield hits, hits + shift
         kept = []
-        for i in hits.tolist() if group is None else ():
+        for i in hits.tolist():
             a, b = find(i), find(i + shift)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -216,96 +188,58 @@ def links_in(
         alive = alive[last[alive] - alive > shift]
 
 
-def sampled_masks(tables: int, size: int, words: int) -> list[tuple[int, ...]]:
-    """Masks of ``size`` bits each over so many words, drawn once and for all."""
-    rng = np.random.default_rng(SEED)
-    drawn = [rng.choice(BITS * words, size, replace=False) for _ in range(tables)]
-    return [
-        tuple(sum(1 << int(b) % BITS for b in bits if b // BITS == w) for w in range(words)) for bits in drawn
-    ]
-
-
-def _fingerprint_rows(table: pa.Table, words: list[str]) -> np.ndarray:
-    return np.stack([table.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-
-
 def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
     run = np.zeros(table.num_rows, np.int64)
     run[changes(table, keys)] = 1
     return np.cumsum(run)
 
 
-def _found(
-    table: pa.Table, rows: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], extra: list[str]
-) -> Iterator[pa.RecordBatch]:
-    bits = table.column("name" if "name" in extra else "bits").to_numpy()
-    for a, b in pairs:
+def _links(run: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    for a, b in links_in(run, bits.view(np.uint64), radius):
         none = np.zeros(len(a), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (bits[rows[a]], bits[rows[b]], none, none, *(none for _ in extra))],
-            names=["a", "b", "more", "size", *extra],
-        )
-
-
-def _groups(table: pa.Table, rows: np.ndarray, extra: list[str]) -> np.ndarray | None:
-    return table.column("group").to_numpy()[rows] if "group" in extra else None
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bits[a], bits[b], none)], names=["a", "b", "size"])
 
 
-def _linking(radius: int, bucket: int, words: list[str], extra: list[str]) -> Callable:
-    """Links within buckets; of a large bucket its rows instead, as (bits, key, more, size, *extra)."""
+def _linking(radius: int, bucket: int) -> Callable:
+    """Links within buckets; of a large bucket its rows instead, as (bits, key, size)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["key"]):
             run = _runs(table, ["key"])
             size = np.bincount(run)[run]
-            bits = _fingerprint_rows(table, words)
-            usual = np.flatnonzero((size > 1) & (size <= bucket))
-            pairs = links_in(run[usual], bits[usual], radius, _groups(table, usual, extra))
-            yield from _found(table, usual, pairs, extra)
-            large = np.flatnonzero(size > bucket)
-            a, b, more, *others = (table.column(c).to_numpy()[large] for c in ("bits", "key", words[-1], *extra))
+            bits, key = (table.column(c).to_numpy() for c in ("bits", "key"))
+            usual, large = np.flatnonzero((size > 1) & (size <= bucket)), np.flatnonzero(size > bucket)
+            yield from _links(run[usual], bits[usual], radius)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (a, b, more, size[large], *others)], names=["a", "b", "more", "size", *extra]
+                [pa.array(c[large]) for c in (bits, key, size)], names=["a", "b", "size"]
             )
 
     return link
 
 
-def _linking_blocks(radius: int, words: list[str], extra: list[str]) -> Callable:
+def _linking_blocks(radius: int) -> Callable:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["bucket", "u", "v"]):
-            run = _runs(table, ["bucket", "u", "v"])
-            rows = np.arange(table.num_rows)
-            pairs = links_in(run, _fingerprint_rows(table, words), radius, _groups(table, rows, extra))
-            yield from _found(table, rows, pairs, extra)
+            yield from _links(_runs(table, ["bucket", "u", "v"]), table.column("bits").to_numpy(), radius)
 
     return link
 
 
-def fingerprint_links(
-    bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, masks: list[tuple[int, ...]] | None = None,
-    every: bool = False,
-) -> DataFrame:
+def fingerprint_links(bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that connect all of the distinct ``bits`` that the radius connects.
 
-    Buckets are the pairs of bands, which miss no link. With other ``masks`` of two
-    words, fingerprints are ``bits`` and ``more`` together and are called by their ``name``.
-    With ``every``, all pairs within the radius are given, some more than once, but
-    for those of one ``group``.
+    Buckets are the pairs of bands, which miss no link.
     A bucket of more than ``bucket`` fingerprints is taken apart: its rows are dealt
     into blocks and every two blocks meet in a group of their own, so that none of
     its comparisons is left out and no task holds it whole.
     """
     n = partitions(bits.sparkSession)
-    words = ["bits"] if masks is None else ["bits", "more"]
-    masks = [(m,) for m in band_pairs(radius)] if masks is None else masks
-    extra = ([] if words == ["bits"] else ["name"]) + (["group"] if every else [])
-    schema = ", ".join(f"{c} long" for c in ("a", "b", "more", "size", *extra))
+    schema = "a long, b long, size long"
     first = written(
-        bucketed(bits, masks, words, extra)
+        bucketed(bits, band_pairs(radius))
         .repartition(n, "key")
         .sortWithinPartitions("key", "bits")
-        .mapInArrow(_linking(radius, bucket, words, extra), schema),
+        .mapInArrow(_linking(radius, bucket), schema),
         "buckets",
     )
     blocks = F.ceil(F.col("size") / max(1, bucket // 2)).cast("int")
@@ -314,13 +248,13 @@ def fingerprint_links(
     hot = (
         first.where("size > 0")
         .select(
-            F.col("a").alias("bits"), "more", F.col("b").alias("bucket"), block.alias("block"), *extra,
+            F.col("a").alias("bits"), F.col("b").alias("bucket"), block.alias("block"),
             F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
         )
-        .select("bucket", F.least("block", other).alias("u"), F.greatest("block", other).alias("v"), *words, *extra)
+        .select("bucket", F.least("block", other).alias("u"), F.greatest("block", other).alias("v"), "bits")
         .repartition(n, "bucket", "u", "v")
         .sortWithinPartitions("bucket", "u", "v", "bits")
-        .mapInArrow(_linking_blocks(radius, words, extra), schema)
+        .mapInArrow(_linking_blocks(radius), schema)
     )
     return first.where("size = 0").unionByName(hot).select("a", "b")
 
@@ -329,6 +263,20 @@ def hexadecimal(bits: Column) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
+def _least_of_component(found: DataFrame, key: str, radius: int, bucket: int) -> DataFrame:
+    """(bits, least): for each fingerprint in ``found`` the smallest ``key`` in its component.
+
+    Equal fingerprints are one class, so copies are never paired.
+    """
+    classes = written(found.groupBy("bits").agg(F.min(key).alias("first")), "classes")
+    roots = components(fingerprint_links(classes.select("bits"), radius, bucket))
+    rooted = classes.join(roots, F.col("bits") == F.col("node"), "left").select(
+        "bits", "first", F.coalesce("root", "bits").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root").select("bits", "least")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET
 ) -> DataFrame:
@@ -336,121 +284,39 @@ def near_duplicates(
 
     ``component_id`` is the smallest id reachable over links between fingerprints
     that differ in at most ``radius`` bits. A null text counts as empty; texts
-    without a word have fingerprint zero and are linked like any other. Equal
-    fingerprints are one class, so copies are never paired. Rows with equal ids are
+    without a word have fingerprint zero and are linked like any other. Rows with equal ids are
     rows of their own; a row without an id belongs to its component, whose id is the
     smallest there is, or null. Other columns are ignored; an empty table gives an
     empty result.
     """
     found = written(fingerprints(docs, words), "fingerprints")
-    classes = written(found.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(fingerprint_links(classes.select("bits"), radius, bucket))
-    rooted = _rooted(classes, roots)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = rooted.join(least, "root").select("bits", "component_id")
+    of_class = _least_of_component(found, "doc_id", radius, bucket)
     return found.join(of_class, "bits").select(
-        "doc_id", hexadecimal(F.col("bits")).alias("fingerprint"), "component_id"
+        "doc_id", hexadecimal(F.col("bits")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
-# Links of similar texts: of 128 bits, similar texts agree on one of so
-# many choices of 16 nearly always, and then the texts' own shingles decide.
-TABLES, TABLE_BITS, LOOSE = 96, 16, 32
-
-
-def _shingle_sets(words: int) -> Callable:
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            hashes, counts = shingle_hashes(texts, words)
-            sets = [np.unique(h.astype("<u4")).tobytes() for h in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), pa.array(sets[: batch.num_rows], pa.binary())], names=["name", "shingles"]
-            )
-
-    return collect
-
-
-def _comparing(similarity: float) -> Callable:
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                a, b = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(both >= similarity * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return compare
-
-
-def _pairs(links: DataFrame, name: str) -> DataFrame:
-    return written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-
-
-def similar_links(
-    classes: DataFrame, rows: DataFrame, words: int, similarity: float, bucket: int = BUCKET
+def kept_of_near(
+    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET
 ) -> DataFrame:
-    """(a, b): links that connect the ``classes(name, bits, more, first)`` that so large a Jaccard similarity connects.
+    """(doc_id, version, kept): of each component, as ``near_duplicates`` has them, one document stays.
 
-    Candidates agree on a choice of bits and lie within 32 bits of 128; the shingle
-    sets of their first rows in ``rows(row, text)`` alone travel, and are compared in
-    full. First come links that connect all candidates. A candidate that fails the
-    comparison connects nothing, so then every pair of candidates is compared that
-    the confirmed links leave apart.
-    """
-    masks = sampled_masks(TABLES, TABLE_BITS, 2)
-    near = _pairs(fingerprint_links(classes, LOOSE, bucket, masks), "candidates")
-    names = near.select(F.col("a").alias("name")).union(near.select("b")).distinct()
-    asked = written(classes.join(names, "name").select("name", "bits", "more", F.col("first").alias("row")), "asked")
-    sets = written(
-        rows.join(asked, "row").select("name", "text").mapInArrow(_shingle_sets(words), "name long, shingles binary")
-        .dropDuplicates(["name"]),
-        "shingles",
-    )
-    left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("right"))
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        compared = pairs.join(left, "a").join(right, "b").mapInArrow(_comparing(similarity), "a long, b long")
-        return written(compared, name)
-
-    links = confirmed(near, "links")
-    apart = _rooted(asked.select("name", "bits", "more"), components(links), "name").withColumnRenamed("root", "group")
-    others = _pairs(fingerprint_links(apart, LOOSE, bucket, masks, every=True), "candidates").exceptAll(near)
-    return links.unionByName(confirmed(others, "links"))
-
-
-def kept_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, version, kept): of each group of similar texts the row of smallest id is kept.
-
-    Rows whose distinct shingles have the same 128 bits are a class, as only texts
-    much more alike than 0.8 have; groups are the components of classes over links of
-    similar shingle sets between the classes' first documents, all of them compared.
-    ``version`` is a hash of the text; of rows with equal id and text any one stays,
-    and ``kept`` says so of all. Rows without an id come after all others; null texts
-    count as empty.
+    It is the row of smallest id; rows without an id come after all others. ``version``
+    is a hash of the text: of rows with equal id the smallest version stays, and of rows
+    repeated as a whole ``kept`` says so of all. Null texts count as empty; an empty
+    table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(
-        F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("version")).alias("row"),
+        F.struct(
+            F.col("doc_id").isNull().alias("last"),
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.xxhash64(text_of()).alias("version"),
+        ).alias("row"),
         text_of().alias("text"),
     )
-    kind = "row struct<last: boolean, doc_id: bigint, version: bigint>, bits long, more long"
-    found = written(
-        rows.mapInArrow(_fingerprinting(words, "row", wide=True), kind).withColumn("name", F.xxhash64("bits", "more")),
-        "fingerprints",
-    )
-    classes = written(found.groupBy("name", "bits", "more").agg(F.min("row").alias("first")), "classes")
-    rooted = _rooted(classes, components(similar_links(classes, rows, words, similarity)), "name")
-    least = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
-    of_class = rooted.join(least, "root").select("name", "keeper")
-    return found.join(of_class, "name").select(
-        "row.doc_id", "row.version", (F.col("row") == F.col("keeper")).alias("kept")
-    )
-
-
-def _rooted(classes: DataFrame, roots: DataFrame, name: str = "bits") -> DataFrame:
-    return classes.join(roots, F.col(name) == F.col("node"), "left").select(
-        *classes.columns, F.coalesce("root", name).alias("root")
+    kind = "row struct<last: boolean, doc_id: bigint, version: bigint>, bits long"
+    found = written(rows.mapInArrow(_fingerprinting(words, "row"), kind), "fingerprints")
+    return found.join(_least_of_component(found, "row", radius, bucket), "bits").select(
+        "row.doc_id", "row.version", (F.col("row") == F.col("least")).alias("kept")
     )

@@ -105,7 +105,7 @@ def test_counters_and_buckets_miss_no_link(radius):
 
 def test_large_groups_give_one_link_per_fingerprint_at_most():
     bits = np.arange(1 << 10, dtype=np.uint64)
-    links = [pair for a, b in simhash.links_in(np.zeros(len(bits), np.int64), bits[:, None], 4) for pair in zip(a, b, strict=True)]
+    links = [pair for a, b in simhash.links_in(np.zeros(len(bits), np.int64), bits, 4) for pair in zip(a, b, strict=True)]
     assert len(links) == len(bits) - 1
 
 
@@ -133,92 +133,33 @@ def words(rng, n):
     return [f"w{rng.randrange(10**6)}" for _ in range(n)]
 
 
-def test_similar_texts_keep_one_and_others_stay(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+def test_near_stage_keeps_one_of_each_component(spark, small, monkeypatch, bucket):
+    """Against all pairs: families of variants, chains of links, a repeated line, and texts apart."""
     rng = random.Random(3)
-    rows, group = [], {}
-    for g in range(30):
-        base = words(rng, rng.randint(120, 400))
-        for k in range(3):
+    texts = []
+    for _ in range(20):
+        base = words(rng, rng.randint(100, 400))
+        for changed in (0, 1, 2, 6):
             text = list(base)
-            for _ in range(k * len(base) // 150):
-                text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
-            group[len(rows)] = g
-            rows.append((len(rows), " ".join(text), None, None, None))
-        half = base[: len(base) // 2] + words(rng, len(base) // 2)
-        group[len(rows)] = 100 + g
-        rows.append((len(rows), " ".join(half), None, None, None))
-    docs = spark.createDataFrame(rows, DOCS)
-    kept = corpus_pipeline.near_stage(spark, docs, "").collect()
-    assert docs.columns == corpus_pipeline.near_stage(spark, docs, "").columns
-    groups = [group[r.doc_id] for r in kept]
-    assert sorted(groups) == sorted(set(group.values()))
-    assert {r.doc_id for r in kept if group[r.doc_id] < 100} == {i for i in group if i % 4 == 0}
-
-
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 20])
-def test_twins_among_variants_are_linked(spark, monkeypatch, bucket):
-    # One bucket holds all, so that every pair within the radius is a candidate.
-    monkeypatch.setattr(simhash, "sampled_masks", lambda *_: [(0, 0)])
-    rng = random.Random(11)
-    base, rows, twins = words(rng, 140), [], set()
-    for g in range(30):
-        variant = list(base)
-        for place in rng.sample(range(140), 5):
-            variant[place] = f"v{rng.randrange(10**6)}"
-        twin = list(variant)
-        twin[30], twin[90] = f"t{g}", f"u{g}"
-        twins.add((len(rows), len(rows) + 1))
-        rows += [(len(rows), " ".join(variant)), (len(rows) + 1, " ".join(twin))]
-    sets = [set(simhash.shingles(text.encode(), 5)) for _, text in rows]
-
-    def similar(a, b):
-        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-
-    hashes, counts = simhash.shingle_hashes([text.encode() for _, text in rows], 5)
-    names = simhash._majority(hashes, counts).view(np.int64).tolist()
-    more = simhash._majority(simhash._more(hashes), counts).view(np.int64).tolist()
-    assert len(set(names)) == len(names)
-    classes = spark.createDataFrame(
-        [(b, b, m, i) for (i, _), b, m in zip(rows, names, more, strict=True)], "name long, bits long, more long, first long"
-    )
-    docs = spark.createDataFrame(rows, "row long, text string")
-    row_of = dict(zip(names, range(len(rows)), strict=True))
-    links = [(row_of[r.a], row_of[r.b]) for r in simhash.similar_links(classes, docs, 5, 0.8, bucket).collect()]
-    assert all(similar(a, b) for a, b in links)
-    root = list(range(len(rows)))
-    for _ in rows:
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
-    assert all(similar(a, b) for a, b in twins)
-    near = np.bitwise_count(np.array(names).view(np.uint64)[:, None] ^ np.array(names).view(np.uint64))
-    near += np.bitwise_count(np.array(more).view(np.uint64)[:, None] ^ np.array(more).view(np.uint64))
-    assert all(root[a] == root[b] for a, b in twins if near[a, b] <= simhash.LOOSE)
-    assert sum(near[a, b] <= simhash.LOOSE for a, b in twins) >= 25
-
-
-def test_a_repeated_line_does_not_make_texts_similar(spark):
-    rng = random.Random(13)
+            for place in rng.sample(range(len(text)), changed):
+                text[place] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(text))
+        texts.append(" ".join(base[: len(base) // 2] + words(rng, len(base) // 2)))
     line = " ".join(words(rng, 15))
-    # Different texts around one line; a text repeated in part; a chain of which the ends differ.
-    texts = ["\n".join([*[line] * 40, " ".join(words(rng, 34))]) for _ in range(12)]
-    own = words(rng, 150)
-    texts += [" ".join(own), " ".join([*own, *[" ".join(own[40:56])] * 30])]
-    chain = words(rng, 200)
-    texts.append(" ".join(chain))
-    for step in range(3):
-        chain = [*chain[: 60 * step], *words(rng, 10), *chain[60 * step + 10 :]]
-        texts.append(" ".join(chain))
-    docs = spark.createDataFrame([(i, text, None, None, None) for i, text in enumerate(texts)], DOCS)
-    sets = [set(simhash.shingles(text.encode(), 5)) for text in texts]
-    root = list(range(len(texts)))
-    for _ in texts:
-        for a in root:
-            for b in range(len(texts)):
-                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
-    assert len(set(root)) == 14
-    kept = corpus_pipeline.near_stage(spark, docs, "").collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+    texts += ["\n".join([*[line] * 40, " ".join(words(rng, 34))]) for _ in range(6)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    for docs in (spark.createDataFrame(rows, DOCS).repartition(3), small):
+        bits = {r.doc_id: fingerprint(r.text, 4) for r in docs.collect()}
+        root = joined(set(bits.values()), 4)
+        least = {}
+        for i in sorted(bits, reverse=True):
+            least[root[bits[i]]] = i
+        monkeypatch.setattr(simhash.kept_of_near, "__defaults__", (4, 4, bucket))
+        kept = corpus_pipeline.near_stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+        assert len(least) < len(bits)
 
 
 def test_kept_rows_once_each(spark, awkward):
@@ -232,7 +173,14 @@ def test_kept_rows_once_each(spark, awkward):
     assert sorted(got) == sorted(best.items())
     near = corpus_pipeline.near_stage(spark, awkward, "")
     assert near.columns == awkward.columns
-    assert len({(r.doc_id, r.text) for r in near.collect()}) == near.count()
+    root = joined({fingerprint(r[1], 4) for r in AWKWARD}, 4)
+    least = {}
+    for r in AWKWARD:
+        group = root[fingerprint(r[1], 4)]
+        least[group] = min(least.get(group, (True, 0)), (r[0] is None, r[0] or 0))
+    got = near.collect()
+    assert len({(r.doc_id, r.text) for r in got}) == len(got)
+    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in got)) == sorted(least.values())
     decided = awkward.select("doc_id", F.lit("v").alias("version"), F.lit(True).alias("kept")).limit(0)
     assert kept_rows(awkward, F.lit("v"), decided).count() == awkward.count()
 
