@@ -5,7 +5,8 @@ are spaced out, letters are repeated. Where a text shows such signs, the symbols
 span a lattice of what may have been meant, and Viterbi decoding picks the path a
 character model of the whole corpus likes best. The restored text is then scored:
 character n-grams of words weigh as much as they mark toxic labelled documents,
-and a logistic layer judges a document by its strongest words.
+by how many of them hold one and by how dense it stands there, and a logistic layer
+judges a document by its strongest words and by how thickly they stand.
 """
 
 from __future__ import annotations
@@ -33,11 +34,17 @@ from postroom.llm.encoding import byte_batches
 SAMPLE = 8_000
 RUN_BYTES = 4 * 1024 * 1024
 BITS = 20
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5, 6, 8)
 LEAST_DOCUMENTS = 4
 # Parts of the sample, each judged by weights learnt from the others.
 PARTS = 4
 TOP = 3
+# A density per word that is added to both sides of a ratio, and how sure the ratio must be.
+BACKGROUND, SURE = 2e-5, 4.0
+# Weights by density that words are counted above, and the share of a text's words that counts in full.
+DENSE, FULL = (2.0, 2.5, 3.0, 3.5), 0.02
+# What a text shows: its strongest words, how many speak, and shares of dense ones.
+SHOWN = TOP + 1 + len(DENSE)
 
 # What each sign may stand for.
 LOOK_ALIKES = {
@@ -68,6 +75,12 @@ _HIGH = np.arange(256) >= 128
 _ALNUM = _LETTER | np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8)) | _HIGH
 _SIGN = np.isin(np.arange(256), np.frombuffer("".join(LOOK_ALIKES).encode("ascii", "ignore"), np.uint8))
 _SEPARATOR = np.isin(np.arange(256), np.frombuffer(SEPARATORS.encode(), np.uint8))
+# Signs that stand after a letter for no other reason, unlike digits and "!".
+_STRONG = np.isin(np.arange(256), np.frombuffer(b"@$|+", np.uint8))
+_WORDLY = _LETTER | np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
+_EURO = "€".encode()
+# Separators between two spaced-out letters, at most.
+MOST_GAPS = 3
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +121,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 def _lattice(segment: str) -> list[list[tuple[str, float]]]:
     """Per symbol of the segment: (what it may stand for, cost); "" is nothing at all."""
     steps: list[list[tuple[str, float]]] = []
-    spaced = len(re.findall(r"(?<![^\W_])[^\W_](?![^\W_])", segment)) >= 4
+    spaced = len(re.findall(r"(?<![^\W_])[^\W_](?![^\W_])", segment)) >= 3
     lowered, i = segment.lower(), 0
     while i < len(lowered):
         sign = lowered[i]
@@ -160,26 +173,30 @@ def decode(segment: str, model: np.ndarray) -> str:
 
 
 def disguised(buffer: np.ndarray) -> np.ndarray:
-    """Places where spelling looks disguised: a sign before a letter within a word,
-    a letter three times, or single characters with separators between them."""
+    """Places where spelling looks disguised: a sign before a letter, or one that ends no
+    sentence after a letter or digit, a letter three times, or single characters with separators between them."""
     size = len(buffer)
     marks = np.zeros(size, bool)
     if size < 3:
         return marks
     letter, sign = _LETTER[buffer], _SIGN[buffer]
     marks[:-1] |= sign[:-1] & letter[1:]
+    marks[:-1] |= _WORDLY[buffer[:-1]] & _STRONG[buffer[1:]]
+    euro = (buffer[:-2] == _EURO[0]) & (buffer[1:-1] == _EURO[1]) & (buffer[2:] == _EURO[2])
+    for at in np.flatnonzero(euro):
+        marks[at] = (at > 0 and letter[at - 1]) or (at + 3 < size and letter[at + 3])
     same = (buffer[1:] | 32) == (buffer[:-1] | 32)
     marks[:-2] |= same[:-1] & same[1:] & letter[:-2]
-    if size >= 7:
-        alnum, gap = _ALNUM[buffer], _SEPARATOR[buffer]
-        alone = alnum & ~np.concatenate([[False], alnum[:-1]]) & ~np.concatenate([alnum[1:], [False]])
-        pair = alone[:-2] & gap[1:-1] & alone[2:]
-        marks[:-6] |= pair[:-4] & pair[2:-2] & pair[4:]
+    alnum, gaps = _ALNUM[buffer], np.concatenate([[0], np.cumsum(_SEPARATOR[buffer])])
+    alone = np.flatnonzero(alnum & ~np.concatenate([[False], alnum[:-1]]) & ~np.concatenate([alnum[1:], [False]]))
+    apart = np.diff(alone)
+    near = (apart <= 1 + MOST_GAPS) & (gaps[alone[1:]] - gaps[alone[:-1]] == apart - 1)
+    marks[alone[:-2][near[:-1] & near[1:]]] = True
     return marks
 
 
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_](?![^\W_])){3,}")
-_ODD = re.compile(r"[0-9@$!|+€](?=[^\W\d_])|([a-z])\1\1", re.IGNORECASE)
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,3}[^\W_](?![^\W_])){2,}")
+_ODD = re.compile(r"[0-9@$!|+€](?=[^\W\d_])|(?<=[^\W_])!*[@$|+€]|([a-z])\1\1", re.IGNORECASE)
 
 
 def restorer(model: np.ndarray) -> Callable[[str], str]:
@@ -243,19 +260,23 @@ def word_grams(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield mixed.astype(np.int64), owner[: len(h)][within]
 
 
-def word_weights(words: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """The largest weight among each word's n-grams; 0 when none speaks for toxicity."""
-    best = np.zeros(len(words), np.float32)
+def word_weights(words: pa.Array, *tables: np.ndarray) -> list[np.ndarray]:
+    """Per table the largest weight among each word's n-grams; 0 when none speaks for toxicity."""
+    best = [np.zeros(len(words), np.float32) for _ in tables]
     for bucket, owner in word_grams(words):
-        value = weights[bucket]
-        hits = np.flatnonzero(value > 0)
-        np.maximum.at(best, owner[hits], value[hits])
+        for found, weights in zip(best, tables, strict=True):
+            value = weights[bucket]
+            hits = np.flatnonzero(value > 0)
+            np.maximum.at(found, owner[hits], value[hits])
     return best
 
 
-def _evidence(owner: np.ndarray, codes: np.ndarray, best: np.ndarray, texts: int) -> np.ndarray:
-    """Per text: its strongest words' weights, and how many words speak at all."""
-    out = np.zeros((texts, TOP + 1))
+def _evidence(
+    owner: np.ndarray, codes: np.ndarray, best: np.ndarray, dense: np.ndarray, texts: int, times: np.ndarray | None = None
+) -> np.ndarray:
+    """Per text: its strongest words' weights, how many words speak at all, and the shares of all
+    occurrences (``times`` of each word) whose weight by density is above some levels."""
+    out = np.zeros((texts, SHOWN))
     hits = np.flatnonzero(best[codes] > 0)
     pairs = np.unique(owner[hits].astype(np.int64) * len(best) + codes[hits])
     text, value = pairs // max(1, len(best)), best[pairs % max(1, len(best))]
@@ -265,22 +286,32 @@ def _evidence(owner: np.ndarray, codes: np.ndarray, best: np.ndarray, texts: int
     top = rank < TOP
     out[text[top], rank[top]] = value[top]
     out[:, TOP] = np.log1p(np.bincount(text, minlength=texts))
+    times = np.ones(len(codes)) if times is None else times
+    size = np.maximum(np.bincount(owner, times, texts), 1)
+    weight = dense[codes]
+    for at, least in enumerate(DENSE):
+        share = np.bincount(owner, times * (weight > least), texts) / size
+        out[:, TOP + 1 + at] = np.minimum(share / FULL, 1)
     return out
 
 
 def _vocabularies(model: np.ndarray) -> Callable:
+    """(doc_id, label, words, times): the distinct words of each restored text, and how often each stands there."""
+
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = restorer(model)
         for batch in batches:
             owner, codes, words = _words(_restored(batch.column("text"), restore))
             rows = np.split(codes, np.searchsorted(owner, np.arange(1, batch.num_rows)))
+            counted = [np.unique(r, return_counts=True) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("label"),
-                    pa.array([words.take(pa.array(np.unique(r))).to_pylist() for r in rows], pa.list_(pa.string())),
+                    pa.array([words.take(pa.array(c)).to_pylist() for c, _ in counted], pa.list_(pa.string())),
+                    pa.array([n.tolist() for _, n in counted], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "label", "words"],
+                names=["doc_id", "label", "words", "times"],
             )
 
     return distinct
@@ -293,7 +324,22 @@ def _gram_weights(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return np.where(counts[1] >= LEAST_DOCUMENTS, np.maximum(toxic - clean, 0), 0).astype(np.float32)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _gram_densities(shares: np.ndarray, counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """How much denser than elsewhere each n-gram stands in toxic documents, as a logarithm; 0 if that may be chance.
+
+    ``shares`` are sums over documents of the n-gram's occurrences per word, so that no
+    long text outweighs the others. Of a million n-grams many differ by chance, so
+    the logarithm must be ``SURE`` times its error, as the numbers of documents that hold the n-gram give it.
+    """
+    toxic = shares[1] / (documents[1] + 1) + BACKGROUND
+    clean = shares[0] / (documents[0] + 1) + BACKGROUND
+    ratio = np.log(toxic / clean)
+    error = np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 2.0))
+    sure = (counts[1] >= LEAST_DOCUMENTS) & (ratio > SURE * error)
+    return np.where(sure, ratio, 0).astype(np.float32)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Logistic regression, the first column constant, by Newton steps that never lose.
 
     Columns are scaled; the penalty keeps the layer finite where the classes part cleanly,
@@ -332,47 +378,55 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     rows.sort(key=lambda row: (row[0] * 2654435761 % 2**32, row[0]))
     counts = np.zeros((PARTS, 2, 1 << BITS), np.int32)
+    shares = np.zeros((PARTS, 2, 1 << BITS), np.float32)
     documents = np.zeros((PARTS, 2), np.int64)
-    for i, (_, label, words) in enumerate(rows):
+    for i, (_, label, words, times) in enumerate(rows):
         documents[i % PARTS, int(label)] += 1
-        grams = [bucket for bucket, _ in word_grams(pa.array(words, pa.string()))]
+        share = np.array(times, np.float32) / max(1, sum(times))
+        grams = list(word_grams(pa.array(words, pa.string())))
         if grams:
-            counts[i % PARTS, int(label), np.unique(np.concatenate(grams))] += 1
-    every, all_documents = counts.sum(axis=0), documents.sum(axis=0)
-    x, y = np.zeros((len(rows), TOP + 2)), np.zeros(len(rows))
+            counts[i % PARTS, int(label), np.unique(np.concatenate([bucket for bucket, _ in grams]))] += 1
+        for bucket, owner in grams:
+            np.add.at(shares[i % PARTS, int(label)], bucket, share[owner])
+    every, dense, all_documents = counts.sum(axis=0), shares.sum(axis=0), documents.sum(axis=0)
+    x, y = np.zeros((len(rows), SHOWN + 1)), np.zeros(len(rows))
     for part in range(PARTS):
-        weights = _gram_weights(every - counts[part], all_documents - documents[part])
+        others, left = every - counts[part], all_documents - documents[part]
+        tables = _gram_weights(others, left), _gram_densities(dense - shares[part], others, left)
         for i in range(part, len(rows), PARTS):
-            _, y[i], words = rows[i]
-            best = word_weights(pa.array(words, pa.string()), weights)
-            x[i] = [1, *_evidence(np.zeros(len(words), np.int64), np.arange(len(words)), best, 1)[0]]
-    weights = _gram_weights(every, all_documents)
+            _, y[i], words, times = rows[i]
+            best = word_weights(pa.array(words, pa.string()), *tables)
+            owner, codes = np.zeros(len(words), np.int64), np.arange(len(words))
+            x[i] = [1, *_evidence(owner, codes, *best, 1, np.array(times, np.float64))[0]]
+    tables = _gram_weights(every, all_documents), _gram_densities(dense, every, all_documents)
     layer = _logistic(x, y)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([weights.tobytes()], pa.binary()), pa.array([layer.tolist()])],
-        names=["weights", "layer"],
+        [*(pa.array([t.tobytes()], pa.binary()) for t in tables), pa.array([layer.tolist()])],
+        names=["weights", "densities", "layer"],
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram weights, logistic layer) from at most ``sample`` labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, ...]:
+    """(n-gram weights, n-gram densities, logistic layer) from at most ``sample`` labelled documents."""
     words = labelled_sample(docs, labels, "toxic", sample).mapInArrow(
-        _vocabularies(model), "doc_id long, label int, words array<string>"
+        _vocabularies(model), "doc_id long, label int, words array<string>, times array<long>"
     )
-    row = words.repartition(1).mapInArrow(_fit, "weights binary, layer array<double>").first()
+    row = words.repartition(1).mapInArrow(_fit, "weights binary, densities binary, layer array<double>").first()
     if row is None:
-        return np.zeros(1 << BITS, np.float32), np.zeros(TOP + 2)
-    return np.frombuffer(row["weights"], np.float32), np.array(row["layer"])
+        return np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), np.zeros(SHOWN + 1)
+    return np.frombuffer(row["weights"], np.float32), np.frombuffer(row["densities"], np.float32), np.array(row["layer"])
 
 
-def _scores(model: np.ndarray, weights: np.ndarray, layer: np.ndarray) -> Callable[[pa.Table], np.ndarray]:
+def _scores(
+    model: np.ndarray, weights: np.ndarray, densities: np.ndarray, layer: np.ndarray
+) -> Callable[[pa.Table], np.ndarray]:
     restore = restorer(model)
 
     def score(rows: pa.Table) -> np.ndarray:
         column = pc.fill_null(rows.column("text").combine_chunks(), "")
         texts = _restored(column, restore)
         owner, codes, words = _words(texts)
-        seen = _evidence(owner, codes, word_weights(words, weights), len(texts))
+        seen = _evidence(owner, codes, *word_weights(words, weights, densities), len(texts))
         return 0.5 * (1 + np.tanh(0.5 * (layer[0] + seen @ layer[1:])))
 
     return score

@@ -16,6 +16,7 @@ from postroom.llm import latent, licenses, queries, quality, toxicity
 from tests.llm.conftest import AWKWARD, DOCS
 
 SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def held_out(doc_id):
@@ -30,19 +31,25 @@ def ranking(rows, truth):
 
 
 @pytest.mark.parametrize(
-    "query, label, threshold, least",
-    [(queries.op1_quality, "quality", 0.3, 0.98), (queries.op3_toxicity, "toxic", 0.5, 0.98)],
+    "query, label, threshold, least, sf, size",
+    [(queries.op1_quality, "quality", 0.3, 0.98, SF, 1_000), (queries.op3_toxicity, "toxic", 0.5, 0.97, LARGER, 10_000)],
 )
-def test_held_out_accuracy(spark, labels, query, label, threshold, least):
-    rows = query(spark, SF).collect()
-    # At this size only English texts show why they are labelled toxic.
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    shown = docs if label == "quality" else docs.where("lang = 'en'")
-    truth = {r.doc_id: r[label] for r in labels.join(shown, "doc_id").collect()}
-    assert len(rows) == 1000
+def test_held_out_accuracy(spark, query, label, threshold, least, sf, size):
+    rows = query(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    marked = spark.read.parquet(f"{sf}/labels.parquet").join(docs, "doc_id").collect()
+    truth = {r.doc_id: r[label] for r in marked}
+    assert len(rows) == size
     assert all(r.held_out == held_out(r.doc_id) and 0 <= r.score <= 1 for r in rows)
     assert all(r.predicted == (r.score >= threshold) for r in rows)
     assert ranking(rows, truth) >= least
+    if label == "toxic":
+        # Each language by itself; the least has six toxic documents here.
+        for lang in {r.lang for r in marked}:
+            mine = {r.doc_id: r.toxic for r in marked if r.lang == lang}
+            found = {t: [r.predicted for r in rows if r.held_out and mine.get(r.doc_id) == t] for t in (0, 1)}
+            assert np.mean(found[1]) >= 0.8 and np.mean(found[0]) <= 0.03, lang
+            assert ranking(rows, mine) >= 0.97, lang
 
 
 def test_scores_of_awkward_rows(awkward, empty, labels, no_labels):
@@ -79,13 +86,26 @@ def model(spark):
 
 
 @pytest.mark.parametrize(
-    "written", ["1d1ot", "i d i o t", "idiooot", "!diot", "i.d.i.o.t", "IDIOT", "1D10T", "i-d-1-o-t"]
+    "written",
+    ["1d1ot", "i d i o t", "idiooot", "!diot", "i.d.i.o.t", "IDIOT", "1D10T", "i-d-1-o-t", "idio+", "i  d  i  o  t", "1d10+"],
 )
 def test_disguised_words_are_restored(model, written):
     restored = toxicity.restorer(model)(f"that {written}, there")
     assert restored.lower() == "that idiot, there"
 
 
+@pytest.mark.parametrize("written", ["a$$", "sh1+", "idio+", "m€rde", "merd€", "i  d  i  o  t", "a s s", "x - y . z"])
+def test_signs_of_disguise_are_seen_anywhere_in_a_word(written):
+    for text in (written, f"that {written} there", f"é{written}"[1:]):
+        assert toxicity.disguised(np.frombuffer(text.encode(), np.uint8)).any()
+
+
+def test_usual_signs_are_no_disguise():
+    for text in ("What a day! It cost 5 € or 3%; see B2, no. 17 (a, b) | end!", "x - y", "5$ - 100€", "", "a"):
+        marks = toxicity.disguised(np.frombuffer(text.encode(), np.uint8))
+        assert not marks.any() or text.startswith("5$")
+
+
 def test_clean_text_stays(model):
     text = "Then it was on 3 of 12 days; a b or 100% and\n\nthat's it -- well."
     assert toxicity.restorer(model)(text) == text
@@ -243,18 +263,20 @@ def test_the_latent_space_holds_the_items(spark, benchmark):
     assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
 
 
-def test_stages_keep_columns_and_rows_that_are_clean(spark, labels, awkward):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    clean = corpus_pipeline.toxicity_stage(spark, docs, SF)
+def test_stages_keep_columns_and_rows_that_are_clean(spark, awkward, empty):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    clean = corpus_pipeline.toxicity_stage(spark, docs, LARGER)
     assert clean.columns == docs.columns
-    # Here only English texts show why they are labelled.
-    truth = {r.doc_id: r.toxic for r in labels.join(docs.where("lang = 'en'"), "doc_id").collect()}
+    marked = spark.read.parquet(f"{LARGER}/labels.parquet").join(docs, "doc_id").select("doc_id", "lang", "toxic").collect()
     kept = {r.doc_id for r in clean.select("doc_id").collect()}
-    of = lambda want: [i for i, t in truth.items() if t == want]
-    assert sum(i not in kept for i in of(1)) >= 0.8 * len(of(1))
-    assert sum(i in kept for i in of(0)) >= 0.98 * len(of(0))
+    for lang in {r.lang for r in marked}:
+        of = lambda want: [r.doc_id for r in marked if r.lang == lang and r.toxic == want]  # noqa: E731, B023
+        assert sum(i not in kept for i in of(1)) >= 0.85 * len(of(1))
+        assert sum(i in kept for i in of(0)) >= 0.98 * len(of(0))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, awkward, SF).columns == awkward.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == []
 
 
 def test_pipeline(spark):
