@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postroom.sources.delimited import read_delimited
+
 # Delimited-file cells that count as missing.
 MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -38,13 +40,14 @@ def read_table(
     path: str,
     schema: T.StructType | None = None,
     line_ends_in_cells: bool = True,
+    one_task: bool = False,
 ) -> DataFrame:
     """Read parquet, csv or tsv by suffix; any other suffix is an error.
 
-    Where cells may hold line ends, a delimited file is one task's work: deliver
-    large ones as many files, as parquet, or say that they hold none. Cells that
-    read as missing become null, and all columns are text unless a schema says
-    otherwise.
+    Large delimited files are read in parallel, also where cells hold line ends; if
+    none do, saying so spares a second pass. Cells that read as missing become null,
+    and all columns are text unless a schema says otherwise. With ``one_task`` rows
+    of a file keep their order.
     """
     suffix = _suffix(path)
     if suffix == ".parquet":
@@ -54,7 +57,11 @@ def read_table(
     reader = spark.read.options(
         header=True, sep=SEPARATORS[suffix], multiLine=line_ends_in_cells, quote='"', escape='"'
     )
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    if line_ends_in_cells and not one_task:
+        # Only the first head line is read for the names.
+        df = read_delimited(spark, path, schema or reader.csv(path).schema, SEPARATORS[suffix])
+    else:
+        df = (reader.schema(schema) if schema else reader).csv(path)
     return df.select(
         *[
             F.when(~_col(f.name).isin(MISSING), _col(f.name)).alias(f.name)
@@ -70,7 +77,7 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
 
     One file, read by one task, so the running id follows the rows.
     """
-    df = read_table(spark, path).coalesce(1)
+    df = read_table(spark, path, one_task=True).coalesce(1)
     if "row_no" in df.columns:
         return df.withColumn("row_no", F.col("row_no").cast("bigint"))
     return df.withColumn("row_no", F.monotonically_increasing_id() + 1)
