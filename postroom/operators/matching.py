@@ -25,14 +25,19 @@ from postroom.functions.text import (
     text_or_empty,
     weighted_text,
 )
+from postroom.operators import large_lexicon
 from postroom.operators.dimensions import categories
 from postroom.operators.sizing import broadcast_passes
+from postroom.operators.staging import Staging
 
 # A phrase occurrence counts double; mean hit lengths are
 # measured against five letters.
 PHRASE_WEIGHT = 2
 USUAL_LENGTH = 5
 
+# Shares of a lexicon that an executor holds together, each at most one broadcast.
+MOST_SHARES = 8
+
 _WORD = r"[\p{L}\p{N}_]"
 _OTHER = r"[^\p{L}\p{N}_]"
 # Anything between two words other than one single space.
@@ -216,9 +221,11 @@ def keyphrase_counts(
     Terms are independent of each other. One with anything but letters and
     single spaces cannot occur in cleaned text and drops out of the join. Each
     distinct term is counted once per message, and only its count meets the
-    categories that list it.
+    categories that list it. A lexicon of more than ``MOST_SHARES`` broadcasts is joined by shuffle.
     """
     passes = broadcast_passes(lexicon.select("term").distinct()) if passes is None else passes
+    if passes > MOST_SHARES:
+        return keyphrase_counts_shuffled(messages, lexicon, bucketed=bucketed)
     listed = (
         lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
         .select("code", "term")
@@ -242,6 +249,51 @@ def keyphrase_counts(
     )
 
 
+def keyphrase_counts_shuffled(
+    messages: DataFrame, lexicon: DataFrame, staging: Staging | None = None, bucketed: bool = False
+) -> DataFrame:
+    """``keyphrase_counts`` with terms that are not broadcast, whatever their number.
+
+    What the texts share with the terms is staged. The few terms that can overlap themselves,
+    such as "the the", are counted by their pattern in a pass of their own, if there are any.
+    """
+    staging = Staging(messages.sparkSession) if staging is None else staging
+    listed = (
+        lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
+        .select("code", "term")
+        .distinct()
+        .join(categories(lexicon), "code")
+        .groupBy("term")
+        .agg(F.collect_list(F.struct("cat_no", "code")).alias("listings"))
+    )
+    # A term's listings are at most the categories.
+    keyed = staging.written(_keyed(listed, F.col("term"), F.lit(True), F.lit(False)), "terms")
+    words = weighted_words(messages)
+    plain = keyed.where("pattern IS NULL").withColumnRenamed("second", "key2")
+    one = _key_hash(F.lit(False), F.col("word"), F.lit(None).cast("string"))
+    two = _key_hash(F.lit(False), F.col("word"), F.col("second"))
+    found = large_lexicon.occurrences(words, plain, one, two, staging).withColumn("times", F.lit(1).cast("bigint"))
+    patterned = keyed.where("pattern IS NOT NULL")
+    if not patterned.isEmpty():
+        texts = words.select("*", F.array_distinct("words").alias("once_words"), _no_words().alias("pattern_words"))
+        shares = broadcast_passes(patterned)
+        by_pattern = _occurrences(
+            texts, patterned, F.array_join("words", " "), shares, single=True
+        )
+        found = found.unionByName(
+            _shared_out(by_pattern, patterned.select("term", "listings"), "term", shares).select(*found.columns)
+        )
+    counts = (
+        _per_message(found, bucketed)
+        .groupBy("guid", "term")
+        .agg(F.sum("times").alias("n"), F.first("listings").alias("listings"))
+        .where(F.col("n") > 0)
+    )
+    return counts.select("guid", F.explode("listings").alias("listed"), "term", "n").select(
+        "guid", "listed.cat_no", "listed.code", "term", "n"
+    )
+
+
 def _no_words() -> Column:
     return F.array().cast("array<string>")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions.text import clean_text
@@ -178,9 +178,24 @@ def lexicon_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     for code, term in LEXICON:
         terms.setdefault(code, []).extend([] if term is None else [term])
     value = json.dumps({**{c: {"terms": t} for c, t in terms.items()}, "Empty": {"terms": []}, "Bare": {}})
-    return table(spark, sf_dir, "documents").limit(1).select(
-        F.lit(0).cast("bigint").alias("row_no"), F.lit(value).alias("value")
-    )
+    return spark.range(1).select(F.lit(0).cast("bigint").alias("row_no"), F.lit(value).alias("value"))
+
+
+# Where orders and customers stand for a history: seconds and minutes into the month of the events.
+def order_time() -> Column:
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("o_orderkey") * 7919 % 2_592_000)
+
+
+def source_number() -> Column:
+    """The number in a message's sender address."""
+    return F.regexp_extract("from", "([0-9]+)", 1).cast("int")
+
+
+def validity() -> list[Column]:
+    """Most intents are valid for up to an hour and a half, one in seventeen for up to twelve days."""
+    start = F.lit(1704067200) + F.col("c_custkey") * 3571 % 1_440 * 60
+    minutes = F.when(F.col("c_custkey") % 17 == 0, F.col("c_custkey") % 290 * 60).otherwise(F.col("c_custkey") % 90)
+    return [F.timestamp_seconds(start).alias("valid_from"), F.timestamp_seconds(start + minutes * 60).alias("valid_to")]
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -434,6 +434,52 @@ ORDER BY minute DESC NULLS LAST, guid LIMIT {QUEUE_LENGTH}"""
 p AS (SELECT CAST(doc_id AS VARCHAR) AS guid, CASE WHEN quality = 1 THEN 'Toxic_' || toxic ELSE 'Account' END AS np FROM labels)
 SELECT m.guid, subject, body, CASE WHEN np IS NOT NULL THEN np ELSE predicted END AS predicted,
  CASE WHEN np IS NOT NULL THEN '{PREDICTED_AT}' END AS predicted_date FROM m LEFT JOIN p USING (guid)"""
+    out["keyphrase_counts_shuffled"] = out["keyphrase_counts_wide"]
+    out["upsert_buckets"] = f"""WITH {_MESSAGES},
+p AS (SELECT CAST(doc_id AS VARCHAR) AS guid, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)
+SELECT m.guid, subject,
+ CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'Legal' WHEN p.guid IS NOT NULL THEN 'Account' ELSE predicted END AS predicted,
+ CASE WHEN toxic = 1 THEN '2024-06-03 12:00:00' WHEN quality = 1 THEN '2024-06-02 12:00:00'
+  WHEN p.guid IS NOT NULL THEN '{PREDICTED_AT}' END AS predicted_date FROM m LEFT JOIN p USING (guid)"""
+    out["prediction_as_of"] = """WITH made AS (
+SELECT o_custkey % 100 AS guid, make_timestamp((1704067200 + o_orderkey * 7919 % 2592000) * 1000000) AS made_at,
+ o_orderkey, o_orderpriority FROM orders),
+once AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY guid, made_at ORDER BY o_orderkey DESC, o_orderpriority DESC) = 1)
+SELECT e.event_id, e.user_id AS guid, o_orderkey, o_orderpriority
+FROM events e ASOF LEFT JOIN once ON once.guid = e.user_id AND e.ts >= once.made_at"""
+    out["intents_in_force"] = f"""WITH {_MESSAGES},
+valid AS (SELECT c_custkey, c_nationkey AS nation, c_custkey * 3571 % 1440 AS since,
+ CASE WHEN c_custkey % 17 = 0 THEN c_custkey % 290 * 60 ELSE c_custkey % 90 END AS minutes FROM customer)
+SELECT guid, c_custkey, nation FROM m JOIN valid
+ON CAST(regexp_extract(sender, '[0-9]+') AS INTEGER) = nation AND since <= minute AND minute < since + minutes"""
+    out["sender_threads"] = f"""WITH {_MESSAGES},
+steps AS (SELECT guid, sender, minute, minute - lag(minute) OVER w AS since, lead(minute) OVER w - minute AS later
+ FROM m WHERE minute IS NOT NULL AND sender IS NOT NULL WINDOW w AS (PARTITION BY sender ORDER BY minute, guid)),
+told AS (SELECT *, sum(CASE WHEN since IS NULL OR since * 60 >= 1300 THEN 1 ELSE 0 END) OVER (PARTITION BY sender ORDER BY minute, guid)::BIGINT AS thread_no FROM steps)
+SELECT guid, sender, thread_no, row_number() OVER (PARTITION BY sender, thread_no ORDER BY minute, guid) AS place,
+ since * 60000000 AS since_previous, later * 60000000 AS until_next FROM told"""
+    out["recipient_load"] = f"""WITH {_MESSAGES}
+SELECT guid, rcpt AS recipient, count(*) OVER (PARTITION BY rcpt ORDER BY minute RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS n
+FROM m WHERE minute IS NOT NULL AND rcpt IS NOT NULL"""
+    out["arrivals_by_hour"] = f"""WITH {_MESSAGES},
+hours AS (SELECT minute // 60 AS hour, predicted, count(*) AS n FROM m WHERE minute IS NOT NULL GROUP BY ALL)
+SELECT strftime(make_timestamp((1704067200 + hour * 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS start, predicted, n
+FROM hours WHERE hour * 60 + 60 <= (SELECT max(minute) FROM m) - 60"""
+    out["label_rollup"] = f"""WITH {_MESSAGES},
+counted AS (SELECT predicted, rcpt AS recipient, sender, count(*) AS n, (3 - grouping(predicted) - grouping(rcpt) - grouping(sender))::INTEGER AS level
+ FROM m GROUP BY ROLLUP (predicted, rcpt, sender))
+SELECT predicted, recipient, sender, level, n, n / sum(n) OVER (PARTITION BY level,
+ CASE WHEN level > 1 THEN predicted END, CASE WHEN level > 2 THEN recipient END) AS share FROM counted"""
+    out["sender_sketches"] = f"""WITH tokens AS ({out['token_set']}), {_MESSAGES}
+SELECT predicted, count(*) AS n, count(DISTINCT token) AS exact, true AS near FROM tokens JOIN m USING (guid) GROUP BY predicted"""
+    out["compared_runs"] = f"""WITH {_MESSAGES},
+p AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS guid FROM labels),
+b AS (SELECT rcpt, sender, predicted FROM m),
+a AS (SELECT rcpt, sender, CASE WHEN p.guid IS NOT NULL THEN 'Legal' ELSE predicted END AS predicted FROM m LEFT JOIN p USING (guid)),
+told AS (SELECT predicted, 1 AS gone, 0 AS come, 0 AS same FROM (FROM b EXCEPT ALL FROM a)
+ UNION ALL SELECT predicted, 0, 1, 0 FROM (FROM a EXCEPT ALL FROM b)
+ UNION ALL SELECT predicted, 0, 0, 1 FROM (FROM a INTERSECT ALL FROM b))
+SELECT predicted, sum(gone)::BIGINT AS gone, sum(come)::BIGINT AS come, sum(same)::BIGINT AS same FROM told GROUP BY predicted"""
     out["user_prompt"] = f"WITH {_MESSAGES} SELECT guid, {_PROMPT} AS prompt FROM m"
     out["prompt_terms"] = f"WITH {_PART}, {_prompt_lines('part_all')} SELECT cat_no, code, line FROM lines"
     out["context_block"] = f"WITH {_PART}, {_CUSTOMER}, {_context('part_all', 'cust_labelled')} SELECT context FROM ctx"

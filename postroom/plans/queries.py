@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions import text
-from postroom.operators import dimensions, matching, predict, prompts, queue, report, triage
+from postroom.operators import dimensions, history, matching, predict, prompts, queue, report, summaries, triage
 from postroom.operators.sizing import spread
 from postroom.operators.staging import Staging
+from postroom.operators.versioned import BucketedTable
 from postroom.plans import fixtures, jobs
 from postroom.sources import files
+from postroom.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 PREDICTED_AT = "2024-06-01 12:00:00"
@@ -194,6 +196,14 @@ def keyphrase_counts_wide(spark, sf_dir):
     )
 
 
+@query
+def keyphrase_counts_shuffled(spark, sf_dir):
+    """The wide lexicon as one that no executor holds."""
+    return matching.keyphrase_counts_shuffled(
+        fixtures.messages(spark, sf_dir), fixtures.benchmark_lexicon(spark, sf_dir)
+    )
+
+
 @query
 def keyphrase_json(spark, sf_dir):
     return matching.keyphrase_json(
@@ -417,6 +427,22 @@ def apply_predictions(spark, sf_dir):
     )
 
 
+@query
+def upsert_buckets(spark, sf_dir):
+    """A batch merged, one logged and merged, and one logged only, over a table in buckets."""
+    labels = fixtures.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("guid"), "quality", "toxic", F.lit(1).alias("seq")
+    )
+    mail = BucketedTable.create(
+        fixtures.messages(spark, sf_dir), f"{Staging(spark).path}/mail", buckets=32
+    )
+    mail.upsert(labels.withColumn("predicted", F.lit("Account")), PREDICTED_AT)
+    mail.log(labels.where("quality = 1").withColumn("predicted", F.lit("Legal")), "2024-06-02 12:00:00")
+    mail.compact()
+    mail.log(labels.where("toxic = 1").withColumn("predicted", F.lit(None).cast("string")), "2024-06-03 12:00:00")
+    return mail.read().select("guid", "subject", "predicted", F.col("predicted_date").cast("string").alias("predicted_date"))
+
+
 @query
 def user_prompt(spark, sf_dir):
     messages = fixtures.messages(spark, sf_dir)
@@ -487,3 +513,94 @@ def failed_predictions(spark, sf_dir):
 @query
 def run_totals(spark, sf_dir):
     return report.run_totals(predict_stub(spark, sf_dir))
+
+
+# Over time
+
+
+@query
+def prediction_as_of(spark, sf_dir):
+    """The last order a customer had made at each event of theirs, as a prediction that stood."""
+    moments = fixtures.table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("guid"), F.col("ts").alias("at")
+    )
+    made = fixtures.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 100).alias("guid"), fixtures.order_time().alias("at"),
+        "o_orderpriority", "o_orderkey",
+    )
+    stood = history.as_of(moments, made, "guid", "at", ["o_orderkey", "o_orderpriority"])
+    return stood.select("event_id", "guid", "o_orderkey", "o_orderpriority")
+
+
+@query
+def intents_in_force(spark, sf_dir):
+    """Which customers' intents were valid for the nation of a message's source when it came."""
+    mail = fixtures.messages(spark, sf_dir).select("guid", "date", fixtures.source_number().alias("nation"))
+    valid = fixtures.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_nationkey").cast("int").alias("nation"), *fixtures.validity()
+    )
+    met = history.in_force(mail, valid, ["nation"], "date", "valid_from", "valid_to")
+    return met.select("guid", "c_custkey", "nation")
+
+
+@query
+def sender_threads(spark, sf_dir):
+    found = history.threads(
+        fixtures.messages(spark, sf_dir), "from", "date", "guid", gap=1_300, chunk=14_400
+    )
+    return found.withColumnRenamed("key", "guid")
+
+
+@query
+def recipient_load(spark, sf_dir):
+    found = history.moving_counts(
+        fixtures.messages(spark, sf_dir), "to", "date", "guid", seconds=1_800, chunks=4
+    )
+    return found.select(F.col("key").alias("guid"), F.col("who").alias("recipient"), "n")
+
+
+@query
+def arrivals_by_hour(spark, sf_dir):
+    """Hours that are complete, of mail that arrived as files."""
+    staging = Staging(spark)
+    mail = fixtures.messages(spark, sf_dir).select("guid", "date", "predicted")
+    mail.unionByName(mail.where("predicted = 'Legal'")).write.parquet(f"{staging.path}/inbox")
+    stream = spark.readStream.schema(mail.schema).parquet(f"{staging.path}/inbox")
+    counts = arrivals.windowed_counts(stream, "date", "predicted")
+    arrivals.store_windows(counts, f"{staging.path}/hours", f"{staging.path}/state").awaitTermination()
+    found = spark.read.schema(counts.schema).parquet(f"{staging.path}/hours")
+    return found.select(F.col("start").cast("string").alias("start"), "predicted", "n")
+
+
+# Several levels, sketches, runs
+
+
+@query
+def label_rollup(spark, sf_dir):
+    mail = fixtures.messages(spark, sf_dir).select(F.col("from").alias("sender"), "predicted", F.col("to").alias("recipient"))
+    return summaries.rolled_up(mail, ["predicted", "recipient", "sender"])
+
+
+@query
+def sender_sketches(spark, sf_dir):
+    """Distinct words a category was written in, from sketches per sender, against the exact number."""
+    words = matching.token_set(fixtures.messages(spark, sf_dir)).join(
+        fixtures.messages(spark, sf_dir).select("guid", "predicted", F.col("from").alias("sender")), "guid"
+    )
+    stored = Staging(spark).written(summaries.sketches(words, ["predicted", "sender"], "token"), "sketches")
+    exact = words.groupBy("predicted").agg(F.count_distinct("token").alias("exact"))
+    estimated = summaries.merged(stored, ["predicted"])
+    near = F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    same = estimated["predicted"].eqNullSafe(exact["predicted"])
+    return estimated.join(exact, same).select(estimated["predicted"], "n", "exact", near.alias("near"))
+
+
+@query
+def compared_runs(spark, sf_dir):
+    """What two batches of predictions changed, by the new label."""
+    mail = fixtures.messages(spark, sf_dir)
+    labels = fixtures.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("guid"), F.lit("Legal").alias("predicted"), F.col("quality").alias("seq")
+    )
+    after = queue.apply_predictions(mail, labels, PREDICTED_AT)
+    return summaries.changes_by(mail, after, ["to", "from", "predicted"], "predicted")
