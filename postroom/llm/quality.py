@@ -199,7 +199,7 @@ def _scoring(parts: np.ndarray, prior: float) -> Callable:
         for rows in byte_batches(batches, "text", RUN_BYTES):
             buffer, bounds = buffer_of(rows.column("text"))
             if len(buffer) > 2 * RUN_BYTES:
-                value = [_long(parts, prior, buffer)]
+                value = [long_logit(parts, prior, buffer)]
             else:
                 value = logits(parts, prior, buffer, bounds)
             yield pa.RecordBatch.from_arrays(
@@ -213,11 +213,38 @@ def _scoring(parts: np.ndarray, prior: float) -> Callable:
     return score
 
 
-def _long(parts: np.ndarray, prior: float, buffer: np.ndarray) -> float:
-    """A very long text is hashed run by run; what crosses two runs is not counted."""
-    runs = [buffer[at : at + RUN_BYTES] for at in range(0, len(buffer), RUN_BYTES)]
-    values = [logits(parts, prior, run, np.array([0, len(run)]))[0] for run in runs]
-    return float(np.average(values, weights=[len(run) for run in runs]))
+def _word_start(buffer: np.ndarray, at: int, step: int = 1 << 16) -> int:
+    """Where the first word begins that stands behind white space from ``at`` on; else the end."""
+    for low in range(at, len(buffer), step):
+        white = buffer[low - 1 : low + step] <= 32
+        found = np.flatnonzero(white[:-1] & ~white[1:])
+        if len(found):
+            return low + int(found[0])
+    return len(buffer)
+
+
+def long_logit(parts: np.ndarray, prior: float, buffer: np.ndarray, run_bytes: int = RUN_BYTES) -> float:
+    """The logit of a very long text, taken run by run; the features are those of the whole text.
+
+    Runs begin at words. Of each run, n-grams count that begin in it, with the bytes behind it, and
+    words, with those before it that may have been the same.
+    """
+    total = counted = 0.0
+    at = before = known = 0
+    words = len(BACK) + 1
+    while at < len(buffer):
+        end = _word_start(buffer, at + run_bytes)
+        ahead, behind = buffer[at : end + max(GRAMS) - 1], buffer[before:end]
+        grams = [b[: end - at] for b, _ in list(features(ahead, np.array([0, len(ahead)])))[:-words]]
+        others = [b[known:] for b, _ in list(features(behind, np.array([0, len(behind)])))[-words:]]
+        for buckets in grams + others:
+            total += float(parts[buckets].sum(dtype=np.float64))
+            counted += int((buckets < BUCKETS).sum())
+        inside = behind > 32
+        first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))[-max(BACK) :]
+        before, known = (before + int(first[0]), len(first)) if len(first) else (end, 0)
+        at = end
+    return total / counted if counted else prior
 
 
 def quality_scores(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,6 +81,31 @@ def test_features_do_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-4) and alone[0] == 0.25
 
 
+def test_a_text_in_runs_has_the_features_of_the_whole():
+    rng = np.random.default_rng(3)
+    parts = rng.normal(size=quality.BUCKETS + 1).astype(np.float32)
+    parts[-1] = 0
+    text = ["one two two. ", "Drei drei drei drei\n\n", "x" * 50 + " ", "é, ß  \t"]
+    for size, start in ((400, ""), (60, "  "), (3, ""), (1, " ")):
+        buffer = np.frombuffer((start + "".join(rng.choice(text) for _ in range(size))).encode(), np.uint8)
+        whole = quality.logits(parts, 0.25, buffer, np.array([0, len(buffer)]))[0]
+        for run in (1, 7, 30, 1_000, 10**6):
+            assert abs(quality.long_logit(parts, 0.25, buffer, run) - whole) < 1e-6
+    assert quality.long_logit(parts, 0.25, np.zeros(0, np.uint8)) == 0.25
+
+
+def test_a_text_of_nine_megabytes_scores_as_in_one_pass():
+    rng = np.random.default_rng(4)
+    parts = rng.normal(size=quality.BUCKETS + 1).astype(np.float32)
+    parts[-1] = 0
+    words = np.array([f"w{i}" for i in range(5_000)])
+    text = " ".join([*rng.choice(words[:2_500], 900_000), *rng.choice(words[2_500:], 900_000)])
+    buffer = np.frombuffer(text.encode(), np.uint8)
+    assert len(buffer) > 9_000_000
+    whole = quality.logits(parts, 0, buffer, np.array([0, len(buffer)]))[0]
+    assert abs(quality.long_logit(parts, 0, buffer) - whole) < 1e-6
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet"))
@@ -149,6 +175,128 @@ def test_license_notices(spark, awkward, empty):
     assert licenses.license_notices(empty).collect() == []
 
 
+# Endings and openings of licences as published, around the wordings looked for.
+PUBLISHED = {
+    "MIT": (
+        "MIT License\n\nCopyright (c) 2020 Some Body\n\n{}",
+        " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER"
+        " IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE"
+        " OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "ISC": (
+        "Copyright (c) 2004 by Some Body\n\n{}",
+        ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING'
+        " ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    "BSD-2-Clause": (
+        "Copyright (c) 1999, Some Body\n\n{}",
+        ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED'
+        " WARRANTIES ARE DISCLAIMED.",
+    ),
+    "GPL-3.0-or-later": (
+        "A program that does things.\nCopyright (C) 2007  Some Body\n\n{}",
+        " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+        " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    "Apache-2.0": ("Copyright 2011 Some Body\n\n{}", " See the License for the specific language governing permissions."),
+}
+
+
+@pytest.mark.parametrize("columns", [60, 72, 80])
+@pytest.mark.parametrize("prefix", ["", " * ", "# "])
+def test_licences_as_published(spark, columns, prefix):
+    rows = []
+    for i, (name, (around, end)) in enumerate(PUBLISHED.items()):
+        wording = licenses.TEMPLATES[name]
+        wording = wording.replace("conditions: ", "conditions:\n\n").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+        wording = wording.replace("met: ", "met:\n\n1. ").replace(" Redistributions in", "\n\n2. Redistributions in")
+        body = around.format(wording + end)
+        lines = [line for part in body.split("\n") for line in (textwrap.wrap(part, columns) or [""])]
+        rows.append((i, "\n".join(prefix + line for line in lines)))
+    found = licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.license) for r in found}
+    assert got == {(i, name) for i, name in enumerate(PUBLISHED)}
+    for r in found:
+        text = rows[r.doc_id][1][r.start : r.start + r.length]
+        first, last = (licenses.plain_words(licenses.TEMPLATES[r.license])[k] for k in (0, -1))
+        assert text.lower().startswith(first) and text.lower().endswith(last)
+
+
+def test_notices_beside_other_words_and_notices(spark):
+    prose = "Some words of a kind that has nothing to do with it, and more of them, "
+    texts = {
+        f"{prose * 2}Released under the MIT License. {prose}": ["MIT-notice"],
+        f"{prose * 9}\nCopyright 2020 Some Body. All rights reserved. {prose * 9}": ["All-rights-reserved"],
+        "Released under the MIT License.\nLicensed under CC BY 4.0.": ["CC-BY-4.0", "MIT-notice"],
+        "Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0. All rights reserved.": ["All-rights-reserved", "CC-BY-4.0", "CC-BY-SA-4.0"],
+        licenses.TEMPLATES["ISC"] + " " + licenses.TEMPLATES["BSD-2-Clause"]: ["BSD-2-Clause", "ISC"],
+        "Released under the licence of MIT.": [],
+        licenses.TEMPLATES["ISC"][: len(licenses.TEMPLATES["ISC"]) // 2]: [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in licenses.license_notices(docs).collect():
+        got[r.doc_id].append(r.license)
+    assert [sorted(got[i]) for i in range(len(texts))] == list(texts.values())
+
+
+def test_templates_of_the_caller(spark):
+    given = {"zoo": "No animal may leave by the northern gate after dark.", "one": "Beware!", "none": "..."}
+    docs = [(1, f"x {given['zoo'].upper()} y"), (2, "no animal may leave by any northern gate after dark"), (3, "beware of it"), (4, "?")]
+    got = licenses.license_notices(spark.createDataFrame(docs, "doc_id long, text string"), given).collect()
+    assert sorted((r.doc_id, r.license, r.missing_words, r.other_words) for r in got) == [(1, "zoo", 0, 0), (2, "zoo", 1, 1), (3, "one", 0, 0)]
+
+
+def test_every_template_at_every_place(spark, small):
+    """Each template is laid against whole texts; what fits is in a notice that explains no fewer words."""
+    rng = random.Random(9)
+    rows = [(r.doc_id, r.text or "") for r in small.select("doc_id", "text").collect()]
+    for i, (_, wording) in enumerate(licenses.TEMPLATES.items()):
+        words = wording.split()
+        for _ in range(len(words) // 14):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["changed"], [words[at], "added"]])
+        before, after = (rng.choice(rows)[1].split()[:30] for _ in range(2))
+        rows.append((100_000 + i, " ".join([*before, *words, *after])))
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    found = defaultdict(list)
+    for r in licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id].append(r)
+    some = 0
+    for doc_id, text in rows:
+        words = licenses.plain_words(text)
+        numbers = np.array([matcher.number.get(w, -1) for w in words])
+        places = [m.span() for m in licenses._WORD.finditer(text.lower())]
+        for name, ours in matcher.numbers.items():
+            missing, other, a, b = licenses.aligned(ours, numbers)
+            if missing <= matcher.most[name] and other <= matcher.most[name]:
+                some += 1
+                start, end = places[a][0], places[b - 1][1]
+                over = [r for r in found[doc_id] if r.start < end and start < r.start + r.length]
+                assert any(len(matcher.words[r.license]) >= 0.9 * len(ours) for r in over), (doc_id, name)
+    assert some >= len(licenses.TEMPLATES)
+
+
+def test_alignment():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        ours, words = rng.integers(0, 4, rng.integers(1, 7)), rng.integers(0, 4, rng.integers(1, 9))
+        best = min(
+            len(ours) + (b - a) - 2 * licenses_common(ours, words[a:b]) for a in range(len(words) + 1) for b in range(a, len(words) + 1)
+        )
+        missing, other, a, b = licenses.aligned(ours, words)
+        assert missing + other == best == len(ours) + (b - a) - 2 * licenses_common(ours, words[a:b])
+
+
+def licenses_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return row[-1]
+
+
 def test_every_plain_notice_of_the_documents_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     notices = {t: n for n, t in licenses.TEMPLATES.items() if len(t) < 100}
