@@ -13,8 +13,8 @@ from postroom.llm.common import text_of, written
 HOT_SHARE = 10_000
 # Splitters are this many first characters and a hash: the driver samples no whole texts.
 HEAD = 64
-# A hot group's rows are gathered in this many parts.
-HOT_PARTS = 64
+# A hot group's rows are gathered in lists of about this many ids.
+LIST_IDS = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -24,9 +24,13 @@ def normalised(text: Column) -> Column:
 
 
 def _hot_contents(rows: DataFrame, total: int, share: int) -> DataFrame:
-    """(hash): contents that hold more than one in ``share`` rows; at most ``share`` hashes."""
+    """(hash, parts): contents that hold more than one in ``share`` rows; at most ``share`` hashes.
+
+    The lists of a group are as many as its rows ask for.
+    """
     counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where((F.col("n") > 1) & (F.col("n") * share > total)).select("hash")
+    hot = counts.where((F.col("n") > 1) & (F.col("n") * share > total))
+    return hot.select("hash", F.greatest(F.lit(64), F.ceil(F.col("n") / LIST_IDS)).alias("parts"))
 
 
 def content_groups(docs: DataFrame, keep: str = "largest", share: int = HOT_SHARE) -> DataFrame:
@@ -42,7 +46,7 @@ def content_groups(docs: DataFrame, keep: str = "largest", share: int = HOT_SHAR
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_of()).alias("content"))
     hashed = rows.withColumn("hash", F.xxhash64("content"))
     hot = F.broadcast(written(_hot_contents(hashed.select("hash"), docs.count(), share), "hot"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     gathered = (
         F.count(F.lit(1)).alias("n"),
         best("doc_id").alias("best"),
@@ -51,7 +55,7 @@ def content_groups(docs: DataFrame, keep: str = "largest", share: int = HOT_SHAR
     digest = F.sha2(F.col("content"), 256).alias("text_sha256")
     size = F.octet_length("content").alias("n_bytes")
     pre_gathered = (
-        hashed.join(hot, "hash", "left_semi")
+        hashed.join(hot, "hash")
         .groupBy("content", part.alias("part"))
         .agg(*gathered)
         .select(digest, size, "n", "best", "ids", F.lit(True).alias("hot"))
