@@ -11,6 +11,7 @@ they are. Either way the ids are those the library gives for the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -227,6 +228,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def hand_back() -> None:
+    """Give back what a batch needed: a worker serves many tasks, beside the JVM's own memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def byte_batches(
     batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES
 ) -> Iterator[pa.Table]:
@@ -249,7 +260,8 @@ def byte_batches(
             if start < batch.num_rows or size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
-                # What a batch needed goes back, as a worker serves many tasks.
-                pa.default_memory_pool().release_unused()
+                hand_back()
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    hand_back()

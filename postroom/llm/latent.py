@@ -44,8 +44,9 @@ PRODUCTS = 1 << 21
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.7, 0.6, 0.8
 # A passage that has so many words of an item in a row, or a whole shorter item, is compared with it.
 RUN = 4
-# Query passages that are searched for in one pass over the documents.
-QUERIES = 20_000
+# Query passages that are searched for in one pass over the documents, and passages
+# of documents that are projected and compared at a time.
+QUERIES, PROJECTED = 20_000, 512
 RUN_BYTES = 4 * 1024 * 1024
 
 
@@ -373,8 +374,8 @@ def _searching(
         kept[shared[:, 0]] = True
         kept = np.flatnonzero(kept)
         # Passages to project at a time, so that memory stays bounded.
-        for low in range(0, len(kept), 4096):
-            some = kept[low : low + 4096]
+        for low in range(0, len(kept), PROJECTED):
+            some = kept[low : low + PROJECTED]
             a, b = np.searchsorted(shared[:, 0], [some[0], some[-1] + 1])
             yield from _of(some, shared[a:b], text, start, stop, at, weight, hashes, bounds)
 
@@ -468,7 +469,10 @@ def _passes(docs: DataFrame, benchmark: DataFrame, common: tuple[float, float, f
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     weights = word_weights(docs)
     place, space = latent_space(asked, weights)
-    passes = max(1, -(-asked.count() // queries))
+    # An item has at most one passage per so many bytes, as a word takes two with what parts it from the next.
+    most = F.greatest(F.ceil(F.octet_length("text") / (2 * STEP)), F.lit(1))
+    passages = asked.agg(F.coalesce(F.sum(most), F.lit(0)).alias("n")).first()["n"]
+    passes = max(1, -(-passages // queries))
     for i in range(passes):
         share = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
         items = [item for batch in share.toArrow().to_batches() for item in _items(batch)]
@@ -486,7 +490,7 @@ def benchmark_leaks(
     One row per row of ``docs(doc_id, text, ...)`` and item of ``benchmark(item_id, text,
     ...)`` found in it, with the latent cosine of its best passage and the shares of
     the item and of its answer in the longest common subsequences. Every document and
-    every item is searched; a large benchmark takes several passes of ``queries`` items.
+    every item is searched; a large benchmark takes several passes of about ``queries`` passages.
     Null or empty texts and items hold nothing and are found nowhere; an item
     or row without an id is searched like any other; items with equal ids count once
     per row; other columns are ignored; an empty table gives an empty result.
