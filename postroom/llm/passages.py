@@ -10,17 +10,27 @@ other are a context of at most 176 bytes. Contexts are compared as follows:
    from the texts and brought together, and blocks of them are put into one
    collection: a round inserts one more symbol of every context, from its end to its
    start, and updates the Burrows-Wheeler transform and the longest common prefixes.
-   Neighbours with 100 bytes in common in the final order are repeats.
+   Neighbours with 100 bytes in common in the final order are repeats. A context whose
+   38 bytes before the anchor and whose 38 bytes behind it no other one shares has no
+   string in common with any, and stays out.
 3. What repeats is removed from the texts.
+
+An anchor of many contexts is no key for a task. Its strings are parted by where the
+anchor stands in them, and each part is keyed by the bytes that all its strings hold:
+91 and more in eight parts, and with still more contexts each string is its own key, so
+that only equal strings meet, by 128 bits of hashes. Equal parts are settled before the
+shuffle, once for every few thousand contexts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +51,15 @@ ANCHOR = 24
 RUN_BITS = 20
 RUN = (1 << RUN_BITS) - 4 * LENGTH
 TASK_BYTES = 16 * 1024 * 1024
-# Contexts in one collection; a single anchor's contexts are never parted.
+# Contexts in one collection, and those that are cut from texts at a time.
 BLOCK = 4_096
+# Different contexts from which an anchor's strings are keyed in eight parts, and one by one.
+HOT, HOTTER = 1_024, 65_536
+PARTS, STRINGS = 8, LENGTH - ANCHOR + 1
+# Rows of one anchor that are looked at together.
+TOGETHER = 1 << 18
+# Of the bytes around an anchor a string holds so many on one side at least.
+SIDE = (LENGTH - ANCHOR) // 2
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -63,6 +80,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+# Other values of the bytes, for hashes that do not depend on the first ones.
+_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M1))
+
+
 def _window_hashes(run: np.ndarray) -> np.ndarray:
     """Hash of the ``ANCHOR`` bytes from each place on, by doubling: 1, 2, 4, 8, 16, 24."""
     base = lambda n: np.uint64(pow(_M1, n, 1 << 64))
@@ -154,36 +175,166 @@ def _finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_mixed(version[owner].view(np.uint64)), np.zeros(len(owner)), doc_id[owner], version[owner], a, a - b)
 
 
-def _rows(key, inner, doc_id, version, start, strings) -> pa.RecordBatch:
+def _rows(key, inner, doc_id, version, start, strings, parts=None) -> pa.RecordBatch:
     columns = [np.asarray(key).view(np.int64), np.asarray(inner).astype(np.uint64).view(np.int64), doc_id, version, start, strings]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(c).astype(np.int64)) for c in columns],
-        names=["key", "inner", "doc_id", "version", "start", "strings"],
-    )
+    names = ["key", "inner", "doc_id", "version", "start", "strings"]
+    if parts is not None:
+        columns.append(np.broadcast_to(parts, len(doc_id)))
+        names.append("parts")
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64)) for c in columns], names=names)
+
+
+def _bounded_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(rows, long) of a stream sorted by ``key``: whole runs, or a piece of one of over ``most`` rows."""
+    running = None
+    held: list[pa.RecordBatch] = []
+
+    def split(last: bool) -> Iterator[tuple[pa.Table, bool]]:
+        nonlocal running, held
+        table = pa.Table.from_batches(held).combine_chunks()
+        held = []
+        edges = [0, *changes(table, ["key"]).tolist(), table.num_rows]
+        begin, end = 0, edges[-1] if last else edges[-2]
+        if running is not None:
+            if table.column("key")[0].as_py() == running:
+                yield table.slice(0, edges[1]), True
+                begin = edges[1]
+            if len(edges) > 2 or begin == 0:
+                running = None
+        elif len(edges) == 2 and not last:
+            running = table.column("key")[0].as_py()
+            yield table, True
+            return
+        if begin < end:
+            yield table.slice(begin, end - begin), False
+        if max(begin, end) < table.num_rows:
+            held = table.slice(max(begin, end)).to_batches()
 
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield from split(False)
+    if held:
+        yield from split(True)
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted contexts: repeats as intervals, and first contexts of anchors with several."""
-    for table in whole_runs(batches, ["key"]):
-        key, inner, doc_id, version, start, strings = (c.to_numpy() for c in table.columns)
-        known = strings < 0
-        yield _rows(key[known], inner[known], doc_id[known], version[known], start[known], strings[known])
-        key, inner, doc_id, version, start, strings = (
-            a[~known] for a in (key, inner, doc_id, version, start, strings)
-        )
-        if not len(key):
+
+def _meeting(
+    batches: Iterator[pa.RecordBatch], hot: int, hotter: int, together: int
+) -> Iterator[pa.RecordBatch]:
+    """From sorted contexts: repeats as intervals, and first contexts of anchors with several.
+
+    ``parts`` is in how many parts the strings of a context are keyed. Of an anchor with more
+    rows than are looked at together, all are keyed one by one.
+    """
+    carried = None
+    for table, long in _bounded_runs(batches, together):
+        columns = [c.to_numpy() for c in table.columns]
+        known = columns[5] < 0
+        yield _rows(*(c[known] for c in columns), 0)
+        columns = [c[~known] for c in columns]
+        if not len(columns[0]):
             continue
+        # The first context like the last one of the piece before.
+        before = long and carried is not None and carried[0] == columns[0][0]
+        if before:
+            columns = [np.append(c, a).astype(np.int64) for c, a in zip(carried, columns, strict=True)]
+        key, inner, doc_id, version, start, strings = columns
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         first = new_key | np.concatenate([[True], inner[1:] != inner[:-1]])
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        group = np.cumsum(first) - 1
+        head = np.flatnonzero(first)[group]
+        carried = [c[head[-1] : head[-1] + 1] for c in columns] if long else None
         same = (doc_id == doc_id[head]) & (version == version[head]) & (start == start[head])
         later = ~first & ~same
         yield _rows(
-            key[later], inner[later], doc_id[later], version[later], start[later], -(strings + LENGTH - 1)[later]
+            key[later], inner[later], doc_id[later], version[later], start[later], -(strings + LENGTH - 1)[later], 0
         )
         variants = np.bincount(np.cumsum(new_key) - 1, weights=first)[np.cumsum(new_key) - 1]
-        several = first & (variants > 1)
-        yield _rows(*(a[several] for a in (key, inner, doc_id, version, start, strings)))
+        parts = np.where(variants > hotter, STRINGS, np.where(variants > hot, PARTS, 1))
+        if long:
+            parts[:] = STRINGS
+        several = first & ((variants > 1) | long)
+        several[0] &= not before
+        yield _rows(*(a[several] for a in (*columns, parts)))
+
+
+_PIECE = "key long, doc_id long, version long, start long, size long, before long, behind long, context binary"
+
+
+def _pieces(key, doc_id, version, start, size, before, behind, context) -> pa.RecordBatch:
+    columns = [np.asarray(key).view(np.int64), doc_id, version, start, size]
+    sides = [np.broadcast_to(np.asarray(c, np.uint64), len(doc_id)).view(np.int64) for c in (before, behind)]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(np.asarray(c)) for c in columns), *map(pa.array, sides), pa.array(context, pa.binary())],
+        names=["key", "doc_id", "version", "start", "size", "before", "behind", "context"],
+    )
+
+
+def _anchor_places(run: np.ndarray, begin: np.ndarray, key: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Where in each context the anchor stands that all its strings hold."""
+    hashes = _window_hashes(run)
+    owner = np.repeat(np.arange(len(begin)), strings + LENGTH - 1)[: len(hashes)]
+    place = np.arange(len(hashes)) - begin[owner]
+    hit = np.flatnonzero((hashes == key[owner]) & (place >= strings[owner] - 1) & (place <= LENGTH - ANCHOR))
+    _, first = np.unique(owner[hit], return_index=True)
+    return place[hit[first]]
+
+
+def _keyed(run, key, doc_id, version, start, strings, parts) -> Iterator[pa.RecordBatch]:
+    """The parts of contexts laid one after the other in ``run``.
+
+    A null context marks an interval that is known to repeat; one of eight bytes is a hash.
+    """
+    size = strings + LENGTH - 1
+    begin = np.cumsum(size) - size
+    anchor = _anchor_places(run, begin, key, strings)
+    sums, other = np.zeros((2, len(run) + 1), np.uint64)
+    np.cumsum((run.astype(np.uint64) + np.uint64(1)) * _UP[: len(run)], out=sums[1:])
+    np.cumsum(_VALUES[run] * _UP[: len(run)], out=other[1:])
+
+    def digest(low: np.ndarray, high: np.ndarray, of: np.ndarray = sums) -> np.ndarray:
+        return _mixed((of[high] - of[low]) * _DOWN[low] + (high - low).astype(np.uint64))
+
+    joined = run.tobytes()
+    for k in np.unique(parts).tolist():
+        # Bytes before the anchor within a string, from ``low`` to ``high`` in each part.
+        edges = -(-np.arange(k + 1) * STRINGS // k)
+        row = np.repeat(np.flatnonzero(parts == k), k)
+        low, high = np.tile(edges[:-1], len(row) // k), np.tile(edges[1:] - 1, len(row) // k)
+        first, last = np.maximum(anchor[row] - high, 0), np.minimum(anchor[row] - low, strings[row] - 1)
+        held = first <= last
+        row, low, high, first, last = (a[held] for a in (row, low, high, first, last))
+        at = begin[row] + anchor[row]
+        core = digest(at - low, at - high + LENGTH)
+        a, b = begin[row] + first, begin[row] + last + LENGTH
+        head = np.arange(len(row))
+        if k > 1:
+            content = digest(a, b, other)
+            by = np.lexsort((start[row] + first, version[row], doc_id[row], content, core))
+            row, first, a, b, core, content = (x[by] for x in (row, first, a, b, core, content))
+            again = np.concatenate([[False], (core[1:] == core[:-1]) & (content[1:] == content[:-1])])
+            head = np.flatnonzero(~again)
+            to = head[np.cumsum(~again) - 1]
+            same = (doc_id[row] == doc_id[row[to]]) & (version[row] == version[row[to]])
+            same &= start[row] + first == start[row[to]] + first[to]
+            later = again & ~same
+            owner, low, high = _merged(row[later], (start[row] + first)[later], (start[row] + first + b - a)[later])
+            yield _pieces(
+                _mixed(version[owner].view(np.uint64)), doc_id[owner], version[owner], low, high - low, 0, 0,
+                [None] * len(owner),
+            )
+            before, behind = np.ones((2, len(head)), np.uint64)
+        else:
+            before = np.where(anchor[row] >= SIDE, digest(np.maximum(at - SIDE, 0), at), np.uint64(0))
+            end = np.minimum(at + ANCHOR + SIDE, len(run))
+            behind = np.where(anchor[row] + ANCHOR + SIDE <= size[row], digest(at + ANCHOR, end), np.uint64(0))
+        row, first, a, b, core = (x[head] for x in (row, first, a, b, core))
+        if k == STRINGS:
+            cut = [c.tobytes() for c in content[head]]
+        else:
+            cut = [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        yield _pieces(core, doc_id[row], version[row], start[row] + first, b - a, before, behind, cut)
 
 
 def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +344,17 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(asked.offsets.to_numpy())
         row = np.repeat(np.arange(batch.num_rows), counts)
         inner = asked.flatten()
-        key, start, strings = (inner.field(i) for i in range(3))
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        cut = [
-            texts[r][s : s + n + LENGTH - 1]
-            for r, s, n in zip(row.tolist(), start.to_pylist(), strings.to_pylist(), strict=True)
-        ]
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [key, batch.column("doc_id").take(take), batch.column("version").take(take), start, pa.array(cut, pa.binary())],
-            names=["key", "doc_id", "version", "start", "context"],
-        )
+        key, start, strings, parts = (inner.field(i).to_numpy() for i in range(4))
+        doc_id, version = (batch.column(c).to_numpy()[row] for c in ("doc_id", "version"))
+        buffer, bounds = buffer_of(batch.column("text"))
+        for at in range(0, len(row), BLOCK):
+            few = slice(at, at + BLOCK)
+            size = strings[few] + LENGTH - 1
+            begin = np.cumsum(size) - size
+            run = buffer[np.repeat(bounds[row[few]] + start[few] - begin, size) + np.arange(int(size.sum()))]
+            yield from _keyed(
+                run, key[few].view(np.uint64), doc_id[few], version[few], start[few], strings[few], parts[few]
+            )
 
 
 def _grown(array: np.ndarray, old: np.ndarray, target: np.ndarray, new: np.ndarray | int) -> np.ndarray:
@@ -307,22 +458,52 @@ def repeats(strings: list[bytes], least: int = LENGTH) -> tuple[np.ndarray, np.n
     return owner[long][later], start[later]
 
 
+def _shared(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows whose side, unless it is 0, another row of their key has too."""
+    order = np.lexsort((side, key))
+    equal = (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])
+    found = np.zeros(len(key), bool)
+    found[order[1:]] = equal
+    found[order[:-1]] |= equal
+    return found & (side != 0)
+
+
+def _spans(doc_id, version, start, length) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.asarray(c).astype(np.int64)) for c in (doc_id, version, start, length)],
+        names=["doc_id", "version", "start", "length"],
+    )
+
+
 def _collecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals that repeat between different contexts of one anchor."""
+    """Intervals that repeat between different contexts, or parts of contexts, of one key."""
     for table in whole_runs(batches, ["key"], BLOCK):
-        fresh = np.concatenate([[True], np.zeros(max(0, table.num_rows - 1), bool)])
-        fresh[changes(table, ["key", "doc_id", "version", "start"])] = True
-        table = table.filter(pa.array(fresh))
-        doc_id, version, start = (table.column(c).to_numpy() for c in ("doc_id", "version", "start"))
-        order = np.lexsort((start, version, doc_id))
-        strings = table.column("context").take(pa.array(order)).to_pylist()
-        string, at = repeats(strings)
+        known = table.filter(pc.is_null(table.column("context")))
+        yield _spans(*(known.column(c).to_numpy() for c in ("doc_id", "version", "start", "size")))
+        table = table.filter(pc.is_valid(table.column("context"))).combine_chunks()
+        if not table.num_rows:
+            continue
+        key, doc_id, version, start, size, before, behind = (c.to_numpy() for c in table.columns[:7])
+        code = table.column("context").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((start, version, doc_id, code, key))
+        new = np.concatenate(
+            [[True], (key[order][1:] != key[order][:-1]) | (code[order][1:] != code[order][:-1])]
+        )
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        same = (doc_id[order] == doc_id[head]) & (version[order] == version[head]) & (start[order] == start[head])
+        later = order[~new & ~same]
+        yield _spans(doc_id[later], version[later], start[later], size[later])
+        first = order[new]
+        long = pc.binary_length(table.column("context")).to_numpy()[first] >= LENGTH
+        first = first[long]
+        first = first[_shared(key[first], before[first]) | _shared(key[first], behind[first])]
+        if not len(first):
+            continue
+        order = first[np.lexsort((start[first], version[first], doc_id[first]))]
+        string, at = repeats(table.column("context").take(pa.array(order)).to_pylist())
         owner, a, b = _merged(string.astype(np.int64), at, at + LENGTH)
         row = order[owner]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc_id[row]), pa.array(version[row]), pa.array(start[row] + a), pa.array(b - a)],
-            names=["doc_id", "version", "start", "length"],
-        )
+        yield _spans(doc_id[row], version[row], start[row] + a, b - a)
 
 
 def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +535,9 @@ def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _NO_ID = -(1 << 63)
 
 
-def removed_passages(docs: DataFrame) -> DataFrame:
+def removed_passages(
+    docs: DataFrame, hot: int = HOT, hotter: int = HOTTER, together: int = TOGETHER
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, starts, ends, kept_sha256) per row of ``docs(doc_id, text, ...)``.
 
     A byte goes when a string of 100 bytes that covers it starts earlier too: in a
@@ -363,6 +546,8 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     Rows without an id come before all others; rows of equal id count as different
     documents, in an order of their contents, and of rows that are equal throughout
     all but one repeat it. Other columns are ignored; an empty table gives an empty result.
+    From ``hot`` different contexts on an anchor is keyed in parts, from ``hotter`` ones, or of
+    more than ``together`` rows, by its strings; the result is the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -376,20 +561,20 @@ def removed_passages(docs: DataFrame) -> DataFrame:
         rows.mapInArrow(_finding, _ROW)
         .repartition(n, "key")
         .sortWithinPartitions("key", "inner", "doc_id", "version", "start")
-        .mapInArrow(_meeting, _ROW),
+        .mapInArrow(partial(_meeting, hot=hot, hotter=hotter, together=together), _ROW + ", parts long"),
         "contexts",
     )
     asked = (
         met.where("strings > 0")
         .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("key", "start", "strings")).alias("asked"))
+        .agg(F.collect_list(F.struct("key", "start", "strings", "parts")).alias("asked"))
     )
     between = (
         rows.join(asked, ["doc_id", "version"])
         .select("doc_id", "version", "text", "asked")
-        .mapInArrow(_cutting, "key long, doc_id long, version long, start long, context binary")
+        .mapInArrow(_cutting, _PIECE)
         .repartition(n, "key")
-        .sortWithinPartitions("key", "doc_id", "version", "start")
+        .sortWithinPartitions("key")
         .mapInArrow(_collecting, "doc_id long, version long, start long, length long")
     )
     within = met.where("strings < 0").select("doc_id", "version", "start", (-F.col("strings")).alias("length"))

@@ -216,6 +216,47 @@ def test_passages(spark, small, empty):
     assert digest(passages.removed_passages(docs)) == sorted(removed([(i, (t or "").encode()) for i, t in made]), key=str)
 
 
+@pytest.mark.parametrize("limits", [(1, 1 << 30, 1 << 18), (1, 1, 1 << 18), (1 << 30, 1 << 30, 7)])
+def test_passages_of_anchors_that_are_keyed_in_parts(spark, limits):
+    rng = random.Random(3)
+
+    def some(n):
+        return "".join(rng.choices("abcdefg ", k=n))
+
+    lines, ends = [some(n) for n in (24, 45, 80, 99)], [some(n) for n in (12, 40, 75, 90)]
+    made = [(0, some(400)), (1, "ab" * 300), (2, None)]
+    for i in range(3, 120):
+        made.append((i, "".join([some(rng.randint(0, 120)), rng.choice(ends), rng.choice(lines), rng.choice(ends), some(30)])))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in made], DOCS).repartition(5)
+    whole = sorted(removed([(i, (t or "").encode()) for i, t in made]), key=str)
+    assert sum(r[2] > 0 for r in whole) > 40
+    assert digest(passages.removed_passages(docs, *limits)) == whole
+
+
+def test_runs_longer_than_the_bound_come_in_pieces():
+    rng = random.Random(8)
+    for _ in range(200):
+        keys = sorted(rng.choices(range(4), k=rng.randint(1, 40)))
+        at, batches = 0, []
+        while at < len(keys):
+            n = rng.randint(1, 6)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at : at + n])], names=["key"]))
+            at += n
+        got, long = [], defaultdict(set)
+        for table, piece in passages._bounded_runs(iter(batches), 5):
+            got += table.column("key").to_pylist()
+            assert not piece or len(set(table.column("key").to_pylist())) == 1
+            for key in set(table.column("key").to_pylist()):
+                long[key].add(piece)
+                assert piece or table.column("key").to_pylist().count(key) == keys.count(key)
+        assert got == keys and all(len(v) == 1 for v in long.values())
+
+
+def test_passages_of_the_awkward_table(awkward):
+    rows = sorted(((r[0], (r[1] or "").encode()) for r in AWKWARD), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert digest(passages.removed_passages(awkward)) == sorted(removed(rows), key=str)
+
+
 def test_passages_of_awkward_rows(spark):
     text = "".join(random.Random(2).choices("abcdefgh ", k=400))
     rows = [(None, text), (4, text), (4, text), (4, None), (5, "x" + text[:150]), (6, "")]
