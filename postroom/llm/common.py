@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Lists that note what is written, innermost last.
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Paths that ``written`` makes meanwhile, in order."""
+    paths: list[str] = []
+    _noting.append(paths)
+    try:
+        yield paths
+    finally:
+        _noting.pop()
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more, wherever Spark can write."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back; it outlives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in _noting:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,8 +23,9 @@ from postroom.llm.encoding import byte_batches, encoder
 
 CAPACITY = 1024
 END_ID = 2
-# Documents of one length are ranked in this many parts.
-RANK_PARTS = 64
+# Pieces of one length are ranked in parts of about so many, or of the share of all
+# pieces that leaves so many parts in all.
+PART_ROWS, MOST_PARTS = 4_096, 65_536
 
 
 @dataclass(frozen=True)
@@ -218,23 +219,43 @@ def _placing(placements: list[Placement]) -> Callable:
     return place
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def parts_of(histogram: dict[int, int], rows: int = PART_ROWS) -> dict[int, int]:
+    """In how many parts the pieces of each length are ranked: ``MOST_PARTS`` and one a length at most."""
+    rows = max(rows, -(-sum(histogram.values()) // MOST_PARTS))
+    return {length: -(-count // rows) for length, count in histogram.items()}
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows: int = PART_ROWS) -> DataFrame:
     """Add (sequence_id, offset) to written ``pieces(doc_id, piece, start, length, ids_crc32)``.
 
-    The driver holds the histogram and the plan, bounded by ``capacity``. Pieces are
-    ranked within their length in parts, so that a very common length is no one task's.
+    Pieces that fill a sequence are numbered where they are read. The others are ranked
+    within their length, in parts of about ``rows`` that grow only once there are
+    ``MOST_PARTS`` of them. The driver holds the histogram, the plan and a count a part.
     """
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)))
-    counts = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    # At most capacity * RANK_PARTS rows.
-    table = sorted((r["length"], r["part"], r["n"]) for r in counts.collect())
-    histogram: dict[int, int] = {}
-    before = []
-    for length, part, n in table:
-        before.append((length, part, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    placements, _ = plan(histogram, capacity)
     spark = pieces.sparkSession
+    # At most one row per length.
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    whole = histogram.pop(capacity, 0)
+    placements, sequences = plan(histogram, capacity)
+    full = pieces.where(F.col("length") == capacity).select(
+        *pieces.columns,
+        (F.monotonically_increasing_id() + sequences).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+    if not histogram:
+        return full
+    sizes = spark.createDataFrame(sorted(parts_of(histogram, rows).items()), "length long, parts long")
+    # Lengths of whole pieces are not in the table and leave here.
+    salted = (
+        pieces.join(F.broadcast(sizes), "length")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")))
+        .drop("parts")
+    )
+    counts = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before, reached = [], dict.fromkeys(histogram, 0)
+    for length, part, n in sorted((r["length"], r["part"], r["n"]) for r in counts.collect()):
+        before.append((length, part, reached[length]))
+        reached[length] += n
     offsets = spark.createDataFrame(before, "length long, part long, before long")
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
@@ -243,10 +264,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("rank", F.col("before") + F.col("nth"))
         .select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     )
-    return ranked.mapInArrow(
+    placed = ranked.mapInArrow(
         _placing(placements),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )
+    return placed.unionByName(full) if whole else placed
 
 
 def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:

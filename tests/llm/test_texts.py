@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import pytest
 
 import corpus_pipeline
 from postroom.llm import latent, licenses, queries, quality, toxicity
+from postroom.llm.common import noted
 from tests.llm.conftest import AWKWARD, DOCS
 
 SF = "/root/testdata/sf0.01"
@@ -429,7 +431,11 @@ def test_stages_keep_columns_and_rows_that_are_clean(spark, awkward, empty):
 
 def test_pipeline(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = corpus_pipeline.run(spark, SF).collect()
+    with noted() as paths:
+        rows = corpus_pipeline.run(spark, SF).collect()
+    left = [p for p in paths if Path(p.removeprefix("file:")).exists()]
+    assert [Path(p).name.split("-")[0] for p in left] == ["decontamination", "pieces"]
+    assert len(paths) > 8
     left = {r.doc_id for r in rows}
     assert left < set(docs)
     lowered = [re.sub("[A-Z]", lambda m: m.group().lower(), docs[i] or "") for i in left]

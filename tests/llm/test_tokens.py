@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from postroom.llm import encoding, packing, token_files, tokens
-from postroom.llm.common import fresh_path
+from postroom.llm.common import fresh_path, written
 from tests.llm.conftest import AWKWARD
 
 PATH = encoding.vocabulary("byte_bpe_50k.json")
@@ -151,12 +151,21 @@ def test_what_the_reduction_fixes_loses_nothing(lengths):
     assert reduced.sequences + (fewest(left, 20) if left else 0) == fewest(lengths, 20)
 
 
-def test_packing(awkward, empty, small):
+def test_parts_grow_with_the_count_and_stay_bounded():
+    assert packing.parts_of({}) == {}
+    assert packing.parts_of({1: 1, 2: 4_096, 3: 4_097}) == {1: 1, 2: 1, 3: 2}
+    many = packing.parts_of({n: 10**9 for n in range(1, 1024)})
+    assert sum(many.values()) <= packing.MOST_PARTS + 1024
+
+
+@pytest.mark.parametrize("rows", [packing.PART_ROWS, 2])
+def test_packing(awkward, empty, small, rows):
+    part_rows = rows
     for docs in (awkward, small):
         texts = defaultdict(list)
         for r in docs.select("doc_id", "text").collect():
             texts[r.doc_id].append(np.array([*library(r.text), 2], "<u4"))
-        rows = packing.packed(docs, PATH).collect()
+        rows = packing.pack_pieces(written(packing.pieces_of(docs, PATH), "pieces"), rows=part_rows).collect()
         sequences = defaultdict(list)
         for r in rows:
             sequences[r.sequence_id].append((r.offset, r.length))
