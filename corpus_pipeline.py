@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.llm import encoding, exact, latent, packing, simhash, toxicity
-from postroom.llm.common import kept_rows, table, text_of, written
+from postroom.llm.common import drop, kept_rows, noted, table, text_of, written
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -50,8 +50,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next.
+
+    What a stage wrote besides its result, and the result before it, goes once its own is
+    written. The rows returned are read from the last two tables, which stay.
+    """
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with noted() as paths:
+            docs = written(stage(spark, docs, sf_dir), name)
+        drop(spark, before + paths[:-1])
+        before = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
