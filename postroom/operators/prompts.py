@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,31 @@ Return ONLY JSON: {"intent_codes": ["code1"]}
 Email: %s"""
 
 
+@dataclass(frozen=True)
+class Wording:
+    """The texts of a caller's prompts; each ``%s`` is a place to fill, all else is taken as it stands.
+
+    ``message`` has places for sender, subject and body, ``context`` for organisation, terms,
+    codes and examples, ``fallback`` for codes and the message's text.
+    """
+
+    message: str = MESSAGE_PROMPT
+    context: str = CONTEXT
+    fallback: str = FALLBACK_PROMPT
+    opening: str = OPEN
+    closing: str = CLOSE
+    terms_per_category: int = TERMS_PER_CATEGORY
+
+    def __post_init__(self) -> None:
+        for name, places in (("message", 3), ("context", 4), ("fallback", 2)):
+            found = getattr(self, name).count("%s")
+            if found != places:
+                raise ValueError(f"The {name} prompt has {found} places to fill, not {places}")
+
+
+DEFAULT = Wording()
+
+
 def _filled(template: str, *values: Column) -> Column:
     """The template with its places filled; values are never read as formats."""
     pieces = [F.lit(p) for p in template.split("%s")]
@@ -63,10 +90,10 @@ def _filled(template: str, *values: Column) -> Column:
     return F.concat(*filled)
 
 
-def user_prompt() -> Column:
+def user_prompt(wording: Wording = DEFAULT) -> Column:
     """The per-message part, over ``from``, ``subject`` and ``body``."""
     return _filled(
-        MESSAGE_PROMPT,
+        wording.message,
         prompt_field(F.col("from"), SENDER_WIDTH),
         prompt_field(F.col("subject"), SUBJECT_WIDTH),
         prompt_field(F.col("body"), BODY_WIDTH),
@@ -95,7 +122,9 @@ def _one_text(df: DataFrame, order: str, text: str | Column, separator: str) ->
     return df.agg(F.array_join(F.transform(lines, lambda x: x["text"]), separator).alias("text"))
 
 
-def context_block(lexicon: DataFrame, intents: DataFrame, organisation: str) -> DataFrame:
+def context_block(
+    lexicon: DataFrame, intents: DataFrame, organisation: str, wording: Wording = DEFAULT
+) -> DataFrame:
     """One row ``context``: what every prompt of a run shares.
 
     ``intents`` is the labelled form. The text has one line per category, code
@@ -106,20 +135,21 @@ def context_block(lexicon: DataFrame, intents: DataFrame, organisation: str) ->
         F.lit("\n  -> Intent: "), "intent", F.lit("  |  Code: "), "intent_code",
     )
     parts = (
-        _one_text(prompt_terms(lexicon), "cat_no", "line", "\n").scalar(),
+        _one_text(prompt_terms(lexicon, wording.terms_per_category), "cat_no", "line", "\n").scalar(),
         _one_text(valid_codes(intents), "intent_code", "intent_code", " | ").scalar(),
         _one_text(few_shots(intents), "row_no", shot, "\n").scalar(),
     )
     spark = lexicon.sparkSession
-    return spark.range(1).select(_filled(CONTEXT, F.lit(organisation), *parts).alias("context"))
+    return spark.range(1).select(_filled(wording.context, F.lit(organisation), *parts).alias("context"))
 
 
-def full_prompts(messages: DataFrame, context: DataFrame) -> DataFrame:
+def full_prompts(messages: DataFrame, context: DataFrame, wording: Wording = DEFAULT) -> DataFrame:
     """(guid, prompt): the shared context, then the message."""
     return messages.select(
         "guid",
         F.concat(
-            F.lit(OPEN), context.scalar(), F.lit("\n\n"), user_prompt(), F.lit(CLOSE)
+            F.lit(wording.opening), context.scalar(), F.lit("\n\n"), user_prompt(wording),
+            F.lit(wording.closing),
         ).alias("prompt"),
     )
 
@@ -129,13 +159,14 @@ def fallback_text() -> Column:
     return F.substring(joined_text(F.col("subject"), F.col("body")), 1, FALLBACK_WIDTH)
 
 
-def fallback_prompts(texts: DataFrame, intents: DataFrame) -> DataFrame:
+def fallback_prompts(texts: DataFrame, intents: DataFrame, wording: Wording = DEFAULT) -> DataFrame:
     """(guid, prompt) of ``texts(guid, carried)``; codes in file order."""
     first = intents.groupBy("intent_code").agg(F.min("row_no").alias("row_no"))
     codes = _one_text(first, "row_no", "intent_code", " | ").scalar()
     return texts.select(
         "guid",
         F.concat(
-            F.lit(OPEN), _filled(FALLBACK_PROMPT, codes, F.col("carried")), F.lit(CLOSE)
+            F.lit(wording.opening), _filled(wording.fallback, codes, F.col("carried")),
+            F.lit(wording.closing),
         ).alias("prompt"),
     )

@@ -77,6 +77,7 @@ def rules_job(
     score_mode: str = "count",
     open_predictor: Callable[[], Predictor] | None = None,
     staging_folder: str | None = None,
+    wording: prompts.Wording = prompts.DEFAULT,
 ) -> Outcome:
     """Decide the backlog by rule, and the rest by a predictor when one is given.
 
@@ -92,7 +93,7 @@ def rules_job(
     if open_predictor is None:
         decided = staging.written(triage.triage(waiting, rules, address_mode, score_mode), "decided")
     else:
-        decided = with_predictor(waiting, rules, open_predictor, address_mode, score_mode, staging)
+        decided = with_predictor(waiting, rules, open_predictor, address_mode, score_mode, staging, wording)
     return Outcome(
         decided,
         reports={
@@ -110,6 +111,7 @@ def with_predictor(
     address_mode: str = "exact",
     score_mode: str = "count",
     staging: Staging | None = None,
+    wording: prompts.Wording = prompts.DEFAULT,
 ) -> DataFrame:
     """Decisions, the unmatched ones answered by the predictor.
 
@@ -123,7 +125,7 @@ def with_predictor(
     unmatched = F.col("match_source") == triage.UNMATCHED
     decided = staging.written(decided.withColumn("carried", F.when(unmatched, F.col("carried"))), "decided")
     rest = decided.where(unmatched)
-    asked = spread(prompts.fallback_prompts(rest, rules.intents))
+    asked = spread(prompts.fallback_prompts(rest, rules.intents, wording))
     answers = staging.written(predict.predict(asked, open_predictor), "answers")
     answered = predict.parse_fallback(answers, rules.intents.select("intent_code"), rules.small)
     by_predictor = (
@@ -144,15 +146,16 @@ def predictor_job(
     organisation: str,
     n: int | None = None,
     staging_folder: str | None = None,
+    wording: prompts.Wording = prompts.DEFAULT,
 ) -> Outcome:
-    """Ask a predictor about the backlog; keep failures apart.
+    """Ask a predictor about the backlog, in the caller's ``wording``; keep failures apart.
 
     Guids must be unique among the messages asked about; repeated ones are an error.
     """
     staging = Staging(messages.sparkSession, staging_folder)
     lexicon, intents = lexicon_from_table(lexicon_table), labelled_intents(intent_table)
-    context = prompts.context_block(lexicon, intents, organisation)
-    asked = prompts.full_prompts(queue.work_queue(messages, n), context)
+    context = prompts.context_block(lexicon, intents, organisation, wording)
+    asked = prompts.full_prompts(queue.work_queue(messages, n), context, wording)
     if n is not None:
         asked = staging.written(asked, "prompts")
     require_unique(asked.select("guid"), "guid")

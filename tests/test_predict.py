@@ -1,5 +1,7 @@
 
 
+import pytest
+
 from postroom.operators import predict, prompts, report
 
 RESPONSES = {
@@ -98,6 +100,28 @@ def test_context_and_full_prompt(spark):
     assert full.startswith("<s>[INST] " + text + "\n\nClassify this email.") and full.endswith(" [/INST]")
 
 
+def test_wording_of_the_caller(spark):
+    lexicon = spark.createDataFrame(
+        [(i, "B", f"t{i}") for i in range(1, 5)], "row_no int, code string, term string")
+    intents = spark.createDataFrame(
+        [(1, "B", "Bill", "b@x"), (2, "A", "Acc", None)],
+        "row_no int, intent_code string, intent string, email string")
+    wording = prompts.Wording(
+        message="%s|%s|%s", context="100 % of %s: %s / %s / %s", fallback="%s? %s", opening="<", closing=">",
+        terms_per_category=2)
+    context = prompts.context_block(lexicon, intents, "%s", wording)
+    text = "100 % of %s:   B: t1, t2 / A | B /   Sender: b@x\n  -> Intent: Bill  |  Code: B"
+    assert context.first()["context"].startswith(text)
+    message = spark.createDataFrame([("1", "s", "b%s", "f")], "guid string, subject string, body string, from string")
+    full = prompts.full_prompts(message, context, wording).first()["prompt"]
+    assert full.startswith("<" + text) and full.endswith("\n\nf|s|b%s>")
+    rest = spark.createDataFrame([("1", "words %s")], "guid string, carried string")
+    assert prompts.fallback_prompts(rest, intents, wording).first()["prompt"] == "<B | A? words %s>"
+    for wrong in ({"message": "%s"}, {"context": ""}, {"fallback": "%s%s%s"}):
+        with pytest.raises(ValueError, match="places to fill"):
+            prompts.Wording(**wrong)
+
+
 def test_distribution(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "predicted_code string")
     assert [tuple(r) for r in report.intent_distribution(df).collect()] == [("b", 2), ("a", 1), ("c", 1)]
