@@ -39,7 +39,7 @@ def one_by_one(answer: Callable[[str], str]) -> Predictor:
     return answer_all
 
 
-def _answers(predictor: Predictor, prompts: list[str]) -> list:
+def answers(predictor: Predictor, prompts: list[str]) -> list:
     """Answers of a batch; if it fails as a whole, of its prompts one at a time."""
     try:
         found = list(predictor(prompts))
@@ -49,7 +49,7 @@ def _answers(predictor: Predictor, prompts: list[str]) -> list:
     except Exception as failure:
         if len(prompts) == 1:
             return [failure]
-        return [answer for prompt in prompts for answer in _answers(predictor, [prompt])]
+        return [answer for prompt in prompts for answer in answers(predictor, [prompt])]
 
 
 def predict(
@@ -68,7 +68,7 @@ def predict(
         for rows in batches:
             for at in range(0, len(rows), batch):
                 some = rows.iloc[at : at + batch]
-                found = _answers(predictor, some["prompt"].tolist())
+                found = answers(predictor, some["prompt"].tolist())
                 failed = [isinstance(a, Exception) for a in found]
                 yield pd.DataFrame(
                     {

@@ -259,3 +259,17 @@ def open_fallback_stub():
         return '{"intent_codes": ["%s", "Nope", "Legal"]}' % ["Outage", "Acc", "none"][n % 3]
 
     return answer
+
+
+def open_stub_of(organisation: str | None):
+    """A predictor of one organisation; one sender has none."""
+    if organisation.startswith("src7@"):
+        raise LookupError(f"no predictor of {organisation}")
+
+    @one_by_one
+    def answer(prompt: str) -> str:
+        if len(prompt) % 13 == 0:
+            raise ValueError("no answer")
+        return f"{organisation} {len(prompt) % 7}"
+
+    return answer

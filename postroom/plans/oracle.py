@@ -485,6 +485,12 @@ SELECT predicted, sum(gone)::BIGINT AS gone, sum(come)::BIGINT AS come, sum(same
     out["context_block"] = f"WITH {_PART}, {_CUSTOMER}, {_context('part_all', 'cust_labelled')} SELECT context FROM ctx"
     out["full_prompts"] = f"WITH {_ASKED} SELECT guid, prompt FROM asked"
     out["predict_stub"] = f"WITH {_ANSWERED} SELECT guid, raw, error FROM answered"
+    out["predict_by_sender"] = f"""WITH {_MESSAGES}, asked AS (
+SELECT guid, sender AS organisation, length({_PROMPT}) AS n FROM m)
+SELECT organisation, guid,
+ CASE WHEN organisation NOT LIKE 'src7@%' AND n % 13 <> 0 THEN organisation || ' ' || (n % 7) END AS raw,
+ CASE WHEN organisation LIKE 'src7@%' THEN 'no predictor of ' || organisation
+  WHEN n % 13 = 0 THEN 'no answer' END AS error FROM asked"""
     out["failed_predictions"] = f"WITH {_ANSWERED} SELECT guid, error FROM answered WHERE error IS NOT NULL"
     out["run_totals"] = f"WITH {_ANSWERED} SELECT count(raw) AS predicted, count(error) AS errors FROM answered"
     out["intent_distribution"] = f"""WITH {_ANSWERED}, good AS (SELECT * FROM answered WHERE error IS NULL), {_parsed('good')}

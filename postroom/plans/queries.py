@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions import text
-from postroom.operators import dimensions, history, matching, predict, prompts, queue, report, summaries, triage
+from postroom.operators import dimensions, history, matching, predict, prompts, queue, report, summaries, table_functions, triage
 from postroom.operators.sizing import spread
 from postroom.operators.staging import Staging
 from postroom.operators.versioned import BucketedTable
@@ -482,6 +482,19 @@ def predict_stub(spark, sf_dir):
     return predict.predict(_asked(spark, sf_dir), fixtures.open_stub)
 
 
+@query
+def predict_by_sender(spark, sf_dir):
+    """Each sender's own predictor asked about all their messages, from SQL."""
+    asked = fixtures.messages(spark, sf_dir).select(
+        F.col("from").alias("organisation"), "guid", prompts.user_prompt().alias("prompt")
+    )
+    table_functions.register_predictor(spark, "ask_predictor", fixtures.open_stub_of)
+    return spark.sql(
+        "SELECT * FROM ask_predictor(TABLE({asked}) PARTITION BY (organisation, part))",
+        asked=table_functions.parted(asked, rows=20),
+    )
+
+
 @query
 def parse_responses(spark, sf_dir):
     parsed = predict.parse_responses(
