@@ -7,7 +7,8 @@ is projected into it, and an item whose cosine is high is a candidate. So is an
 that a passage shares a run of words with, however common a leak has made them. A candidate
 counts once its words, in order, make up enough of the item: by longest common
 subsequence over the item, or over somewhat less of it when its answer, its last
-sentence, is there too. So copies are found and paraphrases that keep most words.
+sentence, is there too; an item too few of whose words are there in any order cannot,
+and is not compared. So copies are found and paraphrases that keep most words.
 """
 
 from __future__ import annotations
@@ -281,22 +282,56 @@ class Runs:
             found = np.unique(_runs_of(query, words))
             parts.setdefault(words, []).append((found, np.full(len(found), q)))
         self.by_length = {}
+        listed: list[np.ndarray] = [np.zeros(0, np.int64)]
         for words, pairs in parts.items():
             runs, owners = (np.concatenate(x) for x in zip(*pairs, strict=True))
             order = np.argsort(runs, kind="stable")
             seen = np.zeros(1 << 20, bool)
             seen[runs >> np.uint64(44)] = True
-            self.by_length[words] = runs[order], owners[order], seen
+            self.by_length[words] = runs[order], sum(map(len, listed)), seen
+            listed.append(owners[order])
+        self.owners = np.concatenate(listed)
 
-    def places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(first word, query, words) of every run found, also of runs across texts."""
-        for words, (runs, owners, seen) in self.by_length.items():
+    def places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(first word, first and end of its queries in ``owners``, words) of every run found, also across texts."""
+        for words, (runs, offset, seen) in self.by_length.items():
             here = _runs_of(hashes, words)
             maybe = np.flatnonzero(seen[here >> np.uint64(44)])
             low, high = np.searchsorted(runs, here[maybe], "left"), np.searchsorted(runs, here[maybe], "right")
-            times = high - low
+            found = low < high
+            yield maybe[found], low[found] + offset, high[found] + offset, words
+
+    def spread(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row with each of its run's queries, about ``PRODUCTS`` at a time."""
+        ends = np.cumsum(high - low)
+        parts = np.searchsorted(ends, np.arange(PRODUCTS, ends[-1] + PRODUCTS, PRODUCTS)) + 1 if len(ends) else []
+        at = 0
+        for stop in parts:
+            times = (high - low)[at:stop]
             nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            yield np.repeat(maybe, times), owners[np.repeat(low, times) + nth], words
+            yield np.repeat(rows[at:stop], times), self.owners[np.repeat(low[at:stop], times) + nth]
+            at = stop
+
+
+class Overlap:
+    """How many words of an item occur in a region at all; no common subsequence is longer."""
+
+    def __init__(self, items: list[Item]):
+        self.sizes = np.array([len(item.hashes) for item in items], np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.known, self.words = np.unique(
+            np.concatenate([np.zeros(0, np.uint64), *(item.hashes for item in items)]), return_inverse=True
+        )
+
+    def counts(self, numbers: np.ndarray, region: np.ndarray) -> np.ndarray:
+        """For items by number, none of them without words."""
+        place = np.minimum(np.searchsorted(self.known, region), len(self.known) - 1)
+        present = np.zeros(len(self.known), np.int64)
+        present[place[self.known[place] == region]] = 1
+        sizes = self.sizes[numbers]
+        first = np.cumsum(sizes) - sizes
+        nth = np.arange(sizes.sum()) + np.repeat(self.start[numbers] - first, sizes)
+        return np.add.reduceat(present[self.words[nth]], first)
 
 
 class Exact:
@@ -348,6 +383,7 @@ def _searching(
     queries /= np.maximum(held, 1e-9)
     exact = Exact(rows, np.flatnonzero(held[:, 0] < HELD))
     runs = Runs([query for item in items for query in item.queries()])
+    overlap = Overlap(items)
 
     def confirmed(item: Item, region: np.ndarray) -> tuple[float, float] | None:
         share = common_subsequence(item.hashes, region) / len(item.hashes)
@@ -380,16 +416,28 @@ def _searching(
             yield from _of(some, shared[a:b], text, start, stop, at, weight, hashes, bounds)
 
     def _shared(hashes: np.ndarray, bounds: np.ndarray, count: np.ndarray, passages: np.ndarray) -> np.ndarray:
-        """Rows (passage, query) of a run of words in common, in order and each once."""
+        """Rows (passage, first and end of queries) of a run of words in common, in order and each once."""
         first = np.cumsum(passages) - passages
-        pairs = [np.zeros((0, 2), np.int64)]
-        for place, query, words in runs.places(hashes):
+        found = [np.zeros((0, 3), np.int64)]
+        for place, low, high, words in runs.places(hashes):
             text = np.searchsorted(bounds, place, "right") - 1
             within = place + words <= bounds[text + 1]
-            place, query, text = place[within], query[within], text[within]
+            place, low, high, text = place[within], low[within], high[within], text[within]
             nth = np.minimum((place - bounds[text]) // STEP, passages[text] - 1)
-            pairs.append(np.stack([first[text] + nth, query], axis=1))
-        return np.unique(np.concatenate(pairs), axis=0)
+            found.append(np.stack([first[text] + nth, low, high], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _possible(numbers: np.ndarray, region_of: Callable[[int], np.ndarray]) -> np.ndarray:
+        """Which of the items have enough of their words near a passage, in whatever order."""
+        sizes = overlap.sizes[numbers]
+        enough = np.zeros(len(numbers), bool)
+        # Items of like lengths share the region of the longest of them.
+        kind = np.frexp(sizes)[1]
+        for like in np.unique(kind):
+            some = np.flatnonzero(kind == like)
+            counts = overlap.counts(numbers[some], region_of(sizes[some].max()))
+            enough[some] = counts / sizes[some] >= min(common[0], common[1])
+        return enough
 
     def _of(kept, shared, text, start, stop, at, weight, hashes, bounds) -> Iterator[tuple]:
         sizes = (stop - start)[kept]
@@ -410,16 +458,24 @@ def _searching(
         for passage, query, cosine in exact.reached(row, buckets_of(hashes[word]), weight[word], norms):
             cosines[passage, query] = np.maximum(cosines[passage, query], cosine)
         candidate = cosines >= COSINE
-        candidate[np.searchsorted(kept, shared[:, 0]), shared[:, 1]] = True
-        hit, query = np.nonzero(candidate)
-        for passage, q in zip(hit.tolist(), query.tolist(), strict=True):
-            item, k = items[owners[q]], kept[passage]
-            reach = len(item.hashes)
+        for passage, query in runs.spread(np.searchsorted(kept, shared[:, 0]), shared[:, 1], shared[:, 2]):
+            candidate[passage, query] = True
+        for passage in np.flatnonzero(candidate.any(axis=1)).tolist():
+            k = kept[passage]
             t = text[k]
-            region = hashes[max(bounds[t], start[k] - reach) : min(bounds[t + 1], stop[k] + reach)]
-            shares = confirmed(item, region)
-            if shares:
-                yield int(t), item.item_id, float(cosines[passage, q]), *shares
+
+            def region_of(reach: int) -> np.ndarray:
+                return hashes[max(bounds[t], start[k] - reach) : min(bounds[t + 1], stop[k] + reach)]
+
+            query = np.flatnonzero(candidate[passage])
+            numbers, first = np.unique(owners[query], return_index=True)
+            best = np.maximum.reduceat(cosines[passage, query], first)
+            possible = _possible(numbers, region_of)
+            for number, cosine in zip(numbers[possible].tolist(), best[possible].tolist(), strict=True):
+                item = items[number]
+                shares = confirmed(item, region_of(len(item.hashes)))
+                if shares:
+                    yield int(t), item.item_id, cosine, *shares
 
     def search(rows: pa.Table) -> dict[tuple[int, int], tuple[float, float, float]]:
         """By row and item, of several passages the one that holds most of the item."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -15,7 +16,7 @@ import pytest
 
 import corpus_pipeline
 from postroom.llm import latent, licenses, queries, quality, toxicity
-from postroom.llm.common import noted
+from postroom.llm.common import buffer_of, noted
 from tests.llm.conftest import AWKWARD, DOCS
 
 SF = "/root/testdata/sf0.01"
@@ -379,6 +380,44 @@ def test_every_item_of_a_large_benchmark_is_found(spark):
     assert found == {(i, i) for i in range(200)}
 
 
+def test_items_that_share_an_opening_phrase_are_not_all_compared(monkeypatch):
+    rng = random.Random(23)
+    opening = "choose the one right answer to this"
+    texts = [f"{opening} {' '.join(f'w{rng.randrange(20_000)}' for _ in range(30))}" for _ in range(5_000)]
+    rows = []
+    for i in range(400):
+        words = [opening if rng.random() < 0.05 else f"v{rng.randrange(20_000)}" for _ in range(300)]
+        rows.append(" ".join([*words[:150], *(texts[i : i + 1] if i % 20 == 0 else []), *words[150:]]))
+    batch = pa.RecordBatch.from_pydict({"item_id": list(range(5_000)), "text": texts})
+    items = list(latent._items(batch))
+    compared = []
+    plain_length = latent.common_subsequence
+    monkeypatch.setattr(latent, "common_subsequence", lambda a, b: compared.append(1) or plain_length(a, b))
+    # Opening words carry no weight, as those of a leak do.
+    weights = np.ones(latent.BUCKETS, np.float32)
+    weights[latent.buckets_of(latent.words_of(*buffer_of(pa.array([opening])))[0])] = 0
+    search = latent._searching(weights, np.full(latent.BUCKETS, -1), np.zeros((0, 1), np.float32), items, (0.7, 0.6, 0.8))
+    tracemalloc.start()
+    found = search(pa.table({"text": rows}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == {(i, i) for i in range(0, 400, 20)}
+    # All 5,000 items would be two comparisons each at each of about 6,000 openings.
+    assert len(compared) < 1_000 and peak < 300e6
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_no_common_subsequence_exceeds_the_overlap(seed):
+    rng = np.random.default_rng(seed)
+    items = [latent.Item(i, rng.integers(0, 12, n, dtype=np.uint64), np.zeros(0, np.uint64)) for i, n in enumerate([1, 3, 9, 30])]
+    overlap = latent.Overlap(items)
+    region = rng.integers(0, 20, 25, dtype=np.uint64)
+    numbers = np.array([0, 2, 3])
+    counts = overlap.counts(numbers, region)
+    assert counts.tolist() == [int(np.isin(items[n].hashes, region).sum()) for n in numbers]
+    assert all(latent.common_subsequence(items[n].hashes, region) <= c for n, c in zip(numbers, counts, strict=True))
+
+
 def test_leaks_of_awkward_rows(spark, awkward, empty, benchmark):
     assert latent.benchmark_leaks(awkward, benchmark).collect() == []
     assert latent.benchmark_leaks(empty, benchmark).collect() == []
