@@ -1,9 +1,9 @@
 """Matching against a lexicon that no executor holds.
 
 A Bloom filter of the terms' keys is built by an aggregate, a bit vector of bounded
-size whatever the lexicon holds. Words and word pairs of the texts that it lets pass
-are written once, a few numbers and words each, and meet the terms in a shuffle join,
-in which the rows of hot words are salted. Every match is confirmed on the words.
+size whatever the lexicon holds. Runs of words of the texts that it lets pass are
+written once, with their counts, and meet the terms in a shuffle join, in which the
+rows of hot runs are salted. Every match is confirmed on the words.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ def filter_bits(keys: int) -> int:
 
 
 def _positions(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(LOOKUPS)]
+    """From the two halves of a key that is a hash; ``bits`` is a power of two."""
+    return [
+        (key + F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1)) * F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(LOOKUPS)
+    ]
 
 
 def key_filter(keys: DataFrame, bits: int) -> DataFrame:
@@ -56,33 +59,15 @@ def may_hold(vector: Column, key: Column, bits: int) -> Column:
     return reduce(Column.__and__, map(set_at, _positions(key, bits)))
 
 
-def occurrences(texts: DataFrame, keyed: DataFrame, one: Column, two: Column, staging: Staging, salts: int = SALTS) -> DataFrame:
-    """(guid, term, listings): a row per place of ``texts(guid, words)`` where a term's words line up.
+def found(grams: DataFrame, keyed: DataFrame, staging: Staging, salts: int = SALTS) -> DataFrame:
+    """(guid, term, n, listings) of the ``grams(guid, gram, times, hash)`` that are terms.
 
-    ``keyed(term, spelling, key, key2, hash, n, listings)`` are the terms. ``one`` and
-    ``two`` hash the columns ``word`` and ``word``, ``second``. The texts are read once.
+    ``keyed(term, hash, listings)`` are the terms. The texts are read once, and a guid meets
+    a term once, however often it holds it: one shuffle brings its rows together and to the term.
     """
-    size = keyed.agg(F.count_distinct("hash").alias("keys"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()
-    bits = filter_bits(size["keys"])
+    bits = filter_bits(keyed.agg(F.count_distinct("hash").alias("keys")).first()["keys"])
     vector = staging.written(key_filter(keyed.select("hash").distinct(), bits), "filter").scalar()
-    place = F.col("pos") + 1
-    keys = (
-        texts.select("guid", "words", F.posexplode("words").alias("pos", "word"))
-        .withColumn("second", F.get("words", place))
-        # Only terms of more than two words look further.
-        .withColumn("following", F.when(F.lit(size["n"] > 2), F.slice("words", place, F.lit(size["n"]))))
-    )
-    either = F.array(
-        F.struct(one.alias("hash"), F.lit(False).alias("pair")),
-        F.when(F.col("second").isNotNull(), F.struct(two.alias("hash"), F.lit(True).alias("pair"))),
-    )
-    passed = staging.written(
-        keys.select("guid", "word", "second", "following", F.explode(either).alias("asked"))
-        .where(may_hold(vector, F.col("asked.hash"), bits))
-        .select("guid", "word", F.col("asked.hash").alias("hash"),
-                *(F.when(F.col("asked.pair"), F.col(c)).alias(c) for c in ("second", "following"))),
-        "passed",
-    )
+    passed = staging.written(grams.where(may_hold(vector, F.col("hash"), bits)), "passed")
     # Numbers of fewer than HOT_SHARE keys, and no terms, are broadcast.
     counts = staging.written(passed.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")), "counts")
     total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
@@ -91,12 +76,16 @@ def occurrences(texts: DataFrame, keyed: DataFrame, one: Column, two: Column, st
     )
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("guid"), F.lit(salts))).otherwise(0).cast("int")
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = passed.join(hot, "hash", "left").withColumn("salt", salt).drop("hot")
-    right = keyed.join(hot, "hash", "left").withColumn("salt", F.explode(every)).drop("hot")
-    lined_up = (F.col("n") <= 2) | (
-        F.array_join(F.slice("following", F.lit(1), F.greatest("n", F.lit(1))), " ") == F.col("spelling")
+    left = (
+        passed.join(hot, "hash", "left")
+        .withColumn("salt", salt)
+        .repartition("hash", "salt")
+        .groupBy("hash", "salt", "guid", "gram")
+        .agg(F.sum("times").alias("n"))
     )
-    same = (F.col("word") == F.col("key")) & (F.col("key2").isNull() | (F.col("key2") == F.col("second")))
+    right = keyed.join(hot, "hash", "left").withColumn("salt", F.explode(every)).drop("hot")
     return (
-        left.join(right.hint("shuffle_merge"), ["hash", "salt"]).where(same & lined_up).select("guid", "term", "listings")
+        left.join(right.hint("shuffle_merge"), ["hash", "salt"])
+        .where(F.startswith("gram", "term") & F.startswith("term", "gram"))
+        .select("guid", "term", "n", "listings")
     )

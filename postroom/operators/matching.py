@@ -25,7 +25,7 @@ from postroom.functions.text import (
     text_or_empty,
     weighted_text,
 )
-from postroom.operators import large_lexicon
+from postroom.operators import counting, large_lexicon
 from postroom.operators.dimensions import categories
 from postroom.operators.sizing import broadcast_passes
 from postroom.operators.staging import Staging
@@ -225,7 +225,7 @@ def keyphrase_counts(
     """
     passes = broadcast_passes(lexicon.select("term").distinct()) if passes is None else passes
     if passes > MOST_SHARES:
-        return keyphrase_counts_shuffled(messages, lexicon, bucketed=bucketed)
+        return keyphrase_counts_shuffled(messages, lexicon)
     listed = (
         lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
         .select("code", "term")
@@ -249,46 +249,39 @@ def keyphrase_counts(
     )
 
 
+def _countable(lexicon: DataFrame) -> DataFrame:
+    """(code, term, cat_no) of the terms that cleaned text can hold."""
+    return (
+        lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
+        .select("code", "term")
+        .distinct()
+        .join(categories(lexicon), "code")
+    )
+
+
+def _grams(messages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(guid, gram, times, hash): the runs of as many words as terms have, in each weighted text."""
+    sizes = terms.agg(F.collect_set(F.size(F.split("term", " ")))).first()[0]
+    return counting.counted(weighted_words(messages), sizes).withColumn("hash", F.xxhash64("gram"))
+
+
 def keyphrase_counts_shuffled(
-    messages: DataFrame, lexicon: DataFrame, staging: Staging | None = None, bucketed: bool = False
+    messages: DataFrame, lexicon: DataFrame, staging: Staging | None = None
 ) -> DataFrame:
     """``keyphrase_counts`` with terms that are not broadcast, whatever their number.
 
-    What the texts share with the terms is staged. The few terms that can overlap themselves,
-    such as "the the", are counted by their pattern in a pass of their own, if there are any.
+    What the texts share with the terms is staged, one row per message and term. The categories
+    that list a term meet its counts in the join that confirms them, and move with no count.
     """
     staging = Staging(messages.sparkSession) if staging is None else staging
     listed = (
-        lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
-        .select("code", "term")
-        .distinct()
-        .join(categories(lexicon), "code")
+        _countable(lexicon)
         .groupBy("term")
         .agg(F.collect_list(F.struct("cat_no", "code")).alias("listings"))
     )
     # A term's listings are at most the categories.
-    keyed = staging.written(_keyed(listed, F.col("term"), F.lit(True), F.lit(False)), "terms")
-    words = weighted_words(messages)
-    plain = keyed.where("pattern IS NULL").withColumnRenamed("second", "key2")
-    one = _key_hash(F.lit(False), F.col("word"), F.lit(None).cast("string"))
-    two = _key_hash(F.lit(False), F.col("word"), F.col("second"))
-    found = large_lexicon.occurrences(words, plain, one, two, staging).withColumn("times", F.lit(1).cast("bigint"))
-    patterned = keyed.where("pattern IS NOT NULL")
-    if not patterned.isEmpty():
-        texts = words.select("*", F.array_distinct("words").alias("once_words"), _no_words().alias("pattern_words"))
-        shares = broadcast_passes(patterned)
-        by_pattern = _occurrences(
-            texts, patterned, F.array_join("words", " "), shares, single=True
-        )
-        found = found.unionByName(
-            _shared_out(by_pattern, patterned.select("term", "listings"), "term", shares).select(*found.columns)
-        )
-    counts = (
-        _per_message(found, bucketed)
-        .groupBy("guid", "term")
-        .agg(F.sum("times").alias("n"), F.first("listings").alias("listings"))
-        .where(F.col("n") > 0)
-    )
+    keyed = staging.written(listed.withColumn("hash", F.xxhash64("term")), "terms")
+    counts = large_lexicon.found(_grams(messages, keyed), keyed, staging)
     return counts.select("guid", F.explode("listings").alias("listed"), "term", "n").select(
         "guid", "listed.cat_no", "listed.code", "term", "n"
     )

@@ -63,3 +63,15 @@ def test_filter(spark):
     assert large_lexicon.filter_bits(10**9) == large_lexicon.MOST_BITS
     none = staging.written(large_lexicon.key_filter(keys.limit(0), 1024), "filter").scalar()
     assert spark.range(50).where(large_lexicon.may_hold(none, F.xxhash64("id"), 1024)).count() == 0
+
+
+def test_a_message_meets_a_term_once(spark, tmp_path):
+    mail = spark.createDataFrame([("1", "dog", "dog cat " * 300), ("2", None, "dog")], "guid string, subject string, body string")
+    lexicon = spark.createDataFrame([(1, "A", "dog"), (2, "B", "dog"), (3, "B", "cat dog")], "row_no int, code string, term string")
+    staging = Staging(spark, str(tmp_path))
+    got = matching.keyphrase_counts_shuffled(mail, lexicon, staging)
+    rows = {(r.guid, r.code, r.term): r.n for r in got.collect()}
+    assert rows == {("1", "A", "dog"): 302, ("1", "B", "dog"): 302, ("1", "B", "cat dog"): 299, ("2", "A", "dog"): 1, ("2", "B", "dog"): 1}
+    # Of message 1 four runs of words at most, not 600 places; and no list of categories moves with a message.
+    assert spark.read.parquet(f"{staging.path}/passed-*").count() <= 5
+    assert "Exchange hashpartitioning(guid" not in got._jdf.queryExecution().executedPlan().toString()
