@@ -1,10 +1,11 @@
 """Dictionary matching: which terms occur in which message, and how often.
 
-A text becomes an array of words. Each position yields two keys, the word and
-the word with its successor; terms are looked up by their first one or two
-words in one equi-join and the rest of a longer term is compared in place. So
-the work per position does not grow with the lexicon, and no pair of message
-and term is formed that shares no words.
+A text becomes an array of words. Keyphrases are looked up among its distinct runs
+of words, counted in the task that reads the text. For the rules each position
+yields the word with its successor, phrases are looked up by their first two words in
+one equi-join, and the rest of a longer one is compared in place. So the work per
+position does not grow with the lexicon, and no pair of message and term is formed
+that shares no words.
 
 The terms are broadcast. A lexicon too large for one broadcast is broadcast in
 shares by the hash of its keys, which the words run past one after the other: the
@@ -140,7 +141,7 @@ def _shared_out(rows: DataFrame, dim: DataFrame, key: str, passes: int) -> DataF
 
 
 def _occurrences(
-    texts: DataFrame, keyed: DataFrame, text: Column, passes: int, single: bool
+    texts: DataFrame, keyed: DataFrame, text: Column, passes: int
 ) -> DataFrame:
     """Rows of (guid, term, times) for ``texts(guid, words, once_words, pattern_words)``.
 
@@ -150,8 +151,7 @@ def _occurrences(
     64-bit hash, several times cheaper to look up than a string, and every match
     is confirmed on the strings. Behind the words of a text come its distinct
     words, for the terms that are looked up once: first those before case variants
-    were evened out, then, if these differ, those after. ``single`` tells whether
-    single words are counted by place. The work is linear in the text.
+    were evened out, then, if these differ, those after. The work is linear in the text.
     """
     place, size = F.col("pos") + 1, F.size("words")
     at_place = F.col("pos") < size
@@ -162,12 +162,9 @@ def _occurrences(
     keys = texts.select("*", F.posexplode_outer(words).alias("pos", "word")).withColumn("second", second)
     one = _key_hash(~at_place, F.col("word"), F.lit(None).cast("string"))
     two = _key_hash(F.lit(False), F.col("word"), F.col("second"))
-    if single:
-        keys = keys.select("*", F.explode(F.array(one, F.when(F.col("second").isNotNull(), two))).alias("hash"))
-    else:
-        keys = keys.withColumn(
-            "hash", F.when(~at_place, one).when(F.col("second").isNotNull(), two)
-        )
+    keys = keys.withColumn(
+        "hash", F.when(~at_place, one).when(F.col("second").isNotNull(), two)
+    )
     dim = keyed.withColumnRenamed("second", "key2")
     lined_up = (F.col("n") <= 2) | (
         F.array_join(F.slice("words", place, F.col("n")), " ") == F.col("spelling")
@@ -226,22 +223,13 @@ def keyphrase_counts(
     passes = broadcast_passes(lexicon.select("term").distinct()) if passes is None else passes
     if passes > MOST_SHARES:
         return keyphrase_counts_shuffled(messages, lexicon)
-    listed = (
-        lexicon.where(F.col("term").rlike("^[a-z]+( [a-z]+)*$"))
-        .select("code", "term")
-        .distinct()
-        .join(categories(lexicon), "code")
-    )
-    keyed = _keyed(listed.select("term").distinct(), F.col("term"), F.lit(True), F.lit(False))
-    texts = weighted_words(messages).select(
-        "*", F.array_distinct("words").alias("once_words"), _no_words().alias("pattern_words")
-    )
-    text = F.array_join("words", " ")
+    listed = _countable(lexicon)
+    terms = listed.select("term").distinct()
+    keyed = terms.withColumn("hash", F.xxhash64("term"))
     counts = (
-        _per_message(_occurrences(texts, keyed, text, passes, single=True), bucketed)
+        _per_message(_same_term(_shared_out(_grams(messages, terms), keyed, "hash", passes)), bucketed)
         .groupBy("guid", "term")
         .agg(F.sum("times").alias("n"))
-        .where(F.col("n") > 0)
     )
     passes = max(passes, broadcast_passes(listed)) if passes > 1 else 1
     return _shared_out(counts, listed, "term", passes).select(
@@ -265,6 +253,12 @@ def _grams(messages: DataFrame, terms: DataFrame) -> DataFrame:
     return counting.counted(weighted_words(messages), sizes).withColumn("hash", F.xxhash64("gram"))
 
 
+def _same_term(found: DataFrame) -> DataFrame:
+    """(guid, term, times) of matches by hash, confirmed on the strings, which so don't widen the join key."""
+    same = F.startswith("gram", "term") & F.startswith("term", "gram")
+    return found.where(same).select("guid", "term", "times")
+
+
 def keyphrase_counts_shuffled(
     messages: DataFrame, lexicon: DataFrame, staging: Staging | None = None
 ) -> DataFrame:
@@ -387,7 +381,7 @@ def rule_hits(
     )
     listed = matchable.select("term", "cat_no", "code", "mult")
     found = _per_message(
-        _occurrences(rule_texts(messages), keyed, F.col("text"), passes, single=False), bucketed
+        _occurrences(rule_texts(messages), keyed, F.col("text"), passes), bucketed
     )
     passes = max(passes, broadcast_passes(listed)) if passes > 1 else 1
     hits = _shared_out(found, listed, "term", passes)

@@ -38,6 +38,15 @@ def test_nothing_to_count(spark):
     assert counting.counted(df.limit(0), [1]).collect() == []
 
 
+def test_a_message_is_counted_in_the_task_that_reads_it(spark):
+    mail = spark.createDataFrame([("1", "", "dog cat " * 300)], "guid string, subject string, body string")
+    lexicon = spark.createDataFrame([(1, "A", "dog"), (2, "B", "cat dog")], "row_no int, code string, term string")
+    counts = matching.keyphrase_counts(mail, lexicon, passes=1)
+    assert {(r.term, r.n) for r in counts.collect()} == {("dog", 300), ("cat dog", 299)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression [guid") < plan.index("MapInArrow")
+
+
 def test_repeated_guids_count_together(spark):
     mail = spark.createDataFrame([("1", "", "dog"), ("1", "", "dog dog")], "guid string, subject string, body string")
     lexicon = spark.createDataFrame([(1, "A", "dog")], "row_no int, code string, term string")
