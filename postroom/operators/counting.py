@@ -17,18 +17,21 @@ from pyspark.sql import DataFrame
 MOST_WORDS = 1 << 20
 
 
-def counted(texts: DataFrame, lengths: Sequence[int]) -> DataFrame:
+def counted(texts: DataFrame, lengths: Sequence[int], known: Sequence[str] | None = None) -> DataFrame:
     """(guid, gram, times): the runs of words of ``texts(guid, words)``, of each of the lengths.
 
     A run is its words parted by single spaces. It is counted from the left, and places
     that overlap a place counted before do not count. The work is linear in the words.
+    With ``known`` words, runs that hold any other are left out.
     """
     lengths = sorted(set(lengths))
+    known = None if known is None else sorted(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = None if known is None else pa.array(known, pa.string())
         for batch in batches:
             for guids, words in _parts(batch.column("guid"), batch.column("words")):
-                for rows, grams, times in _counts(words, lengths):
+                for rows, grams, times in _counts(words, lengths, listed):
                     yield pa.RecordBatch.from_arrays([guids.take(rows), grams, times], names=["guid", "gram", "times"])
 
     kind = texts.schema["guid"].dataType.simpleString()
@@ -45,12 +48,17 @@ def _parts(guids: pa.Array, words: pa.Array) -> Iterator[tuple[pa.Array, pa.Arra
         start = stop
 
 
-def _counts(words: pa.Array, lengths: Sequence[int]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+def _counts(
+    words: pa.Array, lengths: Sequence[int], known: pa.Array | None
+) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     """(rows, grams, times) for each of the ascending lengths."""
     coded = words.flatten().dictionary_encode()
     ids, spelling = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
     rows, base = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), len(spelling)
+    wanted = np.ones(base, bool) if known is None else pc.is_in(spelling, value_set=known).to_numpy(zero_copy_only=False)
+    here = wanted[ids]
+    asked = here
     # The runs of one word less as numbers, by place, and the words of each such number.
     codes, spelt = np.zeros(len(ids), np.int64), []
     for n in range(1, max(lengths, default=0) + 1):
@@ -58,8 +66,9 @@ def _counts(words: pa.Array, lengths: Sequence[int]) -> Iterator[tuple[pa.Array,
         if places <= 0:
             return
         last = ids[n - 1 :]
+        asked = asked[:places] & here[n - 1 :]
         if n in lengths:
-            whole = rows[:places] == rows[n - 1 :]
+            whole = asked & (rows[:places] == rows[n - 1 :])
             # Below 2 to the 62nd, as there are few rows where there are many words.
             heads = max(1, len(spelt[0])) if spelt else 1
             keys = (rows[:places] * heads + codes[:places]) * base + last

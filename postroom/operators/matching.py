@@ -38,6 +38,8 @@ USUAL_LENGTH = 5
 
 # Shares of a lexicon that an executor holds together, each at most one broadcast.
 MOST_SHARES = 8
+# Words of a lexicon that tasks know, so that runs of others are not looked up; with more, all are.
+MOST_KNOWN = 10_000
 
 _WORD = r"[\p{L}\p{N}_]"
 _OTHER = r"[^\p{L}\p{N}_]"
@@ -250,7 +252,9 @@ def _countable(lexicon: DataFrame) -> DataFrame:
 def _grams(messages: DataFrame, terms: DataFrame) -> DataFrame:
     """(guid, gram, times, hash): the runs of as many words as terms have, in each weighted text."""
     sizes = terms.agg(F.collect_set(F.size(F.split("term", " ")))).first()[0]
-    return counting.counted(weighted_words(messages), sizes).withColumn("hash", F.xxhash64("gram"))
+    words = terms.select(F.explode(F.split("term", " ")).alias("word")).distinct().limit(MOST_KNOWN + 1).collect()
+    known = [r["word"] for r in words] if len(words) <= MOST_KNOWN else None
+    return counting.counted(weighted_words(messages), sizes, known).withColumn("hash", F.xxhash64("gram"))
 
 
 def _same_term(found: DataFrame) -> DataFrame:

@@ -31,6 +31,26 @@ def test_equal_to_patterns(spark, monkeypatch, most, lengths):
     assert Counter(got) == Counter(want)
 
 
+def test_runs_of_known_words(spark):
+    words = "a b a b c a a a b a c c b".split()
+    df = spark.createDataFrame([("1", words)], "guid string, words array<string>")
+    got = {r.gram: r.times for r in counting.counted(df, [1, 2, 3], ["a", "b", "z"]).collect()}
+    want = {g: n for k in (1, 2, 3) for g, n in by_pattern(words, k).items() if "c" not in g}
+    assert got == want
+    assert counting.counted(df, [1, 2], []).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_known_words_change_no_count(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "MOST_KNOWN", most)
+    mail = spark.createDataFrame([("1", "dog", "cat dog dog dog e-bill")], "guid string, subject string, body string")
+    lexicon = spark.createDataFrame(
+        [(1, "A", "dog"), (2, "B", "cat dog"), (2, "B", "dog dog"), (3, "C", "cow")], "row_no int, code string, term string"
+    )
+    for counts in (matching.keyphrase_counts(mail, lexicon, 1), matching.keyphrase_counts_shuffled(mail, lexicon)):
+        assert {(r.term, r.n) for r in counts.collect()} == {("dog", 5), ("cat dog", 1), ("dog dog", 2)}
+
+
 def test_nothing_to_count(spark):
     df = spark.createDataFrame([("1", ["a"])], "guid string, words array<string>")
     assert counting.counted(df, []).collect() == []
