@@ -42,17 +42,21 @@ def keyphrase_job(
     """Add ``keyphrase_stats`` to a table of messages and write it to a fresh path.
 
     ``key`` names a unique column; repeated keys are an error. Without one the rows
-    are numbered and staged first, since a running id must not be drawn twice. An
-    output that overlaps the input is refused before anything is written.
+    are numbered and staged first, since a running id must not be drawn twice. Delimited
+    files are staged too, so that they are taken apart once. An output that overlaps the
+    input is refused before anything is written.
     """
     output_path = output_path or files.enriched_path(input_path)
     files.refuse_overlap(input_path, output_path)
     staging = Staging(spark, staging_folder)
     table = files.read_table(spark, input_path)
-    if key is None:
+    numbered = key is None
+    if numbered:
         key = "_row"
-        table = staging.written(table.withColumn(key, F.monotonically_increasing_id()), "input")
-    else:
+        table = table.withColumn(key, F.monotonically_increasing_id())
+    if numbered or files.is_delimited(input_path):
+        table = staging.written(table, "input")
+    if not numbered:
         require_unique(table.select(files.key_text(key).alias("key")), "key")
     lexicon = lexicon_from_json(files.read_lexicon_texts(spark, lexicon_path))
     messages = files.as_messages(table, key)

@@ -19,11 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postroom.operators.sizing import is_small, lookup
+from postroom.operators.sizing import lookup
 
 # Where a reader can be in a line: where a cell begins, within a plain cell, within a
 # quoted one, and behind a quote that ends it or is the first of a doubled one.
 CELL, PLAIN, QUOTED, BEHIND = range(4)
+# Splits whose states one broadcast holds, at some hundred bytes each.
+MOST_SPLITS = 100_000
 _SPLIT = "file string, block long, first long, last long, out_to boolean, in_to boolean, head long, tail_out long, tail_in long"
 
 
@@ -146,6 +148,11 @@ def _splits(lines: DataFrame) -> DataFrame:
     )
 
 
+def _splits_at_most(lines: DataFrame) -> int:
+    """A bound of the number of splits from the plan alone: a task reads one, or whole small files."""
+    return lines.rdd.getNumPartitions() + len(lines.inputFiles())
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(head, record): lines of whole records put together; ``head`` is true of a file's first one."""
     held: list[str] = []
@@ -175,13 +182,11 @@ def records(spark: SparkSession, path: str, sep: str = ",", small: bool | None =
     """(head, record): the text of every record below ``path``; lines end in ``\\n`` or ``\\r\\n``.
 
     The lines are read twice in parallel, first for their states alone, and once more
-    for records over several splits. Whatever such a record's size, only its own lines move.
+    for records over several splits. Who needs the records more than once stages them. Whatever such a record's size, only its own lines move.
     """
     lines = _lines(spark, path, sep)
-    splits = _splits(lines)
-    # One row per split of at most 128 MB.
-    small = is_small(splits) if small is None else small
-    splits = lookup(splits, small)
+    small = _splits_at_most(lines) <= MOST_SPLITS if small is None else small
+    splits = lookup(_splits(lines), small)
     placed = lines.join(splits, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).withColumn(
         "top", (F.col("block") == 0) & (F.col("no") == F.col("first"))
     )

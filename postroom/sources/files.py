@@ -35,6 +35,10 @@ def _suffix(path: str) -> str:
     return _stem(path)[1].lower()
 
 
+def is_delimited(path: str) -> bool:
+    return _suffix(path) in SEPARATORS
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -119,13 +123,17 @@ def key_text(key: str) -> Column:
     return F.coalesce(_col(key).cast("string"), F.lit(NO_KEY))
 
 
-def as_messages(df: DataFrame, key: str) -> DataFrame:
-    """(guid, subject, body) of any table with a key column; a missing key reads as NO_KEY."""
+def as_messages(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """(guid, subject, body) of any table with a key column, and ``more`` of its columns.
+
+    A missing key reads as NO_KEY.
+    """
     found = resolve_message_columns(df)
     return df.select(
         key_text(key).alias("guid"),
         _col(found["subject"]).alias("subject"),
         _col(found["body"]).alias("body"),
+        *[_col(name) for name in more],
     )
 
 

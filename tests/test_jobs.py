@@ -38,6 +38,20 @@ def test_keyphrase_job(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path / "out.csv")).columns == back.columns
 
 
+def test_delimited_mail_is_taken_apart_once(spark, tmp_path):
+    mail = tmp_path / "mail.csv"
+    mail.write_text('Id,[Subject], Body,"no\nte"\n1,bill,"a\nbill",x\n2,,,NA\n')
+    (tmp_path / "terms.json").write_text('{"Billing": {"terms": ["bill"]}}')
+    outcome = jobs.keyphrase_job(spark, str(mail), str(tmp_path / "terms.json"), str(tmp_path / "out.parquet"), key="Id")
+    assert spark.read.parquet(f"{outcome.staging.path}/input-*").count() == 2
+    # What is read later reads the staged rows.
+    mail.unlink()
+    assert [(r["matched"], r["pct"]) for r in outcome.reports["match_summary"].collect()] == [(1, 50.0)]
+    back = files.read_table(spark, str(tmp_path / "out.parquet"))
+    assert sorted(map(tuple, back.collect())) == [("1", "bill", "a\nbill", "x", '{"Billing":{"bill":3}}'), ("2", None, None, None, None)]
+    assert back.columns == ["Id", "[Subject]", " Body", "no\nte", "keyphrase_stats"]
+
+
 def test_rules_job_and_store(spark, tmp_path):
     mail = _mail(spark)
     outcome = jobs.rules_job(mail, *tables(spark))
