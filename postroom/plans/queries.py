@@ -243,10 +243,7 @@ def _enriched(spark, sf_dir, suffix, out):
     lexicon = fixtures.lexicon_json(spark, sf_dir).select("value")
     lexicon.write.text(f"{staging.path}/terms")
     jobs.keyphrase_job(spark, source, f"{staging.path}/terms/*.txt", target, key="Id")
-    back = files.read_table(spark, target)
-    return files.as_messages(back, "Id").join(
-        back.select(F.col("Id").alias("guid"), "keyphrase_stats"), "guid"
-    )
+    return files.as_messages(files.read_table(spark, target), "Id", "keyphrase_stats")
 
 
 @query

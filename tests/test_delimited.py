@@ -118,6 +118,22 @@ def test_both_joins(spark, tmp_path, split, small):
     assert rows(got) == rows(whole(spark, path))
 
 
+def test_enriched_output_is_read_once(spark):
+    from postroom.plans import queries
+
+    plan = queries.all_queries()["enriched_tsv"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_joined(") == 1 and "SortMergeJoin" not in plan
+
+
+def test_the_number_of_splits_is_bounded_without_reading(spark, tmp_path, split):
+    for i in range(3):
+        written(tmp_path / f"part-{i}.csv", "a,b\n" + f'{i},"x\n{i}"\n' * 40)
+    for size in (50, 1 << 20):
+        split(size)
+        lines = delimited._lines(spark, str(tmp_path), ",")
+        assert delimited._splits(lines).count() <= delimited._splits_at_most(lines)
+
+
 def test_nothing(spark, tmp_path):
     schema = spark.createDataFrame([], "a string").schema
     assert delimited.read_delimited(spark, written(tmp_path / "x.csv", "a\n"), schema).collect() == []
